@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import lines, quality, sharding
+from . import jaccard, lines, quality, sharding, warc, wavelet
 
 QUERIES = {
+    "op1_warc_normaliser": warc.op1_warc_normaliser,
     "op2_hash_tree": sharding.op2_hash_tree,
+    "op3_wavelet_matrix": wavelet.op3_wavelet_matrix,
+    "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op7_rule_ledger": quality.op7_rule_ledger,
     "op9_line_dedup": lines.op9_line_dedup,
 }
