@@ -22,31 +22,47 @@ def parts(text: str) -> list[str]:
     return out
 
 
+class Recent:
+    """Values by key in two generations of at most ``most`` keys each: what the older one still gives moves to the newer."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.now, self.before = most, {}, {}
+
+    def unknown(self, keys) -> list:
+        """Those of ``keys`` without a value; the values of all others are in ``now`` afterwards."""
+        if len(self.now) > self.most:
+            self.now, self.before = {}, self.now
+        now, before, out = self.now, self.before, []
+        for k in keys:
+            if k not in now:
+                if (v := before.get(k)) is None:
+                    out.append(k)
+                else:
+                    now[k] = v
+        return out
+
+
 class Memory:
-    """Values of parts: ``fill`` gives them for a list of parts; at most ``most`` are remembered between batches."""
+    """Values of parts: ``fill`` gives them for a list of parts; a bounded number is remembered between batches."""
 
-    def __init__(self, fill: Callable[[list[str]], list], most: int = 250_000) -> None:
+    def __init__(self, fill: Callable[[list[str]], list], most: int = 120_000) -> None:
         # A part that follows a space is known by what comes after the space; any other part by its whole text.
-        self.fill, self.most, self.after, self.whole = fill, most, {}, {}
+        self.fill, self.after, self.whole = fill, Recent(most), Recent(most // 4)
 
     def values(self, texts: list[str]) -> list[list]:
         """For each text the values of its parts."""
-        if len(self.after) + len(self.whole) > self.most:
-            self.after, self.whole = {}, {}
         split = [t.split(" ") for t in texts]
-        new_after, new_whole, odd = set(), set(), {}
+        after, whole, odd = set(), set(), {}
         for k, p in enumerate(split):
-            missing = [x for x in p[1:] if x not in self.after]
-            if missing:
-                if any(not x or x[0].isspace() for x in missing):
-                    odd[k] = parts(texts[k])
-                    new_whole.update(x for x in odd[k] if x not in self.whole)
-                    continue
-                new_after.update(missing)
-            if p[0] not in self.whole:
-                new_whole.add(p[0])
-        for keys, known, lead in ((list(new_after), self.after, " "), (list(new_whole), self.whole, "")):
-            if keys:
-                known.update(zip(keys, self.fill([lead + k for k in keys]), strict=True))
-        after, whole = self.after, self.whole
-        return [[whole[x] for x in odd[k]] if k in odd else [whole[p[0]], *map(after.__getitem__, p[1:])] for k, p in enumerate(split)]
+            rest = set(p[1:])
+            if any(not x or x[0].isspace() for x in rest):
+                odd[k] = parts(texts[k])
+                whole.update(odd[k])
+            else:
+                after |= rest
+                whole.add(p[0])
+        for keys, known, lead in ((after, self.after, " "), (whole, self.whole, "")):
+            if new := known.unknown(keys):
+                known.now.update(zip(new, self.fill([lead + x for x in new]), strict=True))
+        one, other = self.after.now, self.whole.now
+        return [[other[x] for x in odd[k]] if k in odd else [other[p[0]], *map(one.__getitem__, p[1:])] for k, p in enumerate(split)]

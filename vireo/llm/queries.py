@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import jaccard, lines, quality, sharding, warc, wavelet
+from . import bpe, jaccard, lines, lm, quality, sharding, warc, wavelet
 
 QUERIES = {
     "op1_warc_normaliser": warc.op1_warc_normaliser,
     "op2_hash_tree": sharding.op2_hash_tree,
     "op3_wavelet_matrix": wavelet.op3_wavelet_matrix,
+    "op4_subword_lattice": lm.op4_subword_lattice,
     "op5_jaccard_join": jaccard.op5_jaccard_join,
+    "op6_duckdb_bpe": bpe.op6_duckdb_bpe,
     "op7_rule_ledger": quality.op7_rule_ledger,
     "op9_line_dedup": lines.op9_line_dedup,
 }
