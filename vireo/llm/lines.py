@@ -9,18 +9,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, documents, let, lowered, settled, table
+from .common import BLANKS, let, lowered, settled, table
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
     """doc_id, n_lines, n_dropped and the text without its repeated lines, one row for each row of ``docs``.
 
+    With ``carry``, also the other columns as a struct of that name.
+
     A line's key is the line without blanks at both ends, A-Z lower-cased. A key of at least ``min_chars`` code points
     found under at least ``min_docs`` different ids loses all its lines except those of the largest id that holds it.
     Null or empty text is one empty line; a text that loses every line becomes empty. Lines of rows with a null id count
     for no document and are dropped like others. Rows that repeat an id are one document for the count.
     """
-    d = documents(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    kept = [] if carry is None else [carry]
+    rest = [] if carry is None else [F.struct(F.lit(0).alias("__none"), *(F.col(c) for c in docs.columns if c not in (id_col, text_col))).alias(carry)]
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *rest)
     d = d.withColumn("lines", F.split("text", "\n"))
     keys = F.transform("lines", lambda x: lowered(F.btrim(x, F.lit(BLANKS))))
     long_ones = F.filter(F.transform(keys, lambda k, i: F.struct(i.alias("pos"), k.alias("k"))), lambda e: F.char_length(e["k"]) >= min_chars)
@@ -38,7 +42,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     # Texts meet their positions by (id, hash of the text): rows that repeat an id keep their own positions.
     out = d.drop("lines").withColumn("body", F.xxhash64("text")).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("body") == F.col("__body")), "left")
     return out.select(
-        "doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
+        "doc_id", *kept, F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("drop").isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), rebuilt)).alias("text"),
     )
 
@@ -48,6 +52,13 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its text deduplicated; n_chars, where there is one, follows the new text."""
+    out = dedup_lines(docs, carry="__rest")
+    made = {"text": F.col("text"), "doc_id": F.col("doc_id"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "long")}
+    return out.select(*(made.get(c, F.col(f"__rest.{c}")).alias(c) for c in docs.columns))
+
+
 OP9_SQL = r"""
 WITH l AS (SELECT r, doc_id, generate_subscripts(s, 1) AS p, unnest(s) AS line
            FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents)),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, UPPER, documents, let, table, words_of
+from .common import BLANKS, UPPER, let, table, words_of
 
 SYMBOLS = "#*$%&|<>"
 
@@ -56,15 +56,17 @@ def _repeat_words(words: Column) -> Column:
     return let(words, lambda w: let(_hashes(w), lambda h: F.when(F.size(_repeats(h)) == 0, F.lit(0)).otherwise(_covered(h))))
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the measurements, one row for each row of ``docs``.
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+    """doc_id and the measurements, one row for each row of ``docs``; with the whole row as a struct under ``carry``.
 
     Null text measures as empty: every count is 0. Lines split at \\n; only lines with a word count. Windows are of
     three words, compared by a 64-bit hash within the document. Repeated ids are measured row by row.
     """
-    d = documents(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    kept = [] if carry is None else [carry]
+    row = [] if carry is None else [F.struct("*").alias(carry)]
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *row)
     d = d.select(
-        "doc_id",
+        "doc_id", *kept,
         words_of(F.col("text")).alias("w"),
         F.filter(F.split("text", "\n"), lambda x: F.translate(x, BLANKS, "") != "").alias("lines"),
         (F.char_length("text") - _removed(F.col("text"), BLANKS)).cast("long").alias("word_chars"),
@@ -73,16 +75,16 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.floor((F.char_length("text") - F.char_length(F.replace(F.col("text"), F.lit("!!"), F.lit("")))) / 2).cast("long").alias("n_shouts"),
     )
     return d.select(
-        "doc_id", F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols",
+        "doc_id", *kept, F.size("w").cast("long").alias("n_words"), "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), _repeat_words(F.col("w")).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"), "n_capitals", "n_shouts",
     )
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict[str, str] | None = None) -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: dict[str, str] | None = None, carry: str | None = None) -> DataFrame:
     """Measurements and ``failed``, a bigint whose bit k says that the k-th rule failed."""
     bits = [F.when(F.expr(cond), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, cond in enumerate((rules or RULES).values())]
-    return measure(docs, id_col, text_col).withColumn("failed", sum(bits[1:], bits[0]))
+    return measure(docs, id_col, text_col, carry).withColumn("failed", sum(bits[1:], bits[0]))
 
 
 def mask(names: tuple[str, ...], rules: dict[str, str] | None = None) -> int:
@@ -120,9 +122,8 @@ def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the v1 policy keeps. Ids decide: of repeated ids, all rows go if one is rejected."""
-    rejected = judge(ledger(docs)).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """Rows that the v1 policy keeps, each judged by its own text; nothing is shuffled."""
+    return judge(ledger(docs, carry="__row")).where("kept").select("__row.*")
 
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, lines, lm, quality, sharding, warc, wavelet
+from . import bpe, decontaminate, jaccard, lines, lm, quality, sharding, toxicity, warc, wavelet
 
 QUERIES = {
     "op1_warc_normaliser": warc.op1_warc_normaliser,
@@ -12,7 +12,9 @@ QUERIES = {
     "op5_jaccard_join": jaccard.op5_jaccard_join,
     "op6_duckdb_bpe": bpe.op6_duckdb_bpe,
     "op7_rule_ledger": quality.op7_rule_ledger,
+    "op8_cgk_decontamination": decontaminate.op8_cgk_decontamination,
     "op9_line_dedup": lines.op9_line_dedup,
+    "op10_weak_supervision": toxicity.op10_weak_supervision,
 }
 
 ORACLES = {
