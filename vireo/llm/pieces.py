@@ -7,7 +7,12 @@ more than texts do; a bounded memory of parts makes tokenizing cost what the rar
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from itertools import chain
+
+#: A space before a blank or at the end: the part after it is joined to the one before.
+ODD = re.compile(r" (?=\s|[\x1c-\x1f]|\Z)")
 
 
 def parts(text: str) -> list[str]:
@@ -28,17 +33,16 @@ class Recent:
     def __init__(self, most: int) -> None:
         self.most, self.now, self.before = most, {}, {}
 
-    def unknown(self, keys) -> list:
+    def unknown(self, keys: set) -> list:
         """Those of ``keys`` without a value; the values of all others are in ``now`` afterwards."""
         if len(self.now) > self.most:
             self.now, self.before = {}, self.now
         now, before, out = self.now, self.before, []
-        for k in keys:
-            if k not in now:
-                if (v := before.get(k)) is None:
-                    out.append(k)
-                else:
-                    now[k] = v
+        for k in keys.difference(now):
+            if (v := before.get(k)) is None:
+                out.append(k)
+            else:
+                now[k] = v
         return out
 
 
@@ -51,18 +55,11 @@ class Memory:
 
     def values(self, texts: list[str]) -> list[list]:
         """For each text the values of its parts."""
-        split = [t.split(" ") for t in texts]
-        after, whole, odd = set(), set(), {}
-        for k, p in enumerate(split):
-            rest = set(p[1:])
-            if any(not x or x[0].isspace() for x in rest):
-                odd[k] = parts(texts[k])
-                whole.update(odd[k])
-            else:
-                after |= rest
-                whole.add(p[0])
-        for keys, known, lead in ((after, self.after, " "), (whole, self.whole, "")):
+        odd = {k: parts(t) for k, t in enumerate(texts) if ODD.search(t)}
+        rest = [[""] if k in odd else t.split(" ") for k, t in enumerate(texts)]
+        first = [p.pop(0) for p in rest]
+        for keys, known, lead in ((set(chain.from_iterable(rest)), self.after, " "), (set(first).union(*odd.values()), self.whole, "")):
             if new := known.unknown(keys):
                 known.now.update(zip(new, self.fill([lead + x for x in new]), strict=True))
-        one, other = self.after.now, self.whole.now
-        return [[other[x] for x in odd[k]] if k in odd else [other[p[0]], *map(one.__getitem__, p[1:])] for k, p in enumerate(split)]
+        one, other = self.after.now.__getitem__, self.whole.now.__getitem__
+        return [list(map(other, odd[k])) if k in odd else [other(p), *map(one, rest[k])] for k, p in enumerate(first)]

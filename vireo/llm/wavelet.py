@@ -28,6 +28,8 @@ from .pieces import Memory
 
 MAGIC, BLOCK_BITS = b"WMX1", 1 << 17
 END_ID = 2
+#: Parts that are tokenized as one text.
+ROW = 256
 
 
 def packed(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], level: int = 1) -> bytes:
@@ -160,11 +162,28 @@ def encoder(path: str) -> Memory:
 
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
+        vocabulary = tok.get_vocab(with_added_tokens=False)
+        size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        size[list(vocabulary.values())] = [len(t) for t in vocabulary]  # byte-level: a character of the token is a byte
 
         def fill(texts: list[str]) -> list[bytes]:
-            return [np.asarray(e.ids, "<u4").tobytes() for k in range(0, len(texts), 4096) for e in tok.encode_batch(texts[k : k + 4096], add_special_tokens=False)]
-
-        _memories[path] = Memory(fill)
+            """Parts in a row are tokenized as one text, and cut where their bytes end: no token crosses."""
+            rows, at = [], 0
+            for k, t in enumerate(texts):
+                if k == at or k - at < ROW and t[:1] == " " and t[1:2].strip():
+                    continue
+                rows.append((at, k))
+                at = k
+            rows.append((at, len(texts)))
+            out = []
+            for (a, b), e in zip(rows, tok.encode_batch_fast(["".join(texts[a:b]) for a, b in rows], add_special_tokens=False), strict=True):
+                ids = np.asarray(e.ids, "<u4")
+                data, ends = ids.tobytes(), np.cumsum([len(t.encode()) for t in texts[a:b]])
+                cut = (4 * np.searchsorted(np.cumsum(size[ids]), ends, side="right")).tolist()
+                out += [data[x:y] for x, y in zip([0, *cut], cut, strict=False)]
+            return out
+
+        _memories[path] = Memory(fill, 400_000)
     return _memories[path]
 
 
