@@ -11,9 +11,11 @@ DuckDB runs in memory, on one thread and without a spill folder, over a bounded
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,11 @@ SELECT k, i, id FROM s WHERE done ORDER BY k, i
 DECODE = "SELECT r.k, string_agg(v.hex, '' ORDER BY r.i) AS hex FROM id_rows r JOIN vocabulary v ON v.id = r.id GROUP BY r.k"
 
 
+def _joined(values: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+    data, text = zip(*values, strict=True) if values else ((), ())
+    return b"".join(data), ",".join(filter(None, text))
+
+
 class Codec:
     """A rank file's encoder and decoder; one per worker process."""
 
@@ -62,14 +69,14 @@ class Codec:
         a, b, c = (pa.array(x, pa.int32()) for x in zip(*cuts, strict=True)) if cuts else (pa.array([], pa.int32()),) * 3
         self._table("merges", pa.table({"a": a, "b": b, "c": c}))
         self._table("vocabulary", pa.table({"id": pa.array(list(self.bytes_of), pa.int32()), "hex": [t.hex() for t in self.bytes_of.values()]}))
-        self.words, self.memory = Recent(250_000), Memory(self._parts)
+        self.words, self.memory = Recent(600_000), Memory(self._parts, 200_000)
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _merged(self, words: list[bytes]) -> list[bytes]:
+    def _merged(self, words: list[bytes]) -> list[tuple[bytes, str]]:
         """Ids of each word, by the recursive query."""
         lengths = np.array([len(w) for w in words], np.int64)
         starts = np.cumsum(lengths) - lengths
@@ -79,11 +86,11 @@ class Codec:
         self.db.register("first_rows", rows)
         found = self.db.execute(MERGE).fetchnumpy()
         self.db.unregister("first_rows")
-        data = np.asarray(found["id"], "<u4").tobytes()
-        ends = (4 * np.searchsorted(found["k"], np.arange(len(words) + 1))).tolist()
-        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        data, text = np.asarray(found["id"], "<u4").tobytes(), list(map(str, found["id"].tolist()))
+        ends = np.searchsorted(found["k"], np.arange(len(words) + 1)).tolist()
+        return [(data[4 * a : 4 * b], ",".join(text[a:b])) for a, b in zip(ends, ends[1:], strict=False)]
 
-    def _long(self, word: bytes) -> bytes:
+    def _long(self, word: bytes) -> tuple[bytes, str]:
         """The same merges with a heap of (rank, position), for a word of any length."""
         ids: list[int | None] = [int(self.single[b]) for b in word]
         size = [1] * len(word)
@@ -102,12 +109,13 @@ class Codec:
             for z in (before[x], x):
                 if z >= 0 and (q := rank(z)) is not None:
                     heapq.heappush(heap, (q, z, size[z], size[after[z]]))
-        return np.array([x for x in ids if x is not None], "<u4").tobytes()
+        found = [x for x in ids if x is not None]
+        return np.array(found, "<u4").tobytes(), ",".join(map(str, found))
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each pre-token, as little-endian unsigned 32-bit integers."""
+    def encode_words(self, words: list[str]) -> list[tuple[bytes, str]]:
+        """Ids of each pre-token: as little-endian unsigned 32-bit integers, and in decimal, joined by commas."""
         raw = [w.encode() for w in words]
-        out: list[bytes | None] = [self._long(w) if len(w) > LONG_WORD else None for w in raw]
+        out: list[tuple[bytes, str] | None] = [self._long(w) if len(w) > LONG_WORD else None for w in raw]
         group, rows = [], 0
         for x in [x for x, done in enumerate(out) if done is None] + [None]:
             if group and (x is None or rows + len(raw[x]) > ENCODE_ROWS):
@@ -119,22 +127,20 @@ class Codec:
                     group.append(x)
                     rows += len(raw[x])
                 else:
-                    out[x] = b""
+                    out[x] = (b"", "")
         return out
 
     def _parts(self, parts: list[str]) -> list[tuple[bytes, str]]:
-        split = [self.pattern.findall(p) for p in parts]
-        new = self.words.unknown({w for s in split for w in s})
+        # Letters after a space, or alone, are one match of the pattern.
+        split = [[p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else self.pattern.findall(p) for p in parts]
+        new = self.words.unknown(set(chain.from_iterable(split)))
         self.words.now.update(zip(new, self.encode_words(new), strict=True))
-        ids = [b"".join(map(self.words.now.__getitem__, s)) for s in split]
-        return [(x, ",".join(map(str, np.frombuffer(x, "<u4").tolist()))) for x in ids]
+        known = self.words.now
+        return [known[s[0]] if len(s) == 1 else _joined([known[w] for w in s]) for s in split]
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """For each text its ids as little-endian unsigned 32-bit integers, and in decimal, joined by commas."""
-        out = []
-        for values in self.memory.values(texts):
-            out.append((b"".join([x for x, _ in values]), ",".join([y for _, y in values if y])))
-        return out
+        """For each text its ids, in both forms."""
+        return [_joined(values) for values in self.memory.values(texts)]
 
     def decode(self, rows: list[np.ndarray]) -> list[bytes]:
         """The bytes that each row of ids stands for."""
@@ -162,6 +168,7 @@ _codecs: dict[tuple[str, str], Codec] = {}
 
 def codec(path: str, pattern: str) -> Codec:
     if (path, pattern) not in _codecs:
+        gc.set_threshold(1_000_000, 50, 1000)  # remembered values hold no cycles, and looking for some takes long
         _codecs[path, pattern] = Codec(path, pattern)
     return _codecs[path, pattern]
 
