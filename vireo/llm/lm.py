@@ -227,6 +227,17 @@ def refined(counts: DataFrame, lattice: Lattice, rounds: int = 2) -> Lattice:
     return lattice
 
 
+def _commonest(scores: DataFrame) -> DataFrame:
+    """At most ``HEAD_WORDS`` short words, the commonest: as many steps of a scale of counts, 16 to the octave, as fit."""
+    short = scores.where((F.octet_length("word") <= HEAD_BYTES) & (F.col("c") > 0)).withColumn("step", F.floor(16 * F.log2("c")))
+    least, taken = 1 << 30, 0
+    for step, n in short.groupBy("step").count().orderBy(F.desc("step")).collect():  # about a thousand steps at most
+        if (taken := taken + n) > HEAD_WORDS:
+            break
+        least = step
+    return short.where(F.col("step") >= least).select("word", "base", "score")
+
+
 def score_texts(docs: DataFrame, vocabulary_path: str, modulus: int = 7, remainder: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
@@ -266,7 +277,7 @@ def score_texts(docs: DataFrame, vocabulary_path: str, modulus: int = 7, remaind
             )
 
     scores = settled(counts.select("word", "c").mapInArrow(score, "word binary, h long, c long, base double, score double"), "scores")
-    common = scores.where(F.octet_length("word") <= HEAD_BYTES).where("c > 0").orderBy(F.desc("c"), "h").limit(HEAD_WORDS).toPandas()
+    common = _commonest(scores).toPandas()
     head = spark.sparkContext.broadcast((dict(zip(common["word"].map(bytes), range(len(common)), strict=True)), common["base"].to_numpy(float), common["score"].to_numpy(float)))
     end = (float(base(ends)), float(model(ends, END_SHARE)), int(ends > 0))
 
