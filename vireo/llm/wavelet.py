@@ -28,8 +28,8 @@ from .pieces import Memory
 
 MAGIC, BLOCK_BITS = b"WMX1", 1 << 17
 END_ID = 2
-#: Parts that are tokenized as one text.
-ROW = 256
+#: Documents at a time, and parts that are tokenized as one text.
+BATCH, ROW = 3072, 1024
 
 
 def packed(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], level: int = 1) -> bytes:
@@ -39,7 +39,7 @@ def packed(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], level
     seq = ids.astype(np.uint16 if bits <= 16 else np.uint32)
     planes, blocks, at = [], [], 0
     for p in range(bits - 1, -1, -1):
-        ones = ((seq >> p) & 1).astype(bool)
+        ones = (seq & seq.dtype.type(1 << p)) != 0
         plane = {"at": [], "len": [], "ones": []}
         before, raw = 0, np.packbits(ones, bitorder="little")
         for k in range(0, n, BLOCK_BITS):
@@ -145,8 +145,8 @@ class Shard:
                 raw = b"".join(unpack.decompress(whole[a : a + m], max_output_size=BLOCK_BITS // 8) for a, m in zip(starts, plane["len"], strict=True))
             ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n, bitorder="little").view(bool)
             out = np.empty_like(seq)
-            out[~ones], out[ones] = seq[: plane["zeros"]], seq[plane["zeros"] :]
-            out |= ones.astype(out.dtype) << out.dtype.type(self.bits - 1 - q)
+            out[~ones] = seq[: plane["zeros"]]
+            out[ones] = seq[plane["zeros"] :] | seq.dtype.type(1 << (self.bits - 1 - q))
             seq = out
         return seq
 
@@ -206,10 +206,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END
             return pa.RecordBatch.from_pydict({"path": [path], "part": [part], "number": [number], "ids": [total]})
 
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            for k in range(0, len(ids), 512):
-                for doc_id, values in zip(ids[k : k + 512], memory.values(texts[k : k + 512]), strict=True):
-                    data = b"".join(values) + end
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").fill_null("")
+            for k in range(0, len(ids), BATCH):
+                for doc_id, data in zip(ids[k : k + BATCH], memory.arrays(texts[k : k + BATCH]), strict=True):
+                    data += end
                     held.append(data)
                     names.append(doc_id)
                     lengths.append(len(data) // 4)
