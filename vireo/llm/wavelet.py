@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -52,7 +53,8 @@ def packed(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], level
             before += int(np.count_nonzero(ones[k : k + BLOCK_BITS]))
         plane["zeros"] = n - before
         planes.append(plane)
-        seq = np.concatenate([seq[~ones], seq[ones]])
+        held, mask = pa.array(seq), pa.Array.from_buffers(pa.bool_(), n, [None, pa.py_buffer(raw)])
+        seq = np.concatenate([held.filter(pc.invert(mask)).to_numpy(), held.filter(mask).to_numpy()])
     head = zlib.compress(json.dumps({"n": n, "bits": bits, "doc_ids": doc_ids, "lengths": lengths, "planes": planes}).encode())
     return b"".join([MAGIC, len(head).to_bytes(8, "little"), head, *blocks])
 
@@ -183,7 +185,7 @@ def encoder(path: str) -> Memory:
                 out += [data[x:y] for x, y in zip([0, *cut], cut, strict=False)]
             return out
 
-        _memories[path] = Memory(fill, 400_000)
+        _memories[path] = Memory(fill, 800_000)
     return _memories[path]
 
 
