@@ -4,10 +4,10 @@ Jaccard distance is a metric, so a pivot's distances bound those between documen
 shingle lie at distance 1 from each other and from every pivot, where no bound helps; most pairs are such. So the join
 has three steps, none of which loses a link.
 
-1. *Families.* Linked sets differ in at most ``d = (|A| + |B|)(1 - t)/(1 + t)`` shingles. Shingles are dealt by hash into
-   ``d + 1`` parts, so linked sets agree on a whole part. Sets that agree on a part meet the smallest of them; the
-   components of these meetings are families. Equal sets count as one from the start.
-2. *Regions.* A family too large for a task is cut by pivots: a member goes to its nearest pivot's Voronoi region and,
+1. *Families.* Linked sets differ in few shingles. Shingles are dealt by hash into more parts than can differ, so linked
+   sets agree on whole parts, and on one of the first few in a common order (see ``part_keys``). Sets that agree on such a
+   part meet the smallest of them; the components of these meetings are families. Equal sets count as one from the start.
+2. *Regions.* A family too large for a task is cut by size, then by pivots: a member goes to its nearest pivot's Voronoi region and,
    by the triangle inequality, into every region whose pivot is at most ``2(1 - t)`` farther: of two linked sets each is
    then in the other's home region. Regions still too large are cut again with new pivots. Where distances are so alike
    that the cut doesn't shrink them, blocks of the region meet pairwise.
@@ -30,51 +30,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, settled, table
+from .common import discard, documents, scratch, settled, table
 from .graph import components
 from .shingles import U, Words, common, mixed, shingle_sets
 
 RATIO = 1.5
 
 
-def size_class(n: int) -> int:
-    """Classes of sizes, each half as wide again as the last; the k-th starts at the smallest whole number of RATIO^k or more."""
-    k = int(np.log(n) / np.log(RATIO))
-    while class_start(k) > n:
-        k -= 1
-    while class_start(k + 1) <= n:
-        k += 1
-    return k
+def level(n: int, num: int, den: int) -> int:
+    """Sets of up to ``small`` shingles are level 0; then each level is half as wide again as the last.
+
+    Below a similarity of 5/7 so much can differ that parts of several shingles prove nothing: all sets are level 0.
+    """
+    small = 16 if 10 * num >= 9 * den else 64
+    return 0 if n <= small or 7 * num < 5 * den else int(np.log(n) / np.log(RATIO) + 1e-9)
 
 
-def class_start(k: int) -> int:
-    return int(np.ceil(RATIO**k - 1e-9))
+def largest(at: int) -> int:
+    """No set of the level is larger."""
+    return int(RATIO ** (at + 1)) + 1
 
 
 def part_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     """Keys such that sets linked at similarity ``num / den`` share one.
 
-    In each size class that a partner can lie in, the set has a key for every part. Parts that are empty prove little;
-    a set with such parts is dealt again, at most twice, and only the third deal's empty parts get keys. (If every part
-    that two linked sets agree on is empty, both have empty parts and so both are dealt again.)
+    A set's shingles are dealt by hash into parts, and each part that isn't empty has a key made of its shingles; in
+    level 0 each shingle is a part. Of two linked sets, at most ``n (den - num) / num`` parts of a set of n shingles have
+    another key in the other set. So among its keys in one order of all keys, the smallest that both have is at most one
+    place further, and only so many keys are kept. The number of parts, a tenth and a few more than can differ at the upper
+    end of a level, hangs on the level alone; a set is dealt for its own level and for that of its largest partner.
     """
     n, out = len(shingles), []
     if not n:
         return np.empty(0, U)
-    for c in sorted({size_class(n), size_class(max(n, n * den // num))}):
-        largest = class_start(c + 1) - 1
-        m = 2 * largest * (den - num) // (den + num) + 1
-        for deal in range(3):
-            x = mixed(shingles, 11 + deal)
-            part = (x >> U(33)) % U(m)
+    differ = n * (den - num) // num
+    for at in sorted({level(n, num, den), level(n * den // num, num, den)}):
+        x = mixed(shingles, 11 + at)
+        if at:
+            parts = 11 * largest(at) * (den - num) // (10 * num) + 5
+            part = ((x >> U(32)) * U(parts)) >> U(32)
             order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(m + 1, dtype=U))
-            total = np.concatenate([np.zeros(1, U), np.cumsum(mixed(x, 5)[order], dtype=U)])
-            key = mixed(total[cut[1:]] - total[cut[:-1]] + mixed(np.arange(m, dtype=U) + U(c << 40) + U(deal << 60), 3), 9)
-            empty = cut[1:] == cut[:-1]
-            out.append(key if deal == 2 else key[~empty])
-            if not empty.any():
-                break
+            part = part[order]
+            first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+            x = mixed(np.add.reduceat(mixed(x, 5)[order], first) + mixed(part[first], at), 9)
+        out.append(np.sort(x)[: differ + 1])
     return np.concatenate(out)
 
 
@@ -86,18 +85,24 @@ _words = Words()
 
 
 def _sized(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, sid and the part keys of each document."""
+    """doc_id, n, sid and the part keys of each document; a copy of a set that the task has just had brings no keys again."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for k in range(0, len(texts), 256):
+                if len(seen) > 200_000:
+                    seen.clear()
                 sets = shingle_sets(texts[k : k + 256], width, _words)
-                keys = [part_keys(s, num, den).view(np.int64) for s in sets]
+                sids, keys = [set_id(s) for s in sets], []
+                for s, sid in zip(sets, sids, strict=True):
+                    keys.append(np.empty(0, np.int64) if sid in seen else part_keys(s, num, den).view(np.int64))
+                    seen.add(sid)
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids[k : k + 256], pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()), lists], names=["doc_id", "n", "sid", "keys"]
+                    [ids[k : k + 256], pa.array([len(s) for s in sets], pa.int64()), pa.array(sids, pa.int64()), lists], names=["doc_id", "n", "sid", "keys"]
                 )
 
     return documents(docs).mapInArrow(make, "doc_id long, n long, sid long, keys array<long>")
@@ -123,8 +128,10 @@ def _members(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return near.mapInArrow(make, "region long, sid long, n long, shingles binary").dropDuplicates(["region", "sid"])
 
 
-def sketches(sets: list[np.ndarray], words: int = 16) -> np.ndarray:
-    """Parities of the counts of 64 x ``words`` hash buckets: one shingle more or less changes one bit."""
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parities of the counts of hash buckets, four or more for each shingle: one shingle more or less changes one bit."""
+    largest = max(map(len, sets), default=1)
+    words = min(1024, max(16, 1 << int(largest // 16).bit_length()))
     out = np.zeros((len(sets), words), U)
     for k, s in enumerate(sets):
         bit = mixed(s, 21) >> U(40)
@@ -172,27 +179,39 @@ def _linked(num: int, den: int, blocks: bool):
 
 
 def _cut(num: int, den: int):
-    """Members of a chunk to their nearest pivot and to all at most 2 (1 - num/den) farther."""
+    """Members of a chunk to their nearest pivot and to all at most 2 (1 - num/den) farther, by id."""
 
     def place(key: tuple, members: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
-        if not len(pivots):  # no pivot was drawn: the region stays
-            return members[["region", "sid", "n", "shingles"]]
-        points = [_set(x) for x in pivots["shingles"]]
+        points = [_set(x) for x in pivots["shingles"]] or [np.empty(0, U)]  # without a pivot the region stays one
+        names = [hash((int(key[0]), int(p))) & 0x7FFFFFFFFFFFFFFF for p in pivots["sid"]] or [int(key[0])]
         rows = []
         for sid, n, data in members[["sid", "n", "shingles"]].itertuples(index=False):
             s = _set(data)
             both = np.array([common(s, p) for p in points], float)
             far = 1 - both / np.maximum(1, n + np.array([len(p) for p in points]) - both)
-            for k in np.flatnonzero(far <= far.min() + 2 * (den - num) / den + 1e-9):
-                rows.append((hash((int(key[0]), int(pivots["sid"].iloc[k]))) & 0x7FFFFFFFFFFFFFFF, sid, n, data))
-        return pd.DataFrame(rows, columns=["region", "sid", "n", "shingles"])
+            rows += [(key[0], sid, names[k]) for k in np.flatnonzero(far <= far.min() + 2 * (den - num) / den + 1e-9)]
+        return pd.DataFrame(rows, columns=["region", "sid", "cell"])
 
     return place
 
 
-def links(members: DataFrame, num: int, den: int, most_sets: int = 4096, most_shingles: int = 4_000_000, levels: int = 3, pivots: int = 32) -> DataFrame:
+def _banded(members: DataFrame, num: int, den: int, most_sets: int, most_shingles: int) -> DataFrame:
+    """Families too large for a task, cut by size first: linked sizes differ by a factor of at most den / num.
+
+    The logarithm of the size is the distance to a pivot on a line. Bands are as wide as that factor; a member stands in
+    its own and in that of its largest partner, so that two linked sets are together in the larger one's band.
+    """
+    load = members.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles_in"))
+    large = settled(load.where((F.col("sets") > most_sets) | (F.col("shingles_in") > most_shingles)).select("region"), "large")
+    band = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(den / num)) + 1e-9)
+    n = F.col("n")
+    cut = members.join(large, "region").withColumn("band", F.explode(F.sequence(band(n), band(F.floor(n * den / num)))))
+    return members.join(large, "region", "left_anti").union(cut.select(F.xxhash64("region", "band").alias("region"), "sid", "n", "shingles"))
+
+
+def links(members: DataFrame, num: int, den: int, most_sets: int = 16_384, most_shingles: int = 8_000_000, levels: int = 3, pivots: int = 32) -> DataFrame:
     """(a, b): links that join all linked members of each region (region, sid, n, shingles)."""
-    found, region = [], members
+    found, region = [], _banded(members, num, den, most_sets, most_shingles)
     for level in range(levels + 1):
         load = settled(region.groupBy("region").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("shingles_in")), "regions")
         load = load.withColumn("tasks", F.ceil(F.greatest(F.col("sets") / most_sets, F.col("shingles_in") / most_shingles)).cast("int"))
@@ -210,13 +229,13 @@ def links(members: DataFrame, num: int, den: int, most_sets: int = 4096, most_sh
         drawn = F.pmod(F.xxhash64("sid", F.lit(level)), F.lit(1 << 40)) < F.lit(1 << 40) * F.lit(float(pivots)) / F.col("sets")
         points = here.where(drawn).select("region", "sid", "shingles", F.explode(F.sequence(F.lit(0), F.col("tasks") * 4 - 1)).alias("chunk"))
         points = settled(points.withColumn("chunk", F.col("chunk").cast("long")), "pivots")
-        placed = here.groupBy("region", "chunk").cogroup(points.groupBy("region", "chunk")).applyInPandas(_cut(num, den), "region long, sid long, n long, shingles binary")
+        placed = here.groupBy("region", "chunk").cogroup(points.groupBy("region", "chunk")).applyInPandas(_cut(num, den), "region long, sid long, cell long")
         placed = settled(placed, "placed")
-        before, after = here.count(), placed.groupBy("region").count().agg(F.max("count"), F.sum("count")).first()
+        before, after = here.count(), placed.groupBy("cell").count().agg(F.max("count"), F.sum("count")).first()
         if after[0] > 0.7 * large.agg(F.max("sets")).first()[0] or after[1] > 4 * before:
             found.append(_by_blocks(here.drop("chunk"), num, den))
             break
-        region = placed
+        region = placed.join(here, ["region", "sid"]).select(F.col("cell").alias("region"), "sid", "n", "shingles")
     return reduce(DataFrame.union, found)
 
 
@@ -238,13 +257,18 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     document like another and never names a component unless it is alone. Other columns are ignored.
     """
     d = documents(docs, id_col, text_col)
-    sized = settled(_sized(d, width, num, den), "sized")
+    keyed = scratch(spark := docs.sparkSession, "keyed")
+    _sized(d, width, num, den).write.parquet(keyed)
+    rows = spark.read.parquet(keyed)
+    sized = settled(rows.select("doc_id", "n", "sid"), "sized")
     full = sized.where("n > 0")
     each = settled(full.groupBy("sid").agg(F.min("doc_id").alias("first")), "sets")
-    at = full.select("sid", F.explode("keys").alias("part"))
+    # Dealt once by part: the smallest and the largest set of a part, and then the join, read the same shuffle.
+    at = rows.select("sid", F.explode("keys").alias("part")).where("sid IS NOT NULL AND part IS NOT NULL").repartition("part")
     shared = at.groupBy("part").agg(F.min("sid").alias("pivot"), F.max("sid").alias("other")).where("pivot < other").select("part", "pivot")
     met = at.join(shared, "part").where("sid != pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
     family = components(met)
+    discard(spark, keyed)
     wanted = family.select(F.col("node").alias("sid"), F.col("component").alias("region")).join(each, "sid").select(F.col("first").alias("doc_id"), "sid", "region")
     joined = components(links(settled(_members(d, wanted, width), "members"), num, den, **limits))
     sets = each.join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", "first", F.coalesce("component", "sid").alias("c"))
