@@ -208,8 +208,11 @@ def decode_ids(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of encoding and decoding in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256 and whether the bytes came back."""
+def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", forget: bool = False) -> DataFrame:
+    """Digests of encoding and decoding in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256 and whether the bytes came back.
+
+    ``forget``: a task gives its memory of words back when it ends, for jobs whose other stages need the room.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(ranks, pattern)
@@ -228,6 +231,10 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
                     ],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "same"],
                 )
+        if forget:
+            del own
+            _codecs.clear()
+            gc.collect()
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean")
 
@@ -244,4 +251,4 @@ def op6_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's last stage: each document's token count and digests."""
-    return round_trip(docs, *_files()).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return round_trip(docs, *_files(), forget=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
