@@ -459,6 +459,28 @@ def test_recall_of_edited_passages():
     assert not any(d.passages([" ".join(rng.choices(pool, k=300)) for _ in range(50)], index, memory, 0.2))
 
 
+def test_recall_up_to_the_edits_that_are_accepted(spark):
+    """Smallest and other items of each class, with as many words edited as a rate allows; settings as the query has them."""
+    from vireo.llm import decontaminate as d
+
+    rng, pool, trials = random.Random(6), [f"w{k}" for k in range(20000)], 100
+    items, texts, cells = [], [], {}
+    for m in (8, 10, 15, 16, 20, 32, 40, 60):
+        for rate in (0.1, 0.15, 0.2):
+            for _ in range(trials):
+                item, k = rng.choices(pool, k=m), len(items)
+                at = set(rng.sample(range(m), max(1, int(rate * m))))
+                edited = [y for x, w in enumerate(item) for y in (rng.choice([[rng.choice(pool)], [], [w, rng.choice(pool)]]) if x in at else [w])]
+                before = rng.choices(pool, k=rng.randint(40, 80))
+                items.append((k, " ".join(item)))
+                texts.append((k, " ".join(before + edited + rng.choices(pool, k=60))))
+                cells[k] = m, rate
+    found = d.find_passages(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    hits = Counter(cells[r.doc_id] for r in found.collect() if r.doc_id == r.item_id)
+    recall = {c: hits[c] / trials for c in set(cells.values())}
+    assert min(recall.values()) >= 0.9, sorted(recall.items())
+
+
 def test_passages_odd_rows(spark, odd, none):
     from vireo.llm import decontaminate as d
 

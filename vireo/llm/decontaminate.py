@@ -4,10 +4,11 @@ The CGK embedding reads a sequence of words by a random walk: at step j it write
 word's hash says, moves on or stays. Texts that differ in few edits give walks that meet again soon, so edit distance
 becomes Hamming distance of what is written, and sampling a few steps gives a locality-sensitive key.
 
-Items are sorted by length into classes; a class walks windows of its size at every fourth of that size through the
-documents, and from every word of its items. A passage is found if any of its windows has an item's key under any of
-the independent walks, of which there are as many as the target recall asks for. Each meeting is then verified: the
-edit distance, in words, of the whole item to its best place in the document.
+Items are sorted by length into classes of windows, at most half an item except in the first; a class walks windows of its
+size at every fourth of that size through the documents, and from every word of its items. A passage is found if any of
+its windows has an item's key under any of the independent walks, of which there are as many as the target recall asks
+for at the greatest share of edited words that is accepted. Each meeting is then verified: the edit distance, in words,
+of the whole item to its best place in the document.
 
 The benchmark is a query set. It goes through the documents in blocks of a fixed number of items, each block's keys
 broadcast; documents are never shuffled.
@@ -30,7 +31,9 @@ from .shingles import U, Words, mixed, words_of
 
 BLOCK_ITEMS = 20_000
 SAMPLED = 6
-CLASSES = (8, 16, 32)
+#: A key of fewer words says little and meets frequent words everywhere.
+LEAST_READ = 3
+CLASSES = (8, 16)
 EDGES = bytes(range(0x21, 0x30)) + b":;<=>?@[\\]^_`{|}~"
 FOUND = "doc_id long, item_id long, distance int, start_word long, end_word long"
 MULTIPLIER = U(0x9E3779B97F4A7C15)
@@ -94,12 +97,12 @@ def index_of(rows: list[tuple[int | None, str | None]], min_words: int, recall:
     for k, w in enumerate(items):
         if len(w) < min_words:
             continue
-        size = max([c for c in CLASSES if c <= len(w)], default=CLASSES[0])
+        size = max([c for c in CLASSES if 2 * c <= len(w)], default=CLASSES[0])
         used[size] = walks[size]
         padded, starts = np.concatenate([w, np.zeros(size, U)]), np.arange(len(w))
         for r in range(walks[size]):
             key, last = walk_keys(padded, starts, size, r)
-            inside = last < len(w)
+            inside = (last < len(w)) & (last - starts >= LEAST_READ - 1)
             keys.append(key[inside])
             item.append(np.full(int(inside.sum()), k))
             offset.append(starts[inside])
@@ -179,13 +182,13 @@ def _blocks(benchmark: DataFrame, min_words: int, recall: float, edit_rate: floa
 
 
 def find_passages(
-    docs: DataFrame, benchmark: DataFrame, max_edit_rate: float = 0.2, recall: float = 0.9, edit_rate: float = 0.05, min_words: int = 8, batch: int = 256
+    docs: DataFrame, benchmark: DataFrame, max_edit_rate: float = 0.2, recall: float = 0.9, edit_rate: float | None = None, min_words: int = 8, batch: int = 256
 ) -> DataFrame:
     """doc_id, item_id, distance, start_word, end_word: every item found in every row of ``docs``, at its best place.
 
     Words stand between ASCII blanks, A-Z lower-cased, without ASCII punctuation at their ends. An item is found where at
     most ``max_edit_rate`` of its words need editing; candidates are sought so that with a share ``edit_rate`` of words
-    edited at least ``recall`` are met (an unedited passage always is). Items of fewer than ``min_words`` words say too
+    edited (``max_edit_rate`` if not given) at least ``recall`` are met. Items of fewer than ``min_words`` words say too
     little and are never found. Null or empty texts hold nothing. Rows that repeat an id are searched each; null ids are
     kept. An empty benchmark or table gives no rows. Other columns are ignored.
     """
@@ -203,10 +206,10 @@ def find_passages(
         return run
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return reduce(DataFrame.union, [d.mapInArrow(search(b), FOUND) for b in _blocks(benchmark, min_words, recall, edit_rate)])
+    return reduce(DataFrame.union, [d.mapInArrow(search(b), FOUND) for b in _blocks(benchmark, min_words, recall, max_edit_rate if edit_rate is None else edit_rate)])
 
 
-def without_passages(docs: DataFrame, benchmark: DataFrame, max_edit_rate: float = 0.2, recall: float = 0.9, edit_rate: float = 0.05, min_words: int = 8, batch: int = 256) -> DataFrame:
+def without_passages(docs: DataFrame, benchmark: DataFrame, max_edit_rate: float = 0.2, recall: float = 0.9, edit_rate: float | None = None, min_words: int = 8, batch: int = 256) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no item (see ``find_passages``)."""
 
     def keep(shared):
@@ -219,7 +222,7 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, max_edit_rate: float
 
         return run
 
-    return reduce(lambda df, b: df.mapInArrow(keep(b), df.schema), _blocks(benchmark, min_words, recall, edit_rate), docs)
+    return reduce(lambda df, b: df.mapInArrow(keep(b), df.schema), _blocks(benchmark, min_words, recall, max_edit_rate if edit_rate is None else edit_rate), docs)
 
 
 def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
