@@ -1,6 +1,9 @@
+import inspect
+
 import pytest
 
 from vireo import oracles, queries
+from vireo.plans import factorial
 
 CHEAP = [n for n in oracles.ORACLES if not n.startswith(("vi_", "argmax"))]
 
@@ -20,3 +23,22 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert e.oracle_sql().keys() <= e.queries().keys()
+
+
+@pytest.mark.parametrize("name, kernel", [("factorial_results", "execute"), ("factorial_contrasts", "execute"), ("vi_kernel_labels", "partitions")])
+def test_kernels_run_with_production_settings(spark, sf, monkeypatch, name, kernel):
+    real, used = getattr(factorial, kernel), {}
+
+    def spy(*args, **more):
+        bound = inspect.signature(real).bind(*args, **more)
+        bound.apply_defaults()
+        used.update(bound.arguments)
+        return real(*args, **more)
+
+    monkeypatch.setattr(factorial, kernel, spy)
+    queries.QUERIES[name](spark, sf)
+    assert (used["k"], used["particles"], used["window"]) == (8, 64, 24)
+
+
+def test_calibration_tries_every_candidate(spark, sf):
+    assert {r.k for r in queries.calibration_diagnostics(spark, sf).collect()} == {8, 12, 16, 24, 32}

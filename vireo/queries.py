@@ -415,35 +415,38 @@ def uniforms(spark, d):
 # --- without SQL: sequential or random kernels ---------------------------------------------------------------------
 
 
+FIT_K = 8  # of factorial.execute and factorial.partitions, whose defaults hold below
+
+
 def _fit_cells(spark, d):
     """Blocks whose most thinned first snapshot can start the model, six snapshots each."""
     obs = _obs(spark, d)
     first = thinned(with_uniform(obs, SEED), (max(DROPOUTS),)).groupBy("block_id").agg(F.count_if(F.col("snapshot_index") == 0).alias("n"), F.countDistinct("snapshot_index").alias("s"))
-    ok = first.where((F.col("n") >= K) & (F.col("s") == 6)).select("block_id")
+    ok = first.where((F.col("n") >= FIT_K) & (F.col("s") == 6)).select("block_id")
     return obs.join(ok, "block_id", "left_semi")
 
 
 def factorial_results(spark, d):
     """All cells, both methods and three rates; latency aside, which no two runs share."""
     obs = _fit_cells(spark, d)
-    out = factorial.execute(obs, factorial.design(obs), K, particles=8, window=4, base_seed=SEED)
+    out = factorial.execute(obs, factorial.design(obs), FIT_K, base_seed=SEED)
     return _r(out.drop("compute_latency_ms", "compute_latency_ms_per_observation"))
 
 
 def factorial_contrasts(spark, d):
     obs = _fit_cells(spark, d)
-    out = factorial.execute(obs, factorial.design(obs), K, particles=8, window=4, base_seed=SEED)
+    out = factorial.execute(obs, factorial.design(obs), FIT_K, base_seed=SEED)
     return metrics.contrast_moments(metrics.contrasts(metrics.contrast_cube(out, "mean_prequential_log_score", factorial.METHODS, DROPOUTS)))
 
 
 def calibration_diagnostics(spark, d):
-    return _r(factorial.calibrate(_obs(spark, d), (2, 4, 8), base_seed=SEED))
+    return _r(factorial.calibrate(_obs(spark, d), base_seed=SEED))
 
 
 def vi_kernel_labels(spark, d):
     obs = _fit_cells(spark, d)
     cells = factorial.design(obs, (factorial.METHODS[0],), (0.0,))
-    return factorial.partitions(obs, cells, K, base_seed=SEED)
+    return factorial.partitions(obs, cells, FIT_K, base_seed=SEED)
 
 
 def exact_mask_counts(spark, d):
