@@ -206,3 +206,52 @@ def test_chains(spark):
             metrics.rank_rhat(frame(bad))
     with pytest.raises(ValueError):
         metrics.bulk_ess(frame(np.ones((4, 40))))
+
+
+def test_chains_in_bounded_parts(spark, monkeypatch):
+    """Ranks, medians and autocovariances of cut tables equal those of whole ones, and only a block of lags reaches the driver."""
+    import statistics
+
+    import numpy as np
+    import pandas as pd
+
+    from vireo.operators import metrics
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4, 601)).round(2)
+    for k in range(1, 601):
+        x[:, k] = (0.8 * x[:, k - 1] + x[:, k]).round(2)
+    draws = spark.createDataFrame(pd.DataFrame({"chain": np.repeat(range(4), 601), "draw": np.tile(range(601), 4), "value": x.ravel()}))
+    halves = np.concatenate([x[:, :300], x[:, 301:]])
+    inv = np.vectorize(statistics.NormalDist().inv_cdf)
+    z = inv((pd.Series(halves.ravel()).rank().to_numpy() - 0.375) / (2400 + 0.25)).reshape(8, 300)
+    c = z - z.mean(1, keepdims=True)
+    cov = [(c[:, : 300 - k] * c[:, k:]).sum() / 2400 for k in range(300)]
+    within = z.var(1, ddof=1).mean()
+    total = 299 / 300 * within + z.mean(1).var(ddof=1)
+    rho, sums = [1.0] + [1 - (within - v) / total for v in cov[1:]], []
+    for k in range(0, 299, 2):
+        if rho[k] + rho[k + 1] < 0:
+            break
+        sums.append(min([rho[k] + rho[k + 1], *sums[-1:]]))
+
+    collect, most = type(draws).collect, []
+
+    def counted(df):
+        out = collect(df)
+        most.append(len(out))
+        return out
+
+    monkeypatch.setattr(type(draws), "collect", counted)
+    for bucket, lags in ((16_384, 64), (64, 4)):
+        monkeypatch.setattr(metrics, "BUCKET", bucket, raising=False)
+        monkeypatch.setattr(metrics, "LAGS", lags, raising=False)
+        most.clear()
+        assert metrics.bulk_ess(draws) == pytest.approx(2400 / (2 * sum(sums) - 1), rel=1e-9)
+        assert max(most) <= 64
+        split = metrics.split_chains(draws)
+        assert metrics.middle(split, "value") == pytest.approx(np.median(halves))
+        ranks = metrics.average_ranks(split, "value")
+        assert "windowspecdefinition(value" not in ranks._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted((r.value, r["rank"]) for r in ranks.select("value", "rank").collect())
+        assert got == sorted(zip(halves.ravel().tolist(), pd.Series(halves.ravel()).rank().tolist(), strict=True))

@@ -275,8 +275,7 @@ def holm(spark, d):
 
 def _draws(spark, d):
     e = events(spark, d)
-    w = Window.partitionBy(F.col("event_id") % 4).orderBy("event_id")
-    n = e.select((F.col("event_id") % 4).alias("chain"), F.row_number().over(w).alias("draw"), F.col("value"))
+    n = metrics.in_order(e.select((F.col("event_id") % 4).alias("chain"), "event_id", "value"), "chain", "event_id", metrics.BUCKET, "draw").select("chain", F.col("draw").cast("int").alias("draw"), "value")
     least = n.groupBy("chain").count().agg(F.min("count").alias("least"))
     return n.join(least, F.col("draw") <= F.col("least")).drop("least")
 
@@ -368,7 +367,8 @@ def mean_score(spark, d):
 
 def chain_autocovariance(spark, d):
     """Autocovariances of a chain's first lags, by a self join on the draw."""
-    x = _draws(spark, d).withColumn("c", F.col("value") - F.avg("value").over(Window.partitionBy("chain")))
+    draws = _draws(spark, d)
+    x = draws.join(F.broadcast(draws.groupBy("chain").agg(F.avg("value").alias("mean"))), "chain").withColumn("c", F.col("value") - F.col("mean"))
     lags = x.select("chain", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("lag"), "draw", "c")
     later = x.select("chain", F.col("draw").alias("at"), F.col("c").alias("c2"))
     pairs = lags.withColumn("at", F.col("draw") + F.col("lag")).join(later, ["chain", "at"])
