@@ -21,10 +21,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a temporary one, set once for the session."""
+    """The folder in ``spark.checkpoint.dir``; where a local session has none (tests), a temporary one, set once."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vireo-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,11 +42,20 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Remove tables of ``settled`` that nothing will read again."""
+    for df in tables:
+        if df is not None:
+            discard(df.sparkSession, df.settled_at)
 
 
 def discard(spark: SparkSession, path: str) -> None:
-    """Remove a table of ``settled`` or a folder of ``scratch`` that nothing will read again."""
+    """Remove a folder of ``scratch`` that nothing will read again."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
