@@ -12,6 +12,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,8 @@ from .files import fresh, reader, writer
 
 GZIP, CHUNK = 31, 1 << 20
 ID = "urn:page:"
+#: ASCII that stands in a header as it is; blanks, controls, the per cent sign and all else are written as %XX.
+URI = "".join(chr(c) for c in range(0x21, 0x7F) if chr(c) != "%")
 MANIFEST = "path string, records long"
 INDEXED = "path string, index_path string, records long"
 ROWS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
@@ -54,7 +57,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <{ID}{'' if page_id is None else page_id}>",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {' '.join((url or '').split())}",
+        f"WARC-Target-URI: {quote(url or '', safe=URI)}",
         f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
     ]
     if refers_to is None:
@@ -94,36 +97,42 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 64 << 20, le
 
 
 class _Stream:
-    """Inflates a file chunk by chunk, across members if there are several."""
+    """Inflates a file a bounded piece at a time, across members if there are several; ``at`` is how much of ``held`` is read."""
 
     def __init__(self, file) -> None:
-        self.file, self.inflate, self.held = file, zlib.decompressobj(GZIP), b""
+        self.file, self.inflate, self.raw, self.held, self.at = file, zlib.decompressobj(GZIP), b"", b"", 0
 
     def _more(self) -> bool:
-        raw = self.inflate.unused_data
+        """At most another ``CHUNK`` inflated bytes behind those not read yet."""
         if self.inflate.eof:
-            self.inflate = zlib.decompressobj(GZIP)
-        raw = raw or self.file.read(CHUNK)
-        if not raw:
+            self.raw, self.inflate = self.inflate.unused_data or self.raw, zlib.decompressobj(GZIP)
+        self.raw = self.raw or self.file.read(CHUNK)
+        new = self.inflate.decompress(self.raw, CHUNK)
+        ended = not self.raw and not new
+        self.raw = b"" if self.inflate.eof else self.inflate.unconsumed_tail
+        if ended:
             return False
-        self.held += self.inflate.decompress(raw)
+        self.held, self.at = self.held[self.at :] + new, 0
         return True
 
     def until(self, mark: bytes) -> bytes | None:
         """Bytes up to and with ``mark``; None at the end."""
-        while (at := self.held.find(mark)) < 0:
+        seen = self.at
+        while (end := self.held.find(mark, max(self.at, seen - len(mark)))) < 0:
+            seen = len(self.held) - self.at
             if not self._more():
-                if self.held.strip():
+                if self.held[self.at :].strip():
                     raise ValueError("the archive ends within a record header")
                 return None
-        got, self.held = self.held[: at + len(mark)], self.held[at + len(mark) :]
+        got, self.at = self.held[self.at : end + len(mark)], end + len(mark)
         return got
 
     def exactly(self, n: int) -> Iterator[bytes]:
         while n:
-            if not self.held and not self._more():
+            if self.at == len(self.held) and not self._more():
                 raise ValueError("the archive ends within a record")
-            got, self.held = self.held[:n], self.held[n:]
+            got = self.held[self.at : self.at + n]
+            self.at += len(got)
             n -= len(got)
             if got:
                 yield got
@@ -172,7 +181,7 @@ def parsed(data: bytes) -> tuple:
     number = lambda x: int(x) if (x := x.strip("<>").removeprefix(ID)) else None
     size = int(headers(http)["content-length"])
     refers = number(fields["warc-refers-to"]) if kind == "revisit" else None
-    return number(fields["warc-record-id"]), size, digest, kind, refers, fields["warc-target-uri"], payload if kind == "response" else None
+    return number(fields["warc-record-id"]), size, digest, kind, refers, unquote(fields["warc-target-uri"]), payload if kind == "response" else None
 
 
 def read_archives(indexed: DataFrame, with_payload: bool = True, rows: int = 256) -> DataFrame:
@@ -204,6 +213,11 @@ def read_archives(indexed: DataFrame, with_payload: bool = True, rows: int = 256
     return indexed.select("path", "index_path").mapInArrow(read, schema)
 
 
+def _dealt(files: DataFrame) -> DataFrame:
+    """A row per file, dealt in turn: one task for a few archives."""
+    return files.repartition(max(2, files.count() // 2))
+
+
 def archive_pages(pages: DataFrame, folder: str, min_payload: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` written to ``folder`` as normalised archives; one row (path, index_path, records) per archive.
 
@@ -216,11 +230,11 @@ def archive_pages(pages: DataFrame, folder: str, min_payload: int = 0, id_col: s
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload")
     )
     whole = settled(write_archives(revisits(p, min_payload), f"{folder}/whole"), "warc-whole")
-    paths = whole.repartition(max(1, spark.sparkContext.defaultParallelism), "path")
-    return settled(normalise(paths, f"{folder}/records"), "warc-records")
+    return settled(normalise(_dealt(whole), f"{folder}/records"), "warc-records")
 
 
 def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per page, as ``read_archives`` finds it in the archives of all pages."""
     archives = archive_pages(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
-    back = read_archives(archives.repartition(max(1, spark.sparkContext.defaultParallelism), "path"), with_payload=False)
+    back = read_archives(_dealt(archives), with_payload=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
