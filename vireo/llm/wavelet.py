@@ -163,29 +163,26 @@ def encoder(path: str) -> Memory:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
+        added = tuple(t.content for t in tok.get_added_tokens_decoder().values())
         vocabulary = tok.get_vocab(with_added_tokens=False)
         size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         size[list(vocabulary.values())] = [len(t) for t in vocabulary]  # byte-level: a character of the token is a byte
 
         def fill(texts: list[str]) -> list[bytes]:
+            return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+        def fill_after(keys: list[str]) -> list[bytes]:
             """Parts in a row are tokenized as one text, and cut where their bytes end: no token crosses."""
-            rows, at = [], 0
-            for k, t in enumerate(texts):
-                if k == at or k - at < ROW and t[:1] == " " and t[1:2].strip():
-                    continue
-                rows.append((at, k))
-                at = k
-            rows.append((at, len(texts)))
-            out = []
-            for (a, b), e in zip(rows, tok.encode_batch_fast(["".join(texts[a:b]) for a, b in rows], add_special_tokens=False), strict=True):
-                ids = np.asarray(e.ids, "<u4")
-                data, ends = ids.tobytes(), np.cumsum([len(t.encode()) for t in texts[a:b]])
-                cut = (4 * np.searchsorted(np.cumsum(size[ids]), ends, side="right")).tolist()
+            rows, out = [keys[k : k + ROW] for k in range(0, len(keys), ROW)], []
+            joined = [" " + " ".join(row) for row in rows]
+            for row, text, e in zip(rows, joined, tok.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                ends = np.cumsum(1 + np.fromiter(map(len, row if text.isascii() else map(str.encode, row)), np.int64, len(row)))
+                data, cut = ids.tobytes(), (4 * np.searchsorted(np.cumsum(size[ids]), ends, side="right")).tolist()
                 out += [data[x:y] for x, y in zip([0, *cut], cut, strict=False)]
             return out
 
-        _memories[path] = Memory(fill, 800_000)
+        _memories[path] = Memory(fill, 800_000, added, fill, fill_after)
     return _memories[path]
 
 
