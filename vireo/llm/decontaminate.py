@@ -4,36 +4,44 @@ The CGK embedding reads a sequence of words by a random walk: at step j it write
 word's hash says, moves on or stays. Texts that differ in few edits give walks that meet again soon, so edit distance
 becomes Hamming distance of what is written, and sampling a few steps gives a locality-sensitive key.
 
-Items are sorted by length into classes of windows, at most half an item except in the first; a class walks windows of its
-size at every fourth of that size through the documents, and from every word of its items. A passage is found if any of
-its windows has an item's key under any of the independent walks, of which there are as many as the target recall asks
-for at the greatest share of edited words that is accepted. Each meeting is then verified: the edit distance, in words,
-of the whole item to its best place in the document.
-
-The benchmark is a query set. It goes through the documents in blocks of a fixed number of items, each block's keys
-broadcast; documents are never shuffled.
+Items of ``CGK_LEAST`` words and more are sorted by length into classes of windows, at most half an item or eight words;
+a class walks windows of its size at every fourth of that size through each document, counted from its first word, and
+from every word of its items. A passage is found if any of its windows has an item's key under any of the independent
+walks, of which there are as many as the target recall asks for at the greatest share of edited words that is accepted.
+Wider windows would need many more walks (``walks_for``: 3 at 8 words, 7 at 16, 41 at 32, 1453 at 64, for 20 % of edited
+words), so a long item has many windows instead of wide ones. Shorter items are cut into one piece more than the edits
+they may have, one of which any accepted passage leaves whole: pieces are sought at every word, and none is missed. Each
+meeting is then verified: the edit distance, in words, of the whole item to its best place in the document.
+
+The benchmark is a query set, indexed in blocks of bounded size, a file each in the shared folder. The documents are
+read once and never shuffled: a task walks a few of them and looks their keys up in one block after the other.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import scratch, table
+from .files import fresh, reader, writer
 from .shingles import U, Words, mixed, words_of
 
-BLOCK_ITEMS = 20_000
+#: Items of a block, and bytes of their texts; a longer item is a block of its own.
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 1 << 20
 SAMPLED = 6
 #: A key of fewer words says little and meets frequent words everywhere.
 LEAST_READ = 3
 CLASSES = (8, 16)
+#: Shorter items are sought by exact pieces.
+CGK_LEAST = 10
 EDGES = bytes(range(0x21, 0x30)) + b":;<=>?@[\\]^_`{|}~"
 FOUND = "doc_id long, item_id long, distance int, start_word long, end_word long"
 MULTIPLIER = U(0x9E3779B97F4A7C15)
@@ -76,26 +84,52 @@ def walk_keys(words: np.ndarray, starts: np.ndarray, size: int, walk: int) -> tu
     return key, last
 
 
+def piece_keys(words: np.ndarray, size: int) -> np.ndarray:
+    """The key of the ``size`` words from each place; ``words`` must go ``size`` beyond the last place that counts."""
+    key = np.full(len(words) - size, U(size * 64 + 63))
+    for k in range(size):
+        key = mixed(key ^ words[k : len(words) - size + k], k)
+    return key
+
+
+def pieces_of(n: int, edits: int) -> list[tuple[int, int]]:
+    """(start, size) of ``edits`` + 1 pieces of n words: as many edits leave one whole."""
+    cuts = [n * k // (edits + 1) for k in range(edits + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 @dataclass
 class Index:
-    """A block of items by the keys of their windows."""
+    """A block of items by the keys of their windows, and of the pieces of short items."""
 
     item_ids: list[int | None]
     items: list[np.ndarray]
     walks: dict[int, int]
+    pieces: list[int]
     keys: np.ndarray
     item: np.ndarray
     offset: np.ndarray
     maybe: np.ndarray
 
 
-def index_of(rows: list[tuple[int | None, str | None]], min_words: int, recall: float, edit_rate: float) -> Index:
+def index_of(rows: list[tuple[int | None, str | None]], recall: float, edit_rate: float, max_edit_rate: float) -> Index:
     words = PlainWords()
     items = [words.of(words_of(t)) for _, t in rows]
     walks = {c: walks_for(recall, edit_rate, c) for c in CLASSES}
-    keys, item, offset, used = [np.empty(0, U)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], {}
+    keys, item, offset, used, sizes = [np.empty(0, U)], [np.empty(0, np.int32)], [np.empty(0, np.int32)], {}, set()
+
+    def add(found: np.ndarray, k: int, at: np.ndarray) -> None:
+        keys.append(found)
+        item.append(np.full(len(found), k, np.int32))
+        offset.append(at.astype(np.int32))
+
     for k, w in enumerate(items):
-        if len(w) < min_words:
+        if not len(w):
+            continue
+        if len(w) < CGK_LEAST:
+            for at, size in pieces_of(len(w), int(max_edit_rate * len(w))):
+                sizes.add(size)
+                add(piece_keys(np.concatenate([w[at : at + size], np.zeros(1, U)]), size), k, np.array([at]))
             continue
         size = max([c for c in CLASSES if 2 * c <= len(w)], default=CLASSES[0])
         used[size] = walks[size]
@@ -103,14 +137,41 @@ def index_of(rows: list[tuple[int | None, str | None]], min_words: int, recall:
         for r in range(walks[size]):
             key, last = walk_keys(padded, starts, size, r)
             inside = (last < len(w)) & (last - starts >= LEAST_READ - 1)
-            keys.append(key[inside])
-            item.append(np.full(int(inside.sum()), k))
-            offset.append(starts[inside])
+            add(key[inside], k, starts[inside])
     key, which, off = np.concatenate(keys), np.concatenate(item), np.concatenate(offset)
     order = np.argsort(key, kind="stable")
     maybe = np.zeros(1 << 22, bool)
     maybe[(key >> U(42)).astype(np.int64)] = True
-    return Index([i for i, _ in rows], items, used, key[order], which[order], off[order], maybe)
+    return Index([i for i, _ in rows], items, used, sorted(sizes), key[order], which[order], off[order], maybe)
+
+
+class Texts:
+    """The words of some documents in a row, and the keys of their windows, each made once."""
+
+    def __init__(self, texts: list[str | None], words: Words) -> None:
+        split = [words_of(t) for t in texts]
+        size = np.array([len(s) for s in split], np.int64)
+        self.ends = np.cumsum(size)
+        self.starts = self.ends - size
+        self.flat = words.of([w for s in split for w in s])
+        self.padded = np.concatenate([self.flat, np.zeros(max(*CLASSES, CGK_LEAST) + 1, U)])
+        self.within = np.arange(len(self.flat)) - np.repeat(self.starts, size)
+        self.end_of = np.repeat(self.ends, size)
+        self.made: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+
+    def keys(self, size: int, walk: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and keys of a class's windows under a walk, or with walk -1 of all pieces; none reads beyond its document."""
+        if (size, walk) not in self.made:
+            if walk < 0:
+                at = np.flatnonzero(np.arange(len(self.flat)) + size <= self.end_of)
+                key = piece_keys(self.padded[: len(self.flat) + size], size)[at]
+            else:
+                at = np.flatnonzero(self.within % max(1, size // 4) == 0)
+                key, last = walk_keys(self.padded, at, size, walk)
+                inside = last < self.end_of[at]
+                at, key = at[inside], key[inside]
+            self.made[size, walk] = at, key
+        return self.made[size, walk]
 
 
 def best_place(item: list[int], text: list[int]) -> tuple[int, int]:
@@ -132,26 +193,22 @@ def best_place(item: list[int], text: list[int]) -> tuple[int, int]:
     return best
 
 
-def passages(texts: list[str | None], index: Index, words: Words, max_edit_rate: float) -> list[list[tuple[int, int, int, int]]]:
+def passages(texts: Texts, index: Index, max_edit_rate: float) -> list[list[tuple[int, int, int, int]]]:
     """For each text its (item number, distance, first word, word after the last)."""
-    split = [words_of(t) for t in texts]
-    ends = np.cumsum([len(s) for s in split])
-    flat = words.of([w for s in split for w in s])
-    padded = np.concatenate([flat, np.zeros(max(CLASSES) + 1, U)])
     met: set[tuple[int, int, int]] = set()
-    for size, walks in index.walks.items():
-        starts = np.arange(0, len(flat), max(1, size // 4))
-        for r in range(walks if len(starts) else 0):
-            key, _ = walk_keys(padded, starts, size, r)
+    if len(texts.flat):
+        for size, walk in [(c, r) for c, n in index.walks.items() for r in range(n)] + [(p, -1) for p in index.pieces]:
+            at, key = texts.keys(size, walk)
             hit = np.flatnonzero(index.maybe[(key >> U(42)).astype(np.int64)])
             low, high = np.searchsorted(index.keys, key[hit], "left"), np.searchsorted(index.keys, key[hit], "right")
-            for h, a, b in zip(hit[low < high], low[low < high], high[low < high], strict=True):
-                place = int(starts[h])
-                doc = int(np.searchsorted(ends, place, side="right"))
+            places = at[hit[low < high]]
+            docs = np.searchsorted(texts.ends, places, side="right")
+            for place, doc, a, b in zip(places.tolist(), docs.tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
                 met.update((doc, int(index.item[x]), place - int(index.offset[x])) for x in range(a, b))
-    out: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]
+    out: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts.ends]
+    flat = texts.flat
     for doc, k, start in sorted(met):
-        item, first, end = index.items[k], int(ends[doc]) - len(split[doc]), int(ends[doc])
+        item, first, end = index.items[k], int(texts.starts[doc]), int(texts.ends[doc])
         known, m = out[doc].get(k), len(item)
         if known and (known[0] == 0 or known[1] <= start - first < known[2]):
             continue
@@ -169,66 +226,95 @@ def passages(texts: list[str | None], index: Index, words: Words, max_edit_rate:
 
 
 _words = PlainWords()
-
-
-def _blocks(benchmark: DataFrame, min_words: int, recall: float, edit_rate: float):
-    """The broadcast index of each block of items."""
-    spark = benchmark.sparkSession
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    n = max(1, math.ceil(rows.count() / BLOCK_ITEMS))
-    for block in range(n):
-        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block).collect()
-        yield spark.sparkContext.broadcast(index_of(sorted(((r.item_id, r.text) for r in own), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")), min_words, recall, edit_rate))
-
-
-def find_passages(
-    docs: DataFrame, benchmark: DataFrame, max_edit_rate: float = 0.2, recall: float = 0.9, edit_rate: float | None = None, min_words: int = 8, batch: int = 256
-) -> DataFrame:
+_loaded: dict[str, Index] = {}
+
+
+def _index(path: str) -> Index:
+    """The index of a block; a worker process keeps the last one."""
+    if path not in _loaded:
+        _loaded.clear()
+        with reader(path) as file:
+            _loaded[path] = pickle.loads(file.read())
+    return _loaded[path]
+
+
+def item_blocks(benchmark: DataFrame, max_edit_rate: float, recall: float, edit_rate: float) -> list[str]:
+    """Files of the index, one for each block of items; their paths are all that comes to the driver."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n, folder = max(1, math.ceil(size.n / BLOCK_ITEMS), math.ceil(size.bytes / BLOCK_BYTES)), scratch(benchmark.sparkSession, "items")
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = [None if pd.isna(i) else int(i) for i in pdf["item_id"]]
+        own = sorted(zip(ids, pdf["text"], strict=True), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        path = fresh(folder, "block", ".pickle")
+        with writer(path) as out:
+            out.write(pickle.dumps(index_of(own, recall, edit_rate, max_edit_rate)))
+        return pd.DataFrame({"path": [path]})
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    made = dealt.groupBy("block").applyInPandas(build, "path string").collect()  # a row per block
+    return sorted(r.path for r in made)
+
+
+def _searched(texts: list[str | None], blocks: list[str], max_edit_rate: float, batch: int) -> Iterator[list[list[tuple]]]:
+    """For a few texts at a time, what each holds: (item_id, distance, start, end)."""
+    for x in range(0, len(texts), batch):
+        some = Texts(texts[x : x + batch], _words)
+        found: list[list[tuple]] = [[] for _ in some.ends]
+        for path in blocks:
+            index = _index(path)
+            for own, hits in zip(found, passages(some, index, max_edit_rate), strict=True):
+                own += [(index.item_ids[k], *at) for k, *at in hits]
+        yield found
+
+
+def find_passages(docs: DataFrame, benchmark: DataFrame, max_edit_rate: float = 0.2, recall: float = 0.9, edit_rate: float | None = None, batch: int | None = None) -> DataFrame:
     """doc_id, item_id, distance, start_word, end_word: every item found in every row of ``docs``, at its best place.
 
     Words stand between ASCII blanks, A-Z lower-cased, without ASCII punctuation at their ends. An item is found where at
     most ``max_edit_rate`` of its words need editing; candidates are sought so that with a share ``edit_rate`` of words
-    edited (``max_edit_rate`` if not given) at least ``recall`` are met. Items of fewer than ``min_words`` words say too
-    little and are never found. Null or empty texts hold nothing. Rows that repeat an id are searched each; null ids are
-    kept. An empty benchmark or table gives no rows. Other columns are ignored.
+    edited (``max_edit_rate`` if not given) at least ``recall`` are met. Items of fewer than ``CGK_LEAST`` words are
+    all met. What is found in a row hangs on that row alone. Items without words are never found; items that repeat are
+    found each. Null or empty texts hold nothing. Rows that repeat an id are searched each; null ids are kept. An empty
+    benchmark or table gives no rows. Other columns are ignored.
     """
-
-    def search(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for rows in batches:
-                ids, texts = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
-                found = [(d, index.item_ids[k], *at) for x in range(0, len(ids), batch) for d, hits in zip(ids[x : x + batch], passages(texts[x : x + batch], index, _words, max_edit_rate), strict=True) for k, *at in hits]
-                d, i, e, a, b = zip(*found, strict=True) if found else ((),) * 5
-                long = pa.int64()
-                yield pa.RecordBatch.from_arrays([pa.array(d, long), pa.array(i, long), pa.array(e, pa.int32()), pa.array(a, long), pa.array(b, long)], names=["doc_id", "item_id", "distance", "start_word", "end_word"])
-
-        return run
+    blocks = item_blocks(benchmark, max_edit_rate, recall, max_edit_rate if edit_rate is None else edit_rate)
+    step = batch or (256 if len(blocks) < 2 else 2048)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        long = pa.int64()
+        for rows in batches:
+            ids, texts = rows.column("doc_id").to_pylist(), rows.column("text").to_pylist()
+            each = [hits for some in _searched(texts, blocks, max_edit_rate, step) for hits in some]
+            found = [(d, *at) for d, hits in zip(ids, each, strict=True) for at in hits]
+            d, i, e, a, b = zip(*found, strict=True) if found else ((),) * 5
+            made = [pa.array(d, long), pa.array(i, long), pa.array(e, pa.int32()), pa.array(a, long), pa.array(b, long)]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "item_id", "distance", "start_word", "end_word"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return reduce(DataFrame.union, [d.mapInArrow(search(b), FOUND) for b in _blocks(benchmark, min_words, recall, max_edit_rate if edit_rate is None else edit_rate)])
+    return d.mapInArrow(run, FOUND)
 
 
-def without_passages(docs: DataFrame, benchmark: DataFrame, max_edit_rate: float = 0.2, recall: float = 0.9, edit_rate: float | None = None, min_words: int = 8, batch: int = 256) -> DataFrame:
+def without_passages(docs: DataFrame, benchmark: DataFrame, max_edit_rate: float = 0.2, recall: float = 0.9, edit_rate: float | None = None, batch: int | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no item (see ``find_passages``)."""
+    blocks = item_blocks(benchmark, max_edit_rate, recall, max_edit_rate if edit_rate is None else edit_rate)
+    step = batch or (256 if len(blocks) < 2 else 2048)
 
-    def keep(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for rows in batches:
-                texts = rows.column("text").to_pylist()
-                clean = [not hits for x in range(0, len(texts), batch) for hits in passages(texts[x : x + batch], index, _words, max_edit_rate)]
-                yield rows.filter(pa.array(clean, pa.bool_()))
-
-        return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            texts = rows.column("text").to_pylist()
+            clean = [not hits for some in _searched(texts, blocks, max_edit_rate, step) for hits in some]
+            yield rows.filter(pa.array(clean, pa.bool_()))
 
-    return reduce(lambda df, b: df.mapInArrow(keep(b), df.schema), _blocks(benchmark, min_words, recall, max_edit_rate if edit_rate is None else edit_rate), docs)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item in every document, with at most a fifth of the item's words edited."""
     return find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, all columns; null and empty texts stay, rows that repeat are judged each."""
     return without_passages(docs, table(spark, sf_dir, "benchmark"))
