@@ -43,6 +43,8 @@ log = logging.getLogger(__name__)
 RATIO = 1.5
 #: Keys that a task holds before it packs them, and keys that a bucket should have.
 HELD_KEYS, BUCKET_KEYS = 1 << 21, 1 << 20
+#: Sets, and shingles in them, whose sketches one task compares.
+SLIM_SETS, SLIM_SHINGLES = 1024, 1 << 24
 #: Sets are dealt by so many bits of their digest.
 NODE = (1 << 48) - 1
 
@@ -177,15 +179,29 @@ def _unpacked(data: list[bytes]) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs with the same components, every node with the smallest of its own."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v, up = at[: len(a)], at[len(a) :], np.arange(len(names))
+    while True:
+        x, y = up[u], up[v]
+        if (x == y).all():
+            break
+        np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
+        while (up[up] != up).any():
+            up = up[up]
+    rest = up != np.arange(len(names))
+    return names[rest], names[up[rest]]
+
+
 def _met(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys in order, each once with its smallest node, and the distinct (node, smallest node) of all others."""
+    """Keys in order, each once with its smallest node, and ``stars`` of the nodes that share a key."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
     new = np.concatenate([[True], keys[1:] != keys[:-1]])
     least = nodes[new][np.cumsum(new) - 1]
     rest = nodes != least
-    pairs = np.unique(np.stack([nodes[rest], least[rest]], axis=1).view([("a", U), ("b", U)]).ravel()) if rest.any() else np.empty(0, [("a", U), ("b", U)])
-    return keys[new], nodes[new], pairs["a"], pairs["b"]
+    return keys[new], nodes[new], *stars(nodes[rest], least[rest])
 
 
 _words = Words()
@@ -289,7 +305,10 @@ def _by_blocks(members: DataFrame, most_sets: int, most_shingles: int, link: Cal
 
 
 def _pairs(sid: np.ndarray, found: list[tuple[int, int]]) -> pd.DataFrame:
-    return pd.DataFrame({"a": [sid[i] for i, _ in found], "b": [sid[k] for _, k in found]}, dtype="int64")
+    """What was found, as pairs that are joined by one round of ``components``."""
+    at = np.array(found, np.int64).reshape(-1, 2)
+    a, b = stars(sid[at[:, 0]], sid[at[:, 1]])
+    return pd.DataFrame({"a": a, "b": b}, dtype="int64")
 
 
 def _blocks_of(pdf: pd.DataFrame) -> np.ndarray | None:
@@ -345,12 +364,12 @@ def _cut(num: int, den: int):
 
 
 def links(
-    members: DataFrame, num: int, den: int, most_sets: int = 128, most_shingles: int = 1_000_000, levels: int = 6, pivots: int = 32, block_sets: int = 2048, block_shingles: int = 4_000_000
+    members: DataFrame, num: int, den: int, most_sets: int = 32, most_shingles: int = 1_000_000, levels: int = 6, pivots: int = 32, block_sets: int = 2048, block_shingles: int = 4_000_000
 ) -> DataFrame:
-    """(a, b): links that join all linked members of each region (region, sid, n, shingles).
+    """(a, b): pairs that join all linked members of each region (region, sid, n, shingles).
 
-    A region of more than ``most_sets`` sets or ``most_shingles`` shingles is cut by about ``pivots`` pivots, for up to
-    ``levels`` levels. Blocks of at most about ``block_sets`` sets and ``block_shingles`` shingles are for a region that
+    A region of more than ``most_sets`` sets or ``most_shingles`` shingles is cut by about ``pivots`` pivots (a quarter
+    of its sets, if these are fewer), for up to ``levels`` levels. Blocks of at most about ``block_sets`` sets and ``block_shingles`` shingles are for a region that
     pivots don't cut: its largest open cell keeps more than 0.7 of it, or its cells hold eight times its sets.
     """
     found, region, columns = [], members.withColumn("root", F.col("sid")), ["region", "sid", "n", "shingles", "root"]
@@ -368,7 +387,7 @@ def links(
             break
         # Pivots are drawn by hash; chunks of a region meet all its pivots apart.
         chunk = F.pmod(F.xxhash64("sid"), F.col("chunks")).cast("int")
-        drawn = F.pmod(F.xxhash64("sid", F.lit(depth)), F.lit(1 << 40)) < F.lit(1 << 40) * F.lit(float(pivots)) / F.col("sets")
+        drawn = F.pmod(F.xxhash64("sid", F.lit(depth)), F.lit(1 << 40)) < F.lit(1 << 40) * F.least(F.lit(0.25), F.lit(float(pivots)) / F.col("sets"))
         points = here.where(drawn).select("region", "sid", "shingles", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
         points = settled(points, "pivots")
         own = here.select("region", "sid", "n", "shingles", chunk.alias("chunk"))
@@ -449,7 +468,8 @@ def joined_sets(docs: DataFrame, width: int, num: int, den: int, id_col: str = "
     slim = own.where("sketch IS NOT NULL").select("sid", "n", "sketch", node).join(family, "node").select("region", "sid", "n", "sketch")
     slim = settled(slim.dropDuplicates(["region", "sid"]), "slim")
     discard(spark, path)
-    alike = components(_by_blocks(_banded(slim, num, den, 4096, 1 << 40), 4096, 1 << 40, _alike(num, den)))
+    alike = _by_blocks(_banded(slim, num, den, SLIM_SETS, SLIM_SHINGLES), SLIM_SETS, SLIM_SHINGLES, _alike(num, den))
+    alike = components(alike)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
     sets = settled(sized.where("n > 0").groupBy("sid").agg(first), "sets")
     wanted = alike.select(F.col("node").alias("sid"), F.col("component").alias("region")).join(sets, "sid").select("first.doc_id", "first.th", "sid", "region")
