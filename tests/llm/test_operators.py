@@ -214,30 +214,81 @@ def test_parts_are_where_tokens_end():
 # --- op4
 
 
-def test_lattice_sums_all_segmentations():
+def every_way(lattice, w):
+    """(probability, pieces used) of each segmentation of a word, by trying all."""
+    s = "\u2581" + w
+
+    def ways(i):
+        if i == len(s):
+            yield 1.0, []
+            return
+        arcs = [(len(p), p, math.exp(lattice.log_p[k])) for p, k in lattice.number.items() if s.startswith(p, i) and p.startswith("\u2581") == (i == 0)]
+        if not any(n == 1 for n, _, _ in arcs):
+            arcs.append((1, None, math.exp(sum(lattice.byte_log_p[x] for x in s[i].encode()))))
+        for n, p, q in arcs:
+            for r, used in ways(i + n):
+                yield q * r, [p, *used]
+
+    return list(ways(0))
+
+
+@pytest.fixture(scope="module")
+def small_lattice():
+    from vireo.llm import lm
+
+    pieces = ["\u2581", "\u2581a", "\u2581ab", "a", "b", "ab", "ba", "aab", "\u2581b", "bbb"]
+    return lm._normalised(pieces, np.array([3.0, 5, 2, 4, 4, 2, 1, 1, 2, 0.5]), np.full(256, 1e-3), 6.0)
+
+
+def test_lattice_sums_all_segmentations(small_lattice, monkeypatch):
     import public_tokenizers as P
 
     from vireo.llm import lm
 
+    words_in = ["", "a", "b", "ab", "aabab", "bbbb", "abaabba", "acb", "é", "\u2581a", "ba" * 5]
+    want = [math.log(sum(q for q, _ in every_way(small_lattice, w))) + small_lattice.log_stop for w in words_in]
+    uses = Counter()
+    for w in words_in:
+        ways = every_way(small_lattice, w)
+        for q, used in ways:
+            for p in used:
+                uses[p] += q / sum(r for r, _ in ways)
+    for long in (32, 0):  # words of equal length at once, and one by one
+        monkeypatch.setattr(lm, "LONG", long)
+        assert small_lattice.log_marginal(words_in) == pytest.approx(want)
+        got, got_bytes = small_lattice.expected(words_in)
+        assert dict(zip(small_lattice.pieces, got, strict=True)) == pytest.approx({p: uses[p] for p in small_lattice.pieces})
+        assert got_bytes.sum() == pytest.approx(1 + 2 + 3)  # c, é and the mark within a word
+    monkeypatch.setattr(lm, "LONG", 32)
     lattice = lm.first_lattice(P.path("piece_bpe_32k.model"))
-    at = {p: k for k, p in enumerate(lattice.pieces)}
-
-    def by_hand(w):
-        s = lm.START + w
-        a = [1.0] + [0.0] * len(s)
-        for i in range(len(s)):
-            for n in range(1, lattice.longest + 1):
-                if i + n <= len(s) and s[i : i + n] in at:
-                    a[i + n] += a[i] * math.exp(lattice.log_p[at[s[i : i + n]]])
-            if s[i] not in at:
-                a[i + 1] += a[i] * math.exp(sum(lattice.byte_log_p[b] for b in s[i].encode()))
-        return math.log(a[-1]) + lattice.log_stop
-
-    w = ["the", "hello", "thntnst", "éàü", "日本", "ꙮx", "a", "internationalization"]
-    assert lattice.log_marginal(w) == pytest.approx([by_hand(x) for x in w])
-    uses, _ = lattice.expected(["the"])
-    assert sum(u * len(p) for u, p in zip(uses, lattice.pieces, strict=True)) == pytest.approx(4)  # every way uses each character once
-    assert np.isfinite(lattice.log_marginal(["x" * 3000])).all()
+    for w in ("the", "hello", "日本", "ꙮx"):
+        assert lattice.log_marginal([w])[0] == pytest.approx(math.log(sum(q for q, _ in every_way(lattice, w))) + lattice.log_stop)
+    own = lattice.log_marginal(["the", "then"], -1.0, np.array([-2.0, lm.NEVER]))
+    pieces = lattice.log_marginal(["the", "then"]) - 1
+    assert own == pytest.approx([np.logaddexp(pieces[0], -2), pieces[1]])
+
+
+def test_an_unbroken_word_costs_its_length():
+    import time
+
+    import public_tokenizers as P
+
+    from vireo.llm import lm
+
+    lattice, rng = lm.first_lattice(P.path("piece_bpe_32k.model")), random.Random(1)
+    word = base64.b64encode(rng.randbytes(150_000)).decode()  # 200,000 characters
+    began = time.process_time()
+    assert np.isfinite(lattice.log_marginal([word, "x" * 3000])).all()
+    assert time.process_time() - began < 20
+
+
+def test_probabilities_sum_to_one(small_lattice):
+    """All words of two letters: what is missing is in bytes and in longer words."""
+    from itertools import product
+
+    every = ["".join(w) for n in range(13) for w in product("ab", repeat=n)]
+    total = np.exp(small_lattice.log_marginal(every)).sum()
+    assert 0.95 < total < 1
 
 
 @pytest.mark.parametrize("which", ["sf", "odd", "none"])
@@ -247,6 +298,8 @@ def test_scores(which, spark, sf, odd, none, docs, monkeypatch):
     from vireo.llm import lm
 
     monkeypatch.setattr(lm, "HEAD_WORDS", 50)  # so that most words take the other way
+    estimate, lattices = lm.refined, []
+    monkeypatch.setattr(lm, "refined", lambda *a: lattices.append(estimate(*a)) or lattices[-1])
     df = {"sf": docs, "odd": odd, "none": none}[which]
     rows = [(r.doc_id, r.text) for r in df.collect()]
     got = lm.score_texts(df, P.path("piece_bpe_32k.model")).collect()
@@ -259,7 +312,31 @@ def test_scores(which, spark, sf, odd, none, docs, monkeypatch):
         ws = [*words(t), None]
         want[i, i is not None and zlib.crc32(str(i).encode()) % 7 == 2, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)] += 1
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-    assert all(-1e9 < r.score < 0 for r in got)
+    # The score by hand, from the counts and the pieces as they were estimated.
+    lattice, = lattices
+    once, twice = (sum(x == k for w, x in c.items() if w is not None) for k in (1, 2))
+    d = once / (once + 2 * twice) if once and twice else 0.5
+
+    def share(w):
+        if w is None:
+            inside = 0.01
+        else:
+            t = "\u2581" + w.decode()
+            a = [1.0] + [0.0] * len(t)
+            for i in range(len(t)):
+                for m, _, weight in lattice._arcs(t, i):
+                    a[i + m] += a[i] * math.exp(weight)
+            inside = 0.99 * a[-1] * math.exp(lattice.log_stop)
+        return max(c[w] - d, 0) + (d * v + 1) * inside
+
+    by_id = {}
+    for i, t in rows:
+        if max(map(len, words(t)), default=0) < 60:
+            by_id.setdefault((i, len(words(t)) + 1), []).append(sum(math.log10(share(w) / (n + 1)) for w in [*words(t), None]))
+    checked = [r for r in got if (r.doc_id, r.n_tokens) in by_id]
+    assert len(checked) > 0.8 * len(rows) or which == "none"
+    for r in checked:
+        assert any(r.score == pytest.approx(x, rel=1e-9) for x in by_id[r.doc_id, r.n_tokens])
 
 
 def test_probabilities_sum_to_one():

@@ -1,14 +1,15 @@
 """Subword lattice likelihood: the probability of a text, summed over every segmentation of its words.
 
 An existing subword vocabulary gives the pieces and, by the rank that its scores hold, their first weights. Every word
-is a lattice of pieces (bytes where no piece fits); a forward recursion in log space sums all its segmentations, and a
-backward one gives expected uses, from which the pieces' probabilities are estimated again over all distinct words of
-the training documents. Whole words seen in training are one more arc each: absolute discounting takes mass from their
-counts and gives it to the lattice, so that
+is a lattice of arcs: pieces, bytes where a character is no piece, and, if training has seen it, the whole word. A
+forward recursion in log space sums all its segmentations. A backward one gives expected uses, from which the pieces'
+probabilities are estimated again over all distinct words of the training documents. The arc of a whole word has
+absolutely discounted counts for a weight; what they lose is the weight of entering the pieces, so that
 
-    P(w) = (max(c(w) - d, 0) + (d V + 1) P_lattice(w)) / (N + 1)
+    P(w) = (max(c(w) - d, 0) + (d V + 1) (1 - e) P_pieces(w)) / (N + 1),   P(end) = (max(c(end) - d, 0) + (d V + 1) e) / (N + 1)
 
-sums to one over words and the end of a document, which the lattice gives 1/100.
+with e = 1/100. Pieces that start a word share a mass of 1; other pieces, bytes and the stop share another. So words and
+the end add up to 1, less what the pieces give to bytes that spell no character or one that is a piece.
 
 Counts are a Spark aggregate over all words of all documents, so what is gathered grows with the input. Scores are
 made once per distinct word. Documents take those of the commonest words (a fixed number, short ones) from a broadcast
@@ -18,6 +19,7 @@ expected uses and a row of totals.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,6 +38,8 @@ HEAD_WORDS, HEAD_BYTES = 150_000, 64
 END_SHARE = 0.01
 START = "▁"
 NEVER = -1e300
+#: Longer words, in characters, are summed one by one: few are of equal length.
+LONG = 32
 
 
 class Lattice:
@@ -44,6 +48,9 @@ class Lattice:
     def __init__(self, pieces: list[str], log_p: np.ndarray, byte_log_p: np.ndarray, log_stop: float) -> None:
         self.pieces, self.log_p, self.byte_log_p, self.log_stop = pieces, np.asarray(log_p, float), np.asarray(byte_log_p, float), log_stop
         self.longest = max(map(len, pieces), default=1)
+        self.starts = np.array([p.startswith(START) for p in pieces], bool)
+        self.number = {p: k for k, p in enumerate(pieces)}
+        self.prefixes = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
         keys = np.zeros(len(pieces), np.uint64)
         for n in {len(p) for p in pieces}:
             at = [k for k, p in enumerate(pieces) if len(p) == n]
@@ -80,6 +87,7 @@ class Lattice:
             for n in range(1, min(self.longest, length - i) + 1):
                 h = self._step(h, codes[:, i + n - 1])
                 k = self._found(h)
+                k[self.starts[k] != (i == 0)] = -1  # a piece that starts a word does nothing else
                 if (k >= 0).any():
                     edges[i, n] = k
         return edges
@@ -113,22 +121,67 @@ class Lattice:
 
     @staticmethod
     def groups(words: list[str], most: int = 20_000) -> Iterator[tuple[list[int], np.ndarray]]:
-        """Words of equal length, with their start mark, as codes."""
+        """Words of equal length up to ``LONG``, with their start mark, as codes."""
         by: dict[int, list[int]] = {}
         for k, w in enumerate(words):
-            by.setdefault(len(w), []).append(k)
+            if len(w) <= LONG:
+                by.setdefault(len(w), []).append(k)
         for n, ks in by.items():
             for a in range(0, len(ks), most):
                 part = ks[a : a + most]
                 flat = np.frombuffer("".join(START + words[k] for k in part).encode("utf-32-le", "surrogatepass"), "<u4")
                 yield part, flat.reshape(len(part), n + 1).astype(np.uint64)
 
-    def log_marginal(self, words: list[str]) -> np.ndarray:
-        """Natural logarithm of each word's probability, the sum over its segmentations."""
+    def _arcs(self, w: str, i: int) -> list[tuple[int, int | None, float]]:
+        """The arcs that start at the i-th character: length, piece number or None for bytes, log probability."""
+        out = []
+        for n in range(1, min(self.longest, len(w) - i) + 1):
+            part = w[i : i + n]
+            if part not in self.prefixes:
+                break
+            k = self.number.get(part)
+            if k is not None and self.starts[k] == (i == 0):
+                out.append((n, k, float(self.log_p[k])))
+        if not out or out[0][0] > 1:
+            out.append((1, None, float(sum(self.byte_log_p[b] for b in w[i].encode("utf-8", "surrogatepass")))))
+        return out
+
+    def _long_forward(self, w: str) -> list[float]:
+        """As ``_forward``, for one word with its start mark: a few microseconds a character."""
+        alpha = [NEVER] * (len(w) + 1)
+        alpha[0] = 0.0
+        for i in range(len(w)):
+            for n, _, weight in self._arcs(w, i):
+                alpha[i + n] = _log_add(alpha[i + n], alpha[i] + weight)
+        return alpha
+
+    def log_marginal(self, words: list[str], enter: float = 0.0, whole: np.ndarray | None = None) -> np.ndarray:
+        """Natural logarithm of each word's weight, the sum over its segmentations.
+
+        ``enter``: logarithm of the weight of going through pieces; ``whole``: logarithm of the weight of each whole word's own
+        arc, ``NEVER`` where it has none.
+        """
         out = np.empty(len(words))
         for part, codes in self.groups(words):
             out[part] = self._forward(codes, self._weights(codes))[-1] + self.log_stop
-        return out
+        for k, w in enumerate(words):
+            if len(w) > LONG:
+                out[k] = self._long_forward(START + w)[-1] + self.log_stop
+        out += enter
+        return out if whole is None else np.logaddexp(out, whole)
+
+    def _long_expected(self, w: str, uses: np.ndarray, byte_uses: np.ndarray) -> None:
+        alpha, beta = self._long_forward(w), [NEVER] * (len(w) + 1)
+        beta[-1] = 0.0
+        for i in range(len(w) - 1, -1, -1):
+            for n, k, weight in self._arcs(w, i):
+                beta[i] = _log_add(beta[i], weight + beta[i + n])
+                share = math.exp(min(0.0, alpha[i] + weight + beta[i + n] - alpha[-1]))
+                if k is not None:
+                    uses[k] += share
+                else:
+                    for b in w[i].encode("utf-8", "surrogatepass"):
+                        byte_uses[b] += share
 
     def expected(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Expected uses of pieces and of bytes in the words, each word once."""
@@ -150,15 +203,25 @@ class Lattice:
                             total = share[codes[:, i] == c].sum()
                             for b in chr(int(c)).encode("utf-8", "surrogatepass"):
                                 byte_uses[b] += total
+        for w in words:
+            if len(w) > LONG:
+                self._long_expected(START + w, uses, byte_uses)
         return uses, byte_uses
 
 
+def _log_add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a + math.log1p(math.exp(b - a)) if a - b < 40 else a
+
+
 def vocabulary(path: str) -> tuple[list[str], np.ndarray]:
     """The ordinary pieces of a sentencepiece file and their scores."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     at = [k for k in range(sp.get_piece_size()) if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k))]
+    at = [k for k in at if START not in sp.id_to_piece(k)[1:]]  # words have the mark at their start alone
     return [sp.id_to_piece(k) for k in at], np.array([sp.get_score(k) for k in at])
 
 
@@ -171,8 +234,10 @@ def first_lattice(path: str) -> Lattice:
 
 
 def _normalised(pieces: list[str], uses: np.ndarray, byte_uses: np.ndarray, stops: float) -> Lattice:
-    total = uses.sum() + byte_uses.sum() + stops
-    return Lattice(pieces, np.log(uses / total), np.log(byte_uses / total), float(np.log(stops / total)))
+    """Pieces that start a word add up to 1, and so do all others with the bytes and the stop."""
+    starts = np.array([p.startswith(START) for p in pieces], bool)
+    rest = uses[~starts].sum() + byte_uses.sum() + stops
+    return Lattice(pieces, np.log(uses / np.where(starts, uses[starts].sum(), rest)), np.log(byte_uses / rest), float(np.log(stops / rest)))
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -258,28 +323,28 @@ def score_texts(docs: DataFrame, vocabulary_path: str, modulus: int = 7, remaind
     def base(c):
         return np.log10((c + 1) / (total + 1 * (kinds + 1)))
 
-    def model(c, p):
-        return np.log10((np.maximum(c - discount, 0) + (discount * kinds + 1) * p) / (total + 1))
+    def own_arc(c):
+        """Logarithm of the weight of a whole word's arc; ``NEVER`` for a word never seen."""
+        seen = np.maximum(c - discount, 0)
+        return np.where(seen > 0, np.log(np.maximum(seen, 1e-12) / (total + 1)), NEVER)
 
-    def log_model(c, log_p):
-        """As ``model``; for words never seen from the logarithm, which may be too small for a number of its own."""
-        fresh = log_p / np.log(10) + np.log10((discount * kinds + 1) * (1 - END_SHARE) / (total + 1))
-        return np.where(c > 0, model(c, (1 - END_SHARE) * np.exp(np.maximum(log_p, -700))), fresh)
+    left = math.log((discount * kinds + 1) / (total + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(float)
-            log_p = own.log_marginal([w.decode("utf-8", "surrogatepass") for w in words])
+            log_p = own.log_marginal([w.decode("utf-8", "surrogatepass") for w in words], left + math.log(1 - END_SHARE), own_arc(c))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), pa.array([_key(w) for w in words], pa.int64()), pa.array(c.astype(np.int64)), pa.array(base(c)), pa.array(log_model(c, log_p))],
+                [batch.column("word"), pa.array([_key(w) for w in words], pa.int64()), pa.array(c.astype(np.int64)), pa.array(base(c)), pa.array(log_p / math.log(10))],
                 names=["word", "h", "c", "base", "score"],
             )
 
     scores = settled(counts.select("word", "c").mapInArrow(score, "word binary, h long, c long, base double, score double"), "scores")
     common = _commonest(scores).toPandas()
     head = spark.sparkContext.broadcast((dict(zip(common["word"].map(bytes), range(len(common)), strict=True)), common["base"].to_numpy(float), common["score"].to_numpy(float)))
-    end = (float(base(ends)), float(model(ends, END_SHARE)), int(ends > 0))
+    end_arc = np.logaddexp(left + math.log(END_SHARE), float(own_arc(np.array(ends))))
+    end = (float(base(ends)), float(end_arc) / math.log(10), int(ends > 0))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, base_of, score_of = head.value
@@ -318,6 +383,7 @@ def crc_remainder(doc_id: int, modulus: int) -> int:
 
 
 def op4_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability under the pieces of the installed vocabulary and what its training share teaches."""
     import public_tokenizers
 
     return score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
