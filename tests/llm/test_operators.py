@@ -690,6 +690,37 @@ def test_toxicity(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in zip(got.doc_id, got.held_out, strict=True))
     assert held[held.toxic == 0].predicted.mean() <= 0.02 and held[held.toxic == 1].predicted.mean() >= 0.6
     assert held[held.toxic == 1].score.median() > held[held.toxic == 0].score.max()
+    votes = toxicity.score_toxicity(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), by_votes=True).toPandas()
+    held = votes.merge(m[m.held_out][["doc_id", "toxic"]], on="doc_id")  # what the label model says by itself
+    assert held[held.toxic == 0].predicted.mean() <= 0.02 and held[held.toxic == 1].predicted.mean() >= 0.6
+
+
+def test_a_round_of_the_label_model(spark):
+    """Expected co-votes and rates of one step, against sums over single rows."""
+    from vireo.llm import toxicity
+
+    rng = np.random.default_rng(5)
+    masks, n, toxic, clean = rng.integers(0, 8, 60), rng.integers(1, 5, 60), rng.integers(0, 3, 60), rng.integers(0, 3, 60)
+    groups = spark.createDataFrame([tuple(map(int, r)) for r in zip(masks, n, toxic, clean, strict=True)], "mask long, n long, toxic long, clean long").repartition(3)
+    model = toxicity.LabelModel(3, 0.3)
+    model.toxic, model.other = np.array([0.6, 0.3, 0.2, 0.1]), np.array([0.05, 0.1, 0.02, 0.85])
+    model.correlation = np.array([[1, 0.5, 0, 0], [0.5, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1.0]])
+    both, count = np.zeros((2, 4, 4)), np.zeros(2)
+    for m, k, t, c in zip(masks, n, toxic, clean, strict=True):
+        fired = [bool(m >> j & 1) for j in range(3)]
+        fired.append(not any(fired))
+        z = math.log(0.3 / 0.7)
+        for j in range(4):
+            if fired[j]:
+                z += math.log(model.toxic[j] / model.other[j]) / max(1, sum(model.correlation[j, i] for i in range(4) if fired[i]))
+        p = 1 / (1 + math.exp(-z))
+        for side, weight in ((0, k * p + t), (1, k * (1 - p) + c)):
+            count[side] += weight
+            both[side] += weight * np.outer(fired, fired)
+    got = toxicity._co_votes(groups, model)
+    assert got[0] == pytest.approx(both[0]) and got[1] == pytest.approx(both[1]) and (got[2], got[3]) == pytest.approx(tuple(count))
+    model.update(*got)
+    assert model.toxic == pytest.approx((np.diag(both[0]) + 0.5) / (count[0] + 1)) and model.prior == pytest.approx(min(0.5, (count[0] + 1) / (count.sum() + 10)))
 
 
 def test_toxicity_odd_rows(spark, odd, none):

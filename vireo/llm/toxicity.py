@@ -3,12 +3,15 @@
 *Voters* are lexicon words, general and learned from labelled training rows, and patterns. Each votes toxic or abstains.
 *Label model.* A document's votes are a bit mask. Over the masks of all training documents, expectation and maximisation
 estimates how often each voter fires on toxic and on other documents, and how votes go together within a class; voters
-that go together share one voice. Labelled rows start the estimate and stand in it as counts that don't move.
-*Classifier.* Logistic regression on the presence of words and patterns, trained on posteriors.
-
-Labels are learned only from training rows. What reads labels or fits the classifier reads a sample of at most about
-``SAMPLE`` rows, drawn by hash of the id: its ids and its features are all that the driver and broadcasts hold. Votes
-cover all rows, and grouped masks and matrices of voters by voters are all that is summed.
+that go together share one voice. Labelled rows start the estimate and stand in it as counts that don't move; where they
+have a pattern of votes often, its posterior leans on what they say of the pattern.
+*Classifier.* Logistic regression on the presence of words and patterns, trained on the label model's posteriors and on
+nothing else.
+
+Labels are learned only from training rows, and from all of these: words by class and masks by class are counted in
+full. The classifier is fitted on a sample of at most about ``SAMPLE`` training rows, drawn by hash of the id, and as
+many labelled ones, by their posteriors; its features and a few voters are all that the driver and broadcasts hold.
+Votes cover all rows, and grouped masks and matrices of voters by voters are all that is summed.
 """
 
 from __future__ import annotations
@@ -27,9 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import documents, held_out, settled, table
 
-#: Rows in the labelled sample and in the classifier's sample, expected.
+#: Rows of the classifier's sample, expected, and of the labelled rows that join it.
 SAMPLE = 20_000
 LEARNED, FEATURES = 40, 500
+#: The model's word on a pattern of votes counts as so many labelled rows that have it.
+OWN = 5
 #: Lengths of the beginnings of words, in bytes, that stand for their stems.
 STEMS = (4, 5, 6)
 #: Insults that need no label to be suspected.
@@ -57,12 +62,15 @@ def plain_words(text: str | None) -> set[bytes]:
 
 
 def distinct_voters(rows: list) -> list[bytes]:
-    """Words and stems in the given order, without those that are found where one before them with the same beginning is."""
+    """Words and stems in the given order, without those that one before them with the same beginning makes idle.
+
+    That is one with about as many toxic rows: what a wider stem finds besides are other rows.
+    """
     out = []
     for r in rows:
         word = bytes(r.word)
         same = (o for o in out if o.word.rstrip(b"*").startswith(word.rstrip(b"*")) or word.startswith(o.word.rstrip(b"*")))
-        if not any(abs(o.toxic - r.toxic) <= 0.05 * r.toxic and abs(o.other - r.other) <= 0.05 * r.other + 1 for o in same):
+        if not any(abs(o.toxic - r.toxic) <= 0.05 * r.toxic for o in same):
             out.append(r)
     return [bytes(r.word) for r in out]
 
@@ -95,14 +103,13 @@ class Voters:
         return mask, sorted([self.number[w] for w in words & self.number.keys()] + [len(self.features) + k for k in found])
 
 
-def learned_voters(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Voters, float]:
-    """Voters and the share of toxic rows, from the labelled sample.
+def learned_voters(docs: DataFrame, labels: DataFrame) -> tuple[Voters, float]:
+    """Voters and the share of toxic rows, from all labelled rows.
 
     A word's strength is the difference of its shares in toxic and other rows in standard deviations. Voters are the
-    strongest of those found in toxic rows in three of five cases or more, features the strongest either way.
+    strongest of those found in toxic rows in four of five cases or more, features the strongest either way.
     """
-    drawn = settled(_sample(labels, sample), "labels").select("doc_id", "toxic")
-    total = drawn.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
+    total = labels.agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
     n_toxic, n_other = float(total.toxic or 0), float(total.n - (total.toxic or 0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,12 +120,12 @@ def learned_voters(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         words = list({**toxic, **other})
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([other[w] for w in words], pa.int64())], names=["word", "toxic", "other"])
 
-    rows = docs.join(F.broadcast(drawn), "doc_id").select("text", "toxic").mapInArrow(count, "word binary, toxic long, other long")  # at most the sample
+    rows = docs.join(labels, "doc_id").select("text", "toxic").mapInArrow(count, "word binary, toxic long, other long")
     rows = rows.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where((F.octet_length("word") <= 40) & (F.col("toxic") + F.col("other") >= 5))
     share = (F.col("toxic") + F.col("other")) / max(1.0, n_toxic + n_other)
     apart = F.col("toxic") / max(1.0, n_toxic) - F.col("other") / max(1.0, n_other)
     rows = rows.withColumn("z", apart / F.sqrt(share * (1 - share) * (1 / max(1.0, n_toxic) + 1 / max(1.0, n_other)) + 1e-12))
-    sure = F.col("toxic") / (F.col("toxic") + F.col("other") + 2) >= 0.6
+    sure = F.col("toxic") / (F.col("toxic") + F.col("other") + 2) >= 0.8
     best = distinct_voters(rows.where(sure & (F.col("z") > 3)).orderBy(F.desc("z"), "word").limit(4 * LEARNED).collect())[:LEARNED] if n_toxic and n_other else []
     telling = [bytes(r.word) for r in rows.orderBy(F.desc(F.abs("z")), "word").limit(FEATURES).collect()] if n_toxic and n_other else []
     general = [w.encode() for w in INSULTS]
@@ -210,8 +217,8 @@ def fitted_line(features: list[list[int]], target: np.ndarray, size: int, rounds
     return w, b
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, threshold: float = 0.7, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, score and predicted for each row of ``docs``.
+def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, remainder: int = 1, threshold: float = 0.7, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text", by_votes: bool = False) -> DataFrame:
+    """doc_id, held_out, score and predicted for each row of ``docs``; with ``by_votes`` the label model's own posterior.
 
     Words are ASCII letters and digits and all non-ASCII characters, A-Z lower-cased. Null and empty texts have no words
     and get the score of none. A null id is a training row without a label. Ids that repeat are scored by their own texts;
@@ -221,7 +228,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, remaind
     spark = docs.sparkSession
     d = documents(docs, id_col, text_col)
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    own = own.where(~held_out(F.col("doc_id"), modulus, remainder))
+    own = settled(own.where(~held_out(F.col("doc_id"), modulus, remainder)), "labels")
     voters, prior = learned_voters(d, own)
     shared = spark.sparkContext.broadcast(voters)
 
@@ -234,8 +241,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, remaind
 
     rows = settled(d.mapInArrow(read, "doc_id long, mask long, features array<int>").withColumn("held_out", held_out(F.col("doc_id"), modulus, remainder)), "votes")
     train = rows.where(~F.col("held_out"))
-    drawn = _sample(own, SAMPLE).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = settled(train.join(drawn, "doc_id").select("doc_id", "mask", "features", "toxic"), "known")
+    known = settled(train.join(own, "doc_id").select("doc_id", "mask", "features", "toxic"), "known")
     groups = train.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).withColumns({"toxic": F.lit(0), "clean": F.lit(0)})
     fixed = known.groupBy("mask").agg(F.lit(0).alias("n"), F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("clean"))
     groups = settled(groups.unionByName(fixed).groupBy("mask").agg(*(F.sum(c).cast("long").alias(c) for c in ("n", "toxic", "clean"))), "masks")
@@ -243,11 +249,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, remaind
     model.update(*_co_votes(groups.withColumn("n", F.lit(0)), model))  # labelled rows alone
     for _ in range(rounds):
         model.update(*_co_votes(groups, model))
-    # The classifier's sample: training rows by their posterior, labelled ones with the label as one more vote.
-    some = _sample(train, SAMPLE).select("mask", "features", F.lit(None).cast("int").alias("toxic")).union(known.select("mask", "features", "toxic")).toPandas()
-    post = model.logit(some["mask"].to_numpy(np.int64)) if len(some) else np.empty(0)
-    vote = some["toxic"].map({0: -4.0, 1: 4.0}).fillna(0).to_numpy(float) if len(some) else np.empty(0)
-    target = 1 / (1 + np.exp(-np.clip(post + vote, -30, 30)))
+
+    def speak(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            post, labelled = model.posterior(f["mask"].to_numpy(np.int64)), (f["toxic"] + f["clean"]).to_numpy(float)
+            yield pd.DataFrame({"mask": f["mask"], "posterior": (f["toxic"].to_numpy(float) + OWN * post) / (labelled + OWN)})
+
+    voices = settled(groups.mapInPandas(speak, "mask long, posterior double"), "voices")
+    some = _sample(train, SAMPLE).select("mask", "features").union(_sample(known, SAMPLE).select("mask", "features")).join(voices, "mask").toPandas()
+    target = some["posterior"].to_numpy(float)
     weights, bias = fitted_line([list(f) for f in some["features"]], target, len(voters.features) + len(PATTERNS))
     line = spark.sparkContext.broadcast((weights, bias))
 
@@ -259,7 +269,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, remaind
             z = b + np.bincount(row, w[lists.flatten().to_numpy(zero_copy_only=False)], len(lists)) if len(lists) else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["doc_id", "held_out", "score"])
 
-    scored = rows.select("doc_id", "held_out", "features").mapInArrow(score, "doc_id long, held_out boolean, score double")
+    if by_votes:
+        # A pattern that no training row has is as the model makes it.
+        alone = F.pandas_udf(lambda m: pd.Series(model.posterior(m.to_numpy(np.int64))), "double")
+        scored = rows.join(voices, "mask", "left").select("doc_id", "held_out", F.coalesce("posterior", alone("mask")).alias("score"))
+    else:
+        scored = rows.select("doc_id", "held_out", "features").mapInArrow(score, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
