@@ -21,8 +21,8 @@ class ParticleFilter:
         self.p, self.alpha, self.hk, self.kappa0, self.a0 = particles, alpha, heading_kappa, kappa0, a0
         self.m0, self.b0, self.least, self.window = np.asarray(m, float), np.asarray(v, float) * (a0 - 1), resample_fraction * particles, window
         self.rng = np.random.Generator(np.random.PCG64(seed))
-        self.stats, self.log_w = np.zeros((particles, 4, 7)), np.full(particles, -math.log(particles))
-        self.assigned, self.history = np.zeros((particles, 0), np.int64), np.zeros((0, 3))
+        self.stats, self.log_w = np.zeros((particles, 4, 7)), np.full(particles, -math.log(particles))  # weights always sum to 1
+        self.n, self._slots, self._seen = 0, np.zeros((particles, 64), np.int64), np.zeros((64, 3))
         self.ess_history: list[float] = []
         self.score_history: list[float] = []
 
@@ -59,42 +59,48 @@ class ParticleFilter:
     def _vector(row: np.ndarray) -> np.ndarray:
         return np.array([1.0, row[0], row[1], row[0] ** 2, row[1] ** 2, math.cos(row[2]), math.sin(row[2])])
 
-    def _normalised(self) -> np.ndarray:
-        self.log_w = self.log_w - logsumexp(self.log_w, 0)
-        return np.exp(self.log_w)
+    @property
+    def assigned(self) -> np.ndarray:
+        """[particles, observations so far]: slots."""
+        return self._slots[:, : self.n]
 
     def learn(self, x, theta) -> float:
-        x, theta = checked(x, theta)
-        every = np.arange(self.p)
-        for row in np.column_stack([x, theta]):
-            n = self.assigned.shape[1]
-            before = self._normalised()
-            slot, evidence = self._draw(row)
-            gain = evidence - math.log(n + self.alpha)
-            self.stats[every, slot] += self._vector(row)
-            self.assigned = np.concatenate([self.assigned, slot[:, None]], axis=1)
-            self.history = np.concatenate([self.history, row[None]])
-            self.log_w = self.log_w + gain
-            self.score_history.append(float(logsumexp(np.log(np.maximum(before, TINY)) + gain, 0)))
-            w = self._normalised()
-            self.ess_history.append(float(1 / np.square(w).sum()))
-            if self.ess_history[-1] < self.least:
-                self._resample(w)
-                self._rejuvenate()
-        return self.ess_history[-1] if self.ess_history else float(self.p)
+        """Takes the observations in order; the effective number of particles at the last."""
+        rows = np.column_stack(checked(x, theta))
+        short = self.n + len(rows) - len(self._seen)
+        if short > 0:  # room grows at least by half, so copying stays in proportion
+            more = max(short, len(self._seen) // 2)
+            self._slots, self._seen = np.pad(self._slots, ((0, 0), (0, more))), np.pad(self._seen, ((0, more), (0, 0)))
+        return [self._take(row) for row in rows][-1]
+
+    def _take(self, row: np.ndarray) -> float:
+        slot, evidence = self._draw(row)
+        joint = self.log_w + evidence - math.log(self.n + self.alpha)
+        score = logsumexp(joint, 0)
+        self.log_w = joint - score
+        ess = float(np.exp(-logsumexp(2 * self.log_w, 0)))
+        self.score_history.append(float(score))
+        self.ess_history.append(ess)
+        self.stats[np.arange(self.p), slot] += self._vector(row)
+        self._slots[:, self.n], self._seen[self.n] = slot, row
+        self.n += 1
+        if ess < self.least:
+            self._resample(np.exp(self.log_w))
+            self._rejuvenate()
+        return ess
 
     def _resample(self, w: np.ndarray) -> None:
         edges = np.cumsum(w)
         edges[-1] = 1.0
         at = np.searchsorted(edges, (self.rng.random() + np.arange(self.p)) / self.p)
-        self.stats, self.assigned = self.stats[at].copy(), self.assigned[at].copy()
+        self.stats, self._slots[:, : self.n] = self.stats[at], self.assigned[at]
         self.log_w = np.full(self.p, -math.log(self.p))
 
     def _rejuvenate(self) -> None:
         """A Gibbs sweep over the last observations; weights stay."""
         every = np.arange(self.p)
-        for i in range(max(0, self.assigned.shape[1] - self.window), self.assigned.shape[1]):
-            row = self.history[i]
+        for i in range(max(0, self.n - self.window), self.n):
+            row = self._seen[i]
             old = self.assigned[:, i]
             self.stats[every, old] -= self._vector(row)
             gone = self.stats[every, old, 0] <= 0.5
@@ -107,10 +113,8 @@ class ParticleFilter:
         """Densities under the posterior as it stands; nothing is drawn or changed."""
         x, theta = checked(x, theta, 0)
         self._room()
-        log_w = self.log_w - logsumexp(self.log_w, 0)
-        n = self.assigned.shape[1]
-        out = [logsumexp(log_w + logsumexp(self._logits(a, t, self.stats), 1), 0) for a, t in zip(x, theta, strict=True)]
-        return np.asarray(out) - math.log(n + self.alpha)
+        out = [logsumexp(self.log_w + logsumexp(self._logits(a, t, self.stats), 1), 0) for a, t in zip(x, theta, strict=True)]
+        return np.asarray(out) - math.log(self.n + self.alpha)
 
     def map_partition(self) -> np.ndarray:
-        return self.assigned[int(np.argmax(self._normalised()))]
+        return self.assigned[int(np.argmax(self.log_w))]
