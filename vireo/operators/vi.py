@@ -7,11 +7,15 @@ posterior meet the snapshot's observations, responsibilities stay in arrays, and
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from vireo.functions.special import LOG_2PI, a1, digamma, digamma_column, lgamma, log_i0, log_i0_column, logsumexp
@@ -279,21 +283,124 @@ def _lgamma_ratio(a: Column) -> Column:
     return stirling(a + 10.5) - stirling(a + 10) + steps
 
 
-def fit(obs: DataFrame, cells: list[str], p: Prior, snapshots: int, base: DataFrame | None = None, keep=lambda df, name: df) -> tuple[DataFrame, DataFrame]:
-    """All cells through their snapshots, one job each: (final statistics, scored observations of snapshots after the first).
+# --- native, in chunks: arrays of observations meet the parameters of their cell -----------------------------------
 
-    A snapshot is scored before it is learned. ``keep`` writes a table out and reads it back, so that lineage stays short.
+CHUNK = 4096
+
+
+def chunked(obs: DataFrame, cells: list[str], extra: tuple[str, ...] = ()) -> DataFrame:
+    """Observations in arrays: a row holds at most ``CHUNK`` of one cell and snapshot, in order of obs_index."""
+    columns = ("obs_index", "x0", "x1", "theta", *extra)
+    at = obs.withColumn("chunk", F.floor(F.col("obs_index") / CHUNK))
+    packed = at.groupBy(*cells, "snapshot_index", "chunk").agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("o"))
+    return packed.select(*cells, "snapshot_index", *(F.col(f"o.{c}").alias(c) for c in columns))
+
+
+def unpacked(chunks: DataFrame, cells: list[str], columns: tuple[str, ...]) -> DataFrame:
+    return chunks.select(*cells, "snapshot_index", F.inline(F.arrays_zip(*columns)))
+
+
+def _with_state(chunks: DataFrame, state: DataFrame, base: DataFrame, cells: list[str]) -> DataFrame:
+    """Chunks with the statistics (K rows of a cell as one array) and the base of their cell."""
+    row = F.array_sort(F.collect_list(F.struct("k", F.array(*STATS).alias("s"))))
+    packed = state.groupBy(*cells).agg(F.flatten(F.transform(row, lambda e: e["s"])).alias("stats"))
+    return chunks.join(packed.join(base, cells), cells)
+
+
+def _each_chunk(joined: DataFrame, cells: list[str], p: Prior, schema: T.StructType, make) -> DataFrame:
+    """``make(model, row, x, theta)`` for each chunk, with the cell's model restored: a frame of rows below the cell's keys."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                model = StreamingMixture(p)
+                model.m0, model.b0 = np.array([row["m0"], row["m1"]]), np.array([row["v0"], row["v1"]]) * (p.a0 - 1)
+                model.stats = np.asarray(row["stats"], float).reshape(p.k, len(STATS))
+                x, theta = np.column_stack([row["x0"], row["x1"]]), np.asarray(row["theta"], float)
+                yield make(model, row, x, theta).assign(**{c: row[c] for c in cells})[schema.names]
+
+    return joined.mapInPandas(run, schema)
+
+
+def _keys(df: DataFrame, cells: list[str]) -> list[T.StructField]:
+    return [T.StructField(c, df.schema[c].dataType) for c in cells]
+
+
+def learned(chunks: DataFrame, state: DataFrame, base: DataFrame, cells: list[str], p: Prior) -> DataFrame:
+    """``statistics`` of the chunks under the state: K sums leave each chunk."""
+
+    def make(model: StreamingMixture, row: dict, x: np.ndarray, theta: np.ndarray) -> pd.DataFrame:
+        sums = model.responsibilities(x, theta).T @ np.column_stack([np.ones(len(x)), x, x**2, np.cos(theta), np.sin(theta)])
+        return pd.DataFrame(sums, columns=list(STATS)).assign(k=np.arange(p.k))
+
+    joined = _with_state(chunks, state, base, cells)
+    schema = T.StructType([*_keys(chunks, cells), T.StructField("k", T.IntegerType()), *(T.StructField(c, T.DoubleType()) for c in STATS)])
+    return _each_chunk(joined, cells, p, schema, make).groupBy(*cells, "k").agg(*(F.sum(c).alias(c) for c in STATS))
+
+
+def scored(chunks: DataFrame, state: DataFrame, base: DataFrame, cells: list[str], p: Prior, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Each observation's ``log_density`` under the state."""
+    own = ("snapshot_index", "obs_index", *extra)
+
+    def make(model: StreamingMixture, row: dict, x: np.ndarray, theta: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({c: row[c] for c in own} | {"log_density": model.log_predictive(x, theta)})
+
+    return _each_chunk(_with_state(chunks, state, base, cells), cells, p, _rows_schema(chunks, cells, own, T.StructField("log_density", T.DoubleType())), make)
+
+
+def assigned(chunks: DataFrame, state: DataFrame, base: DataFrame, cells: list[str], p: Prior, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Each observation's responsibilities ``r`` under the state."""
+    own = ("snapshot_index", "obs_index", *extra)
+
+    def make(model: StreamingMixture, row: dict, x: np.ndarray, theta: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({c: row[c] for c in own}).assign(r=list(model.responsibilities(x, theta)))
+
+    return _each_chunk(_with_state(chunks, state, base, cells), cells, p, _rows_schema(chunks, cells, own, T.StructField("r", T.ArrayType(T.DoubleType()))), make)
+
+
+def _rows_schema(chunks: DataFrame, cells: list[str], own: tuple[str, ...], last: T.StructField) -> T.StructType:
+    kind = lambda c: t.elementType if isinstance(t := chunks.schema[c].dataType, T.ArrayType) else t
+    return T.StructType([*_keys(chunks, cells), *(T.StructField(c, kind(c)) for c in own), last])
+
+
+@dataclass
+class Fitted:
+    """What ``fit`` leaves: observations in chunks, each cell's base, and the state before the first and after each snapshot."""
+
+    cells: list[str]
+    prior: Prior
+    extra: tuple[str, ...]
+    chunks: DataFrame
+    base: DataFrame
+    states: list[DataFrame]
+
+    def scores(self) -> DataFrame:
+        """Observations of the snapshots after the first, each under what was learned before it."""
+        at = [self.chunks.where(F.col("snapshot_index") == t) for t in range(1, len(self.states) - 1)]
+        return reduce(DataFrame.unionByName, [scored(c, s, self.base, self.cells, self.prior, self.extra) for c, s in zip(at, self.states[1:], strict=False)])
+
+    def responsibilities(self) -> DataFrame:
+        """All observations under the final state."""
+        return assigned(self.chunks, self.states[-1], self.base, self.cells, self.prior, self.extra)
+
+
+def fit(
+    obs: DataFrame, cells: list[str], p: Prior, snapshots: int, base: DataFrame | None = None, keep=lambda df, name: df, extra: tuple[str, ...] = ()
+) -> Fitted:
+    """All cells through their snapshots, one job each; cells whose first snapshot has fewer than K observations are left out.
+
+    ``keep`` writes a table out and reads it back, so that lineage stays short: the observations once, the state, K
+    rows a cell, for each snapshot. ``extra``: columns of ``obs`` that go with an observation.
     """
     from vireo.operators.features import base_moments
 
-    first = obs.where(F.col("snapshot_index") == 0)
-    base = base if base is not None else keep(base_moments(first, tuple(cells)), "base")
-    state, scored = seed_statistics(seeds(first, cells, p.k), cells, p.initial_mass), None
+    chunks = keep(chunked(obs, cells, extra), "chunks")
+    start = chunks.where(F.col("snapshot_index") == 0)
+    enough = start.groupBy(*cells).agg(F.sum(F.size("x0")).alias("n")).where(F.col("n") >= p.k).select(*cells)
+    first = unpacked(start.join(enough, cells, "left_semi"), cells, ("obs_index", "x0", "x1", "theta"))
+    base = keep(base.join(enough, cells, "left_semi") if base is not None else base_moments(first, tuple(cells)), "base")
+    states = [keep(seed_statistics(seeds(first, cells, p.k), cells, p.initial_mass), "seeds")]
     for t in range(snapshots):
-        batch = with_components(obs.where(F.col("snapshot_index") == t), weighted(parameters(state, base, cells, p), cells, p.k), cells, p)
-        if t:
-            now = log_predictive(batch, p).drop("c")
-            scored = now if scored is None else scored.unionByName(now)
-        learned = statistics(responsibilities(batch, p), cells)
-        state = keep(merged(state, learned, cells, p.forgetting) if t else learned, "posterior")
-    return state, scored
+        now = learned(chunks.where(F.col("snapshot_index") == t), states[-1], base, cells, p)
+        states.append(keep(merged(states[-1], now, cells, p.forgetting) if t else now, "posterior"))
+    return Fitted(cells, p, extra, chunks, base, states)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 SALT_INNER = "".join(f"{b ^ 0x36:02x}" for b in bytes(range(32)).ljust(64, b"\0"))
 SALT_OUTER = "".join(f"{b ^ 0x5C:02x}" for b in bytes(range(32)).ljust(64, b"\0"))
 
@@ -96,11 +98,11 @@ def _respond(params: str, rows: str, name: str) -> str:
     """Responsibilities of ``rows`` under ``params``, a row per observation and component."""
     lean = "6 * CASE WHEN r < 1e-3 THEN r / 2 WHEN r < 300 THEN (SELECT avg(c * exp(r * (c - 1))) / avg(exp(r * (c - 1))) FROM nodes) ELSE " + _series("r", 1) + " / " + _series("r", 0) + " END"
     return f"""
-nodes AS {_NODES},
 {name}p AS (SELECT *, {lean} AS lean, atan2(e1, e0) AS mu FROM (SELECT *, sqrt(e0 * e0 + e1 * e1) AS r FROM {params})),
 {name}z AS (SELECT o.block_id, o.ordinal, o.x0, o.x1, o.theta, p.k, 0.5 * ({_psi("a")} - ln(b0) - 1 / kappa - a / b0 * (x0 - mean0)^2 + {_psi("a")} - ln(b1) - 1 / kappa - a / b1 * (x1 - mean1)^2)
     + lean * cos(theta - mu) + log_weight AS z FROM {rows} o JOIN {name}p p USING (block_id)),
-{name} AS (SELECT * EXCLUDE (z), exp(z - max(z) OVER (PARTITION BY ordinal)) / sum(exp(z - (SELECT max(y.z) FROM {name}z y WHERE y.ordinal = {name}z.ordinal))) OVER (PARTITION BY ordinal) AS r FROM {name}z)"""
+{name}m AS (SELECT *, max(z) OVER (PARTITION BY ordinal) AS top FROM {name}z),
+{name} AS (SELECT * EXCLUDE (z, top), exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY ordinal) AS r FROM {name}m)"""
 
 
 _SEEDED = (
@@ -108,15 +110,11 @@ _SEEDED = (
     + """,
 spot AS (SELECT b.block_id, k::INTEGER AS k, round_even(k * (n_first - 1) / 3.0, 0)::BIGINT AS place FROM (SELECT DISTINCT block_id, n_first FROM enough) b, range(4) t(k)),
 sd AS (SELECT block_id, k, x0, x1, theta, obs_index FROM spot JOIN enough USING (block_id, place)),
-ss AS (SELECT block_id, k, 0.25 AS n, 0.25 * x0 AS s0, 0.25 * x1 AS s1, 0.25 * x0 * x0 AS q0, 0.25 * x1 * x1 AS q1, 0.25 * cos(theta) AS dc, 0.25 * sin(theta) AS ds FROM sd),"""
-    + _params("ss", "enough", "p0")
-    + ","
-    + _weights("p0", "w0")
-    + ","
-    + _respond("w0", "enough", "r0")
+s0 AS (SELECT block_id, k, 0.25 AS n, 0.25 * x0 AS s0, 0.25 * x1 AS s1, 0.25 * x0 * x0 AS q0, 0.25 * x1 * x1 AS q1, 0.25 * cos(theta) AS dc, 0.25 * sin(theta) AS ds FROM sd),
+own AS (SELECT * FROM obs WHERE block_id IN (SELECT block_id FROM enough)),
+nodes AS """
+    + _NODES
 )
-_LEARNED = _SEEDED + """,
-ls AS (SELECT block_id, k, sum(r) AS n, sum(r * x0) AS s0, sum(r * x1) AS s1, sum(r * x0 * x0) AS q0, sum(r * x1 * x1) AS q1, sum(r * cos(theta)) AS dc, sum(r * sin(theta)) AS ds FROM r0 GROUP BY ALL)"""
 _T = " + ".join(
     f"lgamma(a + 0.5) - lgamma(a) - 0.5 * ln(2 * a * pi()) - 0.5 * ln(b{d} * (kappa + 1) / (a * kappa)) - (a + 0.5) * ln(1 + (x{d} - mean{d})^2 * a * kappa / (b{d} * (kappa + 1)) / (2 * a))" for d in "01"
 )
@@ -128,9 +126,38 @@ def _big_i0(x: str) -> str:
     return f"(CASE WHEN {x} < 300 THEN {_log_i0(f'least({x}, 300)')} ELSE {x} - 0.5 * ln(2 * pi() * {x}) + ln({_series(x, 0)}) END)"
 
 
+def _fitted(snapshots: int = 6) -> str:
+    """The model through its snapshots, each scored before it is learned: ``log_density`` in ``score1`` and on, statistics in ``s6``."""
+    sums = "sum(r) AS n, sum(r * x0) AS s0, sum(r * x1) AS s1, sum(r * x0 * x0) AS q0, sum(r * x1 * x1) AS q1, sum(r * cos(theta)) AS dc, sum(r * sin(theta)) AS ds"
+    sql = _SEEDED
+    for t in range(snapshots):
+        sql += "," + _params(f"s{t}", "enough", f"p{t}") + "," + _weights(f"p{t}", f"w{t}") + f",\nnow{t} AS (SELECT * FROM own WHERE snapshot_index = {t})"
+        if t:
+            sql += f""",
+ld{t} AS (SELECT o.block_id, o.ordinal, ln(greatest(weight, 2.2250738585072014e-308)) + {_T} + {_big_i0(_FAR)} - {_big_i0("sqrt(e0 * e0 + e1 * e1)")} - ln(2 * pi()) - {_log_i0("6.0::DOUBLE")} AS z
+  FROM now{t} o JOIN w{t} USING (block_id)),
+score{t} AS (SELECT block_id, ordinal, any_value(m) + ln(sum(exp(z - m))) AS log_density FROM (SELECT *, max(z) OVER (PARTITION BY ordinal) AS m FROM ld{t}) GROUP BY ALL)"""
+        sql += "," + _respond(f"w{t}", f"now{t}", f"r{t}") + f",\nl{t} AS (SELECT block_id, k, {sums} FROM r{t} GROUP BY ALL)"
+        before = f"SELECT * FROM s{t} UNION ALL BY NAME " if t else ""
+        columns = ", ".join(f"sum({c}) AS {c}" for c in ("n", "s0", "s1", "q0", "q1", "dc", "ds"))
+        sql += f",\ns{t + 1} AS (SELECT block_id, k, {columns} FROM ({before}SELECT * FROM l{t}) GROUP BY ALL)"
+    return sql
+
+
+def _finished() -> str:
+    """All observations under the final statistics, and all scores."""
+    scores = " UNION ALL ".join(f"FROM score{t}" for t in range(1, 6))
+    return _fitted() + "," + _params("s6", "enough", "p6") + "," + _weights("p6", "w6") + "," + _respond("w6", "own", "r6") + f",\nscores AS ({scores})"
+
+
+def _kept_once(sql: str) -> str:
+    """Every table of the chain is computed once."""
+    return re.sub(r"(?m)^(\w+) AS \(", r"\1 AS MATERIALIZED (", sql)
+
+
 _CELLS = """
-WITH c AS (SELECT date_diff('day', DATE '2024-01-01', ts::DATE)::VARCHAR AS block_id, CASE event_type WHEN 'view' THEN 'streaming_vi' ELSE 'collapsed_dp_smc' END AS method,
-   [0.0, 0.15, 0.3][hour(ts) % 3 + 1]::DOUBLE AS dropout_rate, avg(value) AS endpoint, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL),
+WITH c AS (SELECT date_diff('day', DATE '2024-01-01', ts::DATE)::VARCHAR AS block_id, CASE WHEN event_type IN ('view', 'purchase') THEN 'streaming_vi' ELSE 'collapsed_dp_smc' END AS method,
+   [0.0, 0.15, 0.3][hour(ts) % 3 + 1]::DOUBLE AS dropout_rate, avg(value) AS endpoint, count(*) AS n FROM events GROUP BY ALL),
 all_cells AS (SELECT b.block_id, m.method, r.dropout_rate FROM (SELECT DISTINCT block_id FROM c) b, (SELECT unnest(['streaming_vi', 'collapsed_dp_smc']) AS method) m, (SELECT unnest([0.0, 0.15, 0.3])::DOUBLE AS dropout_rate) r)"""
 _CUBE = (
     _CELLS
@@ -145,13 +172,7 @@ mom AS (SELECT contrast, count(value) AS n, avg(value) AS estimate, stddev_samp(
 _DRAWS = """
 WITH e AS (SELECT event_id % 4 AS chain, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) AS draw, value FROM events),
 d AS (SELECT * FROM e WHERE draw <= (SELECT min(n) FROM (SELECT count(*) AS n FROM e GROUP BY chain)))"""
-_PARTICLES = (
-    "WITH"
-    + _STATES
-    + """,
-q AS (SELECT block_id, row_number() OVER (PARTITION BY block_id ORDER BY ordinal) - 1 AS particle, velocity AS v FROM st QUALIFY particle < 64),
-pt AS (SELECT block_id, particle, v / sum(v) OVER (PARTITION BY block_id) AS weight FROM q)"""
-)
+_PARTICLES = "WITH pt AS (SELECT event_id // 64 AS cell, event_id % 64 AS particle, value / sum(value) OVER (PARTITION BY event_id // 64) AS weight FROM events)"
 _RHAT = """
 m AS (SELECT avg(value) AS mean, var_samp(value) AS var, count(*) AS n FROM {split} GROUP BY {by}),
 t AS (SELECT avg(var) AS w, any_value(n) * var_samp(mean) AS b, any_value(n) AS n FROM m)
@@ -191,14 +212,13 @@ SELECT block_id, snapshots_out_of_order, coalesce(f <= lag(l) OVER (ORDER BY blo
     "expected_weights": _HARD + "," + _params("hs", "hard", "pp") + "," + _weights("pp", "ww") + f" SELECT block_id, k, {_rounded('weight log_weight')} FROM ww",
     "forgetting_merge": _SNAPSHOTS + f" SELECT block_id, k, {_rounded('n s0 s1 dc ds')} FROM fg",
     "forgetting_closed_form": _SNAPSHOTS + f" SELECT block_id, k, {_rounded('n s0 s1 dc ds')} FROM fg",
-    "vi_responsibilities": _SEEDED + " SELECT ordinal, " + ", ".join(f"round(sum(r) FILTER (k = {k}), 5) + 0 AS r{k}" for k in range(4)) + " FROM r0 GROUP BY ordinal",
-    "argmax_labels": _SEEDED + " SELECT ordinal, k AS label, round(r, 5) + 0 AS responsibility FROM r0 QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY r DESC, k) = 1",
-    "vi_one_step": _LEARNED + f" SELECT block_id, k, {_rounded('n s0 s1 q0 q1 dc ds', 4)} FROM ls",
-    "vi_log_predictive": _LEARNED + "," + _params("ls", "enough", "p1") + "," + _weights("p1", "w1") + f""",
-ld AS (SELECT o.ordinal, ln(greatest(weight, 2.2250738585072014e-308)) + {_T} + {_big_i0(_FAR)} - {_big_i0("sqrt(e0 * e0 + e1 * e1)")} - ln(2 * pi()) - {_log_i0("6.0::DOUBLE")} AS z
-  FROM (SELECT * FROM obs WHERE snapshot_index = 1) o JOIN w1 USING (block_id)),
-top AS (SELECT ordinal, max(z) AS m FROM ld GROUP BY ordinal)
-SELECT ordinal, round(any_value(m) + ln(sum(exp(z - m))), 4) + 0 AS log_density FROM ld JOIN top USING (ordinal) GROUP BY ordinal""",
+    "vi_responsibilities": _kept_once(_finished()) + " SELECT ordinal, " + ", ".join(f"round(sum(r) FILTER (k = {k}), 4) + 0 AS r{k}" for k in range(4)) + " FROM r6 GROUP BY ordinal",
+    "argmax_labels": _kept_once(_finished()) + " SELECT ordinal, k AS label, round(r, 4) + 0 AS responsibility FROM r6 QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY r DESC, k) = 1",
+    "vi_one_step": _kept_once(_fitted(1)) + f" SELECT block_id, k, {_rounded('n s0 s1 q0 q1 dc ds', 4)} FROM s1",
+    "vi_log_predictive": _kept_once(_finished()) + " SELECT ordinal, round(log_density, 3) + 0 AS log_density FROM scores",
+    "vi_prequential": _kept_once(_finished()) + """,
+sc AS (SELECT block_id, round(avg(log_density), 5) + 0 AS mean_prequential_log_score, count(*) AS scored_observations FROM scores GROUP BY block_id)
+SELECT sc.*, round(weight, 5) + 0 AS tail_weight FROM sc JOIN w6 USING (block_id) WHERE k = 3""",
     "occupied_clusters": _HARD + " SELECT block_id, count(DISTINCT label) AS occupied_clusters FROM hard GROUP BY block_id",
     "category_coverage": _KEPT + f" SELECT dropout_rate, count(*) AS retained_observations, count(*) FILTER ({_USABLE}) AS category_observations FROM kept GROUP BY dropout_rate",
     "nmi": _HARD + f""", us AS (SELECT block_id, label, category FROM hard WHERE {_USABLE}), tot AS (SELECT block_id, count(*) AS t FROM us GROUP BY block_id),
@@ -217,18 +237,18 @@ SELECT contrast, round(p, 6) + 0 AS p, round(max(step) OVER (ORDER BY p ROWS BET
     "avg_ranks": "WITH e AS (SELECT event_id, event_type, round(value, 1) AS v FROM events) SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY v) + (count(*) OVER (PARTITION BY event_type, v) - 1) / 2 AS rank FROM e",
     "split_rhat_raw": _DRAWS + ", h AS (SELECT *, count(*) OVER (PARTITION BY chain) AS n FROM d), s AS (SELECT chain, draw > n // 2 AS side, value FROM h WHERE draw <= n // 2 OR draw > n - n // 2)," + _RHAT.format(split="s", by="chain, side"),
     "rhat_demo": _DRAWS + "," + _RHAT.format(split="d", by="chain"),
-    "particle_ess": _PARTICLES + " SELECT block_id, round(1 / sum(weight * weight), 6) + 0 AS ess FROM pt GROUP BY block_id",
+    "particle_ess": _PARTICLES + " SELECT cell, round(1 / sum(weight * weight), 6) + 0 AS ess FROM pt GROUP BY cell",
     "resample_ancestors": _PARTICLES + """,
-cu AS (SELECT block_id, particle, sum(weight) OVER (PARTITION BY block_id ORDER BY particle) AS high, count(*) OVER (PARTITION BY block_id) AS n FROM pt),
-pl AS (SELECT DISTINCT block_id, n, unnest(range(n)) AS i FROM cu)
-SELECT pl.block_id, i::INTEGER AS place, min(CASE WHEN high >= (0.37 + i) / pl.n OR particle = pl.n - 1 THEN particle END)::INTEGER AS ancestor FROM pl JOIN cu USING (block_id) GROUP BY ALL""",
-    "log_mean_weight": _PARTICLES + " SELECT block_id, round(ln(sum(weight^3)), 6) + 0 AS logsumexp FROM pt GROUP BY block_id",
+cu AS (SELECT cell, particle, sum(weight) OVER w AS high, count(*) OVER (PARTITION BY cell) AS n, lead(particle) OVER w IS NULL AS last FROM pt WINDOW w AS (PARTITION BY cell ORDER BY particle)),
+pl AS (SELECT DISTINCT cell, n, unnest(range(n)) AS i FROM cu)
+SELECT pl.cell, i::INTEGER AS place, min(CASE WHEN high >= (0.37 + i) / pl.n OR last THEN particle END) AS ancestor FROM pl JOIN cu USING (cell) GROUP BY ALL""",
+    "log_mean_weight": _PARTICLES + " SELECT cell, round(ln(sum(weight^3)), 6) + 0 AS logsumexp FROM pt GROUP BY cell",
     "design_cross": "WITH" + _STATES + " SELECT b.block_id, method, dropout_rate FROM (SELECT DISTINCT block_id FROM st) b, (SELECT unnest(['streaming_vi', 'collapsed_dp_smc']) AS method), (SELECT unnest([0.0, 0.15, 0.3])::DOUBLE AS dropout_rate)",
-    "pending_cells": _CELLS + """, o AS (SELECT a.* FROM all_cells a ANTI JOIN (SELECT * FROM c WHERE n >= 10) d USING (block_id, method, dropout_rate))
+    "pending_cells": _CELLS + """, o AS (SELECT a.* FROM all_cells a ANTI JOIN (SELECT * FROM c WHERE n % 4 <> 0) d USING (block_id, method, dropout_rate))
 SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY sha256('2026|' || block_id || '|' || method || '|' || dropout_rate::VARCHAR))::INTEGER AS position FROM o""",
-    "leakage": "WITH" + _STATES + " SELECT DISTINCT block_id FROM st WHERE substr(block_id, 8)::INTEGER BETWEEN 8 AND 10",
-    "key_equality": _CELLS + """ SELECT block_id, method, dropout_rate, 'missing' AS side FROM (FROM all_cells EXCEPT SELECT block_id, method, dropout_rate FROM c WHERE n >= 10)
-UNION ALL SELECT block_id, method, dropout_rate, 'unexpected' FROM (SELECT block_id, method, dropout_rate FROM c WHERE n >= 10 EXCEPT FROM all_cells)""",
+    "leakage": "WITH" + _STATES + " SELECT DISTINCT block_id FROM st WHERE substr(block_id, 8)::INTEGER % 6 = 0",
+    "key_equality": _CELLS + """ SELECT block_id, method, dropout_rate, 'missing' AS side FROM (FROM all_cells EXCEPT SELECT block_id, method, dropout_rate FROM c WHERE n % 4 <> 0)
+UNION ALL SELECT block_id, method, dropout_rate, 'unexpected' FROM (SELECT block_id, method, dropout_rate FROM c WHERE n % 4 <> 0 EXCEPT FROM all_cells)""",
     "unique_ids": _OBS + " SELECT block_id, snapshot_index, count(*) AS n, count(DISTINCT identity) AS identities, count(*) = count(DISTINCT identity) AS \"unique\" FROM obs GROUP BY ALL",
     "result_violations": _KEPT + f""", ex AS (SELECT block_id, dropout_rate, count(*) AS retained, count(*) FILTER (snapshot_index > 0) AS scored FROM kept GROUP BY ALL),
 ce AS (SELECT *, substr(block_id, 8, 4)::INTEGER AS day, retained + substr(block_id, 8, 4)::INTEGER % 2 AS claimed FROM ex, (SELECT unnest(['streaming_vi', 'collapsed_dp_smc']) AS method)),
