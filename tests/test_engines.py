@@ -10,10 +10,13 @@ from vireo.operators.smc import ParticleFilter
 
 
 def clusters(n=90, seed=1):
+    """Three groups in uneven shares: a tight one, a long diagonal one, and one whose headings lie around north."""
     rng = np.random.default_rng(seed)
-    at = np.arange(n) % 3
-    x = np.array([[4.6, -0.8], [5.2, 0.0], [5.7, 0.9]])[at] + rng.normal(0, 0.15, (n, 2))
-    return x, np.array([0.2, 2.3, 5.0])[at] + rng.normal(0, 0.2, n), at
+    at = np.sort(rng.choice(3, n, p=[0.5, 0.3, 0.2]))[rng.permutation(n)]
+    at[:3] = [0, 1, 2]
+    along = rng.uniform(-1, 1, n)
+    x = np.where(at[:, None] == 0, [-1.0, 2.0], np.where(at[:, None] == 1, np.column_stack([8 + along, along]), [3.0, -4.0])) + rng.normal(0, 0.1, (n, 2))
+    return x, np.choose(at, [1.1, 4.0, 0.0]) + rng.laplace(0, 0.1, n), at
 
 
 def test_special_functions():
@@ -105,7 +108,9 @@ def test_native_equals_kernel(spark, tmp_path):
     x, t, _ = clusters(180, 4)
     rows = pd.DataFrame({"cell": np.where(np.arange(180) % 2, "b", "a"), "snapshot_index": np.arange(180) // 60, "obs_index": np.arange(180) % 60, "x0": x[:, 0], "x1": x[:, 1], "theta": t % (2 * math.pi)})
     obs, p = spark.createDataFrame(rows), vi.Prior(k=5)
-    state, scored = vi.fit(obs, ["cell"], p, 3, keep=written)
+    model = vi.fit(obs, ["cell"], p, 3, keep=written)
+    state, scored = model.states[-1], model.scores()
+    labels = {(r.cell, r.snapshot_index, r.obs_index): r.r for r in model.responsibilities().collect()}
     got = {c: np.array([[r[s] for s in vi.STATS] for r in state.where(f"cell = '{c}'").orderBy("k").collect()]) for c in "ab"}
     scores = {(r.cell, r.snapshot_index, r.obs_index): r.log_density for r in scored.collect()}
     for c in "ab":
@@ -117,34 +122,91 @@ def test_native_equals_kernel(spark, tmp_path):
                 assert [scores[c, s, o] for o in part.obs_index] == pytest.approx(model.log_predictive(xs, ts), rel=1e-7)
             model.learn(xs, ts)
         assert got[c] == pytest.approx(model.stats, rel=1e-7, abs=1e-7)
+        part = rows[rows.cell == c]
+        want = model.responsibilities(part[["x0", "x1"]].to_numpy(), part["theta"].to_numpy())
+        assert np.array([labels[c, s, o] for s, o in zip(part.snapshot_index, part.obs_index, strict=True)]) == pytest.approx(want, abs=1e-7)
+    few = vi.fit(obs.where("cell = 'a' OR obs_index < 4"), ["cell"], p, 3, keep=written)  # b has too few observations to start
+    assert {r.cell for r in few.states[-1].collect()} == {"a"} == {r.cell for r in few.scores().collect()}
 
 
-def test_streaming_equals_batch(spark, tmp_path):
+@pytest.fixture
+def stream_of(spark, tmp_path):
+    """Cell a has three snapshots, cell b the last two; a micro-batch a snapshot."""
     import pandas as pd
 
-    from vireo.sources.tables import written
-    from vireo.streaming.online import OnlineMixture, kernel_stream
-
-    x, t, _ = clusters(90, 6)
-    rows = pd.DataFrame({"cell": "a", "snapshot_index": np.arange(90) // 30, "obs_index": np.arange(90) % 30, "x0": x[:, 0], "x1": x[:, 1], "theta": t % (2 * math.pi)})
+    x, t, _ = clusters(150, 6)
+    at = np.arange(150)
+    rows = pd.DataFrame({"cell": np.where(at < 90, "a", "b"), "snapshot_index": np.where(at < 90, at // 30, 1 + (at - 90) // 30), "obs_index": at % 30, "x0": x[:, 0], "x1": x[:, 1], "theta": t % (2 * math.pi)})
     obs = spark.createDataFrame(rows).selectExpr("cell", "cast(snapshot_index as int) snapshot_index", "cast(obs_index as int) obs_index", "x0", "x1", "theta")
-    for s in range(3):
-        obs.where(f"snapshot_index = {s}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    model = OnlineMixture(["cell"], vi.Prior(k=4), written)
-    stream = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    stream.writeStream.foreachBatch(model).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start().awaitTermination()
-    state, _ = vi.fit(obs, ["cell"], vi.Prior(k=4), 3, keep=written)
-    columns = ["k", *vi.STATS]
-    assert model.state.orderBy("k").select(columns).toPandas().to_numpy() == pytest.approx(state.orderBy("k").select(columns).toPandas().to_numpy(), rel=1e-9)
-    with pytest.raises(ValueError):
-        model(obs.where("snapshot_index = 1"), 99)  # late
-    model(obs, 0)  # a batch that came before is skipped
-    out = kernel_stream(stream, "vi", k=4).writeStream.format("memory").queryName("scores").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
+
+    def feed(*snapshots):
+        for s in snapshots:
+            obs.where(f"snapshot_index = {s}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    return rows, obs, feed, lambda: spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+
+
+def posterior(state, cell):
+    return np.array([[r[s] for s in vi.STATS] for r in state.where(f"cell = '{cell}'").orderBy("k").collect()])
+
+
+def test_online_model_survives_a_restart(spark, tmp_path, stream_of):
+    """Stopped after the first batch, and killed in the middle of the second: a new process goes on from the folder alone."""
+    from vireo.streaming.online import OnlineMixture
+
+    rows, obs, feed, stream = stream_of
+    folder, prior = f"file://{tmp_path}/state", vi.Prior(k=4)
+
+    def go(model):
+        stream().writeStream.foreachBatch(model).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+
+    feed(0)
+    first = OnlineMixture(["cell"], prior, folder)
+    go(first)
+    assert first.versions() == [0]
+    feed(1, 2)
+
+    class Killed(Exception):
+        pass
+
+    def dies(scores, batch_id, t):
+        raise Killed
+
+    with pytest.raises(Exception, match="Killed"):
+        go(OnlineMixture(["cell"], prior, folder, dies))
+    assert first.versions() == [0]
+    seen = {}
+    again = OnlineMixture(["cell"], prior, folder, lambda scores, batch_id, t: seen.update({(t, r.cell, r.obs_index): r.log_density for r in scores.collect()}))
+    go(again)
+    assert again.versions() == [0, 1, 2]
+    for cell in "ab":
+        kernel = vi.StreamingMixture(prior)
+        for s, part in rows[rows.cell == cell].groupby("snapshot_index"):
+            x, t = part[["x0", "x1"]].to_numpy(), part["theta"].to_numpy()
+            if kernel.stats is not None:
+                assert [seen[s, cell, o] for o in part.obs_index] == pytest.approx(kernel.log_predictive(x, t))
+            kernel.learn(x, t)
+        assert posterior(again.state(spark), cell) == pytest.approx(kernel.stats, rel=1e-9)
+    with pytest.raises(ValueError, match="snapshot 1 came after snapshot 2"):
+        again(obs.where("snapshot_index = 1"), 99)  # late for its cell
+    again(obs, 0)  # a batch that came before is skipped
+    with pytest.raises(ValueError, match="can't start"):
+        again(obs.where("snapshot_index = 2 AND obs_index < 3 AND cell = 'a'").selectExpr("'c' AS cell", "snapshot_index", "obs_index", "x0", "x1", "theta"), 99)
+    again(obs.where("snapshot_index = 1 AND cell = 'a'").selectExpr("'c' AS cell", "0 AS snapshot_index", "obs_index", "x0", "x1", "theta"), 99)  # its own order counts
+    assert {r.cell: r["last"] for r in again.state(spark).select("cell", "last").distinct().collect()} == {"a": 2, "b": 2, "c": 0}
+
+
+def test_kernel_stream(spark, tmp_path, stream_of):
+    from vireo.streaming.online import kernel_stream
+
+    rows, _, feed, stream = stream_of
+    feed(0, 1, 2)
+    out = kernel_stream(stream(), "vi", k=4).writeStream.format("memory").queryName("scores").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     out.awaitTermination()
-    got = spark.table("scores").orderBy("snapshot_index").collect()
+    got = spark.table("scores").where("cell = 'a'").orderBy("snapshot_index").collect()
     kernel = vi.StreamingMixture(vi.Prior(k=4))
     for r, s in zip(got, range(3), strict=True):
-        part = rows[rows.snapshot_index == s]
+        part = rows[(rows.cell == "a") & (rows.snapshot_index == s)]
         if s:
             assert r.mean_log_score == pytest.approx(kernel.log_predictive(part[["x0", "x1"]].to_numpy(), part["theta"].to_numpy()).mean())
         kernel.learn(part[["x0", "x1"]].to_numpy(), part["theta"].to_numpy())

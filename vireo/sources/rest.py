@@ -203,8 +203,19 @@ def sanitised_payload(payload: dict, key: bytes) -> dict:
     return {"api_time": at, "observations": rows, "rejected_incomplete_states": rejected}
 
 
+def fetch(session: Session, bbox: tuple[float, float, float, float], key: bytes) -> dict:
+    """One live snapshot, sanitised: ``{api_time, observations, rejected_incomplete_states}``."""
+    if not valid_box(bbox):
+        raise ValueError("impossible bounding box")
+    return sanitised_payload(session.states(bbox)[0], key)
+
+
 class StateSource(DataSource):
-    """``spark.readStream.format("states")``: a payload per micro-batch, from a transport named ``module:attribute``."""
+    """``spark.readStream.format("states")``: a payload per micro-batch, from a transport named ``module:attribute``.
+
+    Option ``history`` names a folder (a URI that every driver sees) where each payload is kept until its batch is
+    committed, so that a query that starts again reads what it read before.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -221,24 +232,52 @@ class StateReader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict) -> None:
         import importlib
 
+        from pyarrow import fs
+
         module, _, attribute = options["transport"].partition(":")
         self.session = Session(getattr(importlib.import_module(module), attribute), options.get("base", ""))
         self.bbox = tuple(float(x) for x in options.get("bbox", "-90,-180,90,180").split(","))
-        self.most, self.past = int(options.get("snapshots", 1 << 62)), {}
+        self.most = int(options.get("snapshots", 1 << 62))
+        if "history" not in options:
+            raise ValueError("option history must name a folder for the payloads that may be read again")
+        self.fs, self.folder = fs.FileSystem.from_uri(options["history"])
+        self.fs.create_dir(self.folder, recursive=True)
+
+    def _path(self, k: int) -> str:
+        return f"{self.folder}/{k:012d}.json"
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"sequence": 0}
 
+    def _kept(self, k: int) -> str | None:
+        try:
+            with self.fs.open_input_stream(self._path(k)) as file:
+                return file.read().decode()
+        except FileNotFoundError:
+            return None
+
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         k = start["sequence"]
         if k >= self.most:
             return iter([]), start
-        self.past[k] = (k, json.dumps(self.session.states(self.bbox)[0]))
-        return iter([self.past[k]]), {"sequence": k + 1}
+        payload = self._kept(k)
+        if payload is None:
+            payload = json.dumps(self.session.states(self.bbox)[0])
+            with self.fs.open_output_stream(self._path(k) + ".part") as out:
+                out.write(payload.encode())
+            self.fs.move(self._path(k) + ".part", self._path(k))  # whole or not at all
+        return iter([(k, payload)]), {"sequence": k + 1}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        """Only what this process has read can be read again: the source keeps no history."""
-        return iter([self.past[k] for k in range(start["sequence"], end["sequence"])])
+        rows = [(k, self._kept(k)) for k in range(start["sequence"], end["sequence"])]
+        if any(payload is None for _, payload in rows):
+            raise AcquisitionError("the history has lost a payload that isn't committed")
+        return iter(rows)
 
     def commit(self, end: dict) -> None:
-        self.past = {k: v for k, v in self.past.items() if k >= end["sequence"]}
+        from pyarrow import fs
+
+        for info in self.fs.get_file_info(fs.FileSelector(self.folder)):
+            name = info.base_name.partition(".")[0]
+            if name.isdigit() and int(name) < end["sequence"]:
+                self.fs.delete_file(info.path)

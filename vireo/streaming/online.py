@@ -7,55 +7,82 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vireo.operators import vi
 from vireo.operators.features import base_moments, batches, seed_of
 from vireo.operators.smc import ParticleFilter
+from vireo.sources.tables import written
 
 SCORES = "cell string, snapshot_index int, n long, mean_log_score double, occupied long"
 
 
 class OnlineMixture:
-    """``foreachBatch`` for the native model over all cells.
+    """``foreachBatch`` for the native model over all cells, with its state in ``folder``, a version for each batch.
 
     Snapshots of a micro-batch are taken one after another, each scored before it is learned: batch borders don't
-    matter. A batch that comes again is skipped. Rows of a snapshot that a cell has passed fail the query: late data is
-    never dropped in silence. The state is a row per cell and component, written anew for each snapshot.
+    matter. A cell starts at the first snapshot that it has, and fails the query if that has fewer than K observations.
+    Rows of a snapshot that their cell has passed fail the query too: late data is never dropped in silence.
+
+    A version is complete before the batch ends, and holds all that the next one needs: a row per cell and component,
+    with the cell's base and last snapshot. So a query that starts again goes on where its checkpoint does, and a batch
+    that comes again is skipped. ``sink(scores, batch_id, snapshot)`` may be called again for a batch that failed midway.
     """
 
-    def __init__(self, cells: list[str], prior: vi.Prior, keep: Callable[[DataFrame, str], DataFrame], sink: Callable[[DataFrame, int, int], None] | None = None) -> None:
-        self.cells, self.p, self.keep, self.sink = cells, prior, keep, sink
-        self.state: DataFrame | None = None
-        self.base: DataFrame | None = None
-        self.done, self.last = -1, -1
+    def __init__(self, cells: list[str], prior: vi.Prior, folder: str, sink: Callable[[DataFrame, int, int], None] | None = None) -> None:
+        self.cells, self.p, self.folder, self.sink = cells, prior, folder.rstrip("/"), sink
+
+    def versions(self) -> list[int]:
+        """Batches whose state is complete, in order."""
+        at, root = fs.FileSystem.from_uri(self.folder)
+        found = at.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+        return sorted(int(i.path.split("/")[-2].removeprefix("v")) for i in found if i.base_name == "_SUCCESS")
+
+    def state(self, spark: SparkSession, version: int | None = None) -> DataFrame | None:
+        """The newest state, or that of a batch."""
+        found = self.versions()
+        return spark.read.parquet(f"{self.folder}/v{(found[-1] if version is None else version):012d}") if found else None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= self.done:
+        done = self.versions()
+        if done and batch_id <= done[-1]:
             return
-        rows = self.keep(batch, "batch")
+        spark = batch.sparkSession
+        state, rows = self.state(spark), written(batch, "batch")
         for r in rows.select("snapshot_index").distinct().orderBy("snapshot_index").collect():  # a handful of numbers
-            t = r.snapshot_index
-            if t <= self.last:
-                raise ValueError(f"snapshot {t} came after snapshot {self.last}")
-            self._snapshot(rows.where(F.col("snapshot_index") == t), t, batch_id)
-            self.last = t
-        self.done = batch_id
-
-    def _snapshot(self, rows: DataFrame, t: int, batch_id: int) -> None:
-        if self.state is None:
-            base = self.keep(base_moments(rows, tuple(self.cells)), "base")
-            state = vi.seed_statistics(vi.seeds(rows, self.cells, self.p.k), self.cells, self.p.initial_mass)
-        else:
-            base, state = self.base, self.state
-        batch = vi.with_components(rows, vi.weighted(vi.parameters(state, base, self.cells, self.p), self.cells, self.p.k), self.cells, self.p)
-        if self.state is not None and self.sink is not None:
-            self.sink(vi.log_predictive(batch, self.p).drop("c"), batch_id, t)
-        learned = vi.statistics(vi.responsibilities(batch, self.p), self.cells)
-        # The new state is complete before it takes the old one's place.
-        new = self.keep(learned if self.state is None else vi.merged(self.state, learned, self.cells, self.p.forgetting), "posterior")
-        self.state, self.base = new, base
+            state = written(self._snapshot(rows.where(F.col("snapshot_index") == r.snapshot_index), state, r.snapshot_index, batch_id), "posterior")
+        if state is not None:
+            state.write.mode("overwrite").parquet(f"{self.folder}/v{batch_id:012d}")
+
+    def _snapshot(self, rows: DataFrame, state: DataFrame | None, t: int, batch_id: int) -> DataFrame:
+        cells, p = self.cells, self.p
+        chunks = written(vi.chunked(rows, cells), "chunks")
+        fresh = chunks
+        if state is not None:
+            bases = state.select(*cells, "m0", "m1", "v0", "v1", "last").distinct()
+            late = chunks.join(bases.where(F.col("last") >= t), cells).select(*cells, "last").first()
+            if late is not None:
+                raise ValueError(f"{late[:-1]}: snapshot {t} came after snapshot {late[-1]}")
+            fresh = chunks.join(bases, cells, "left_anti")
+        size = fresh.groupBy(*cells).agg(F.sum(F.size("x0")).alias("n"))
+        few = size.where(F.col("n") < p.k).first()
+        if few is not None:
+            raise ValueError(f"{few[:-1]}: a first snapshot of {few[-1]} observations can't start {p.k} components")
+        first = vi.unpacked(fresh, cells, ("obs_index", "x0", "x1", "theta"))
+        base = written(base_moments(first, tuple(cells)).select(*cells, "m0", "m1", "v0", "v1"), "base")
+        seeds = vi.seed_statistics(vi.seeds(first, cells, p.k), cells, p.initial_mass)
+        out = vi.learned(fresh, seeds, base, cells, p).join(base, cells).withColumn("last", F.lit(t))
+        if state is None:
+            return out
+        own, known = state.select(*cells, "k", *vi.STATS), bases.drop("last")
+        if self.sink is not None:
+            self.sink(vi.scored(chunks, own, known, cells, p), batch_id, t)
+        seen = chunks.select(*cells).distinct()
+        merged = vi.merged(own.join(seen, cells, "left_semi"), vi.learned(chunks, own, known, cells, p), cells, p.forgetting)
+        merged = merged.join(known, cells).withColumn("last", F.lit(t))
+        return out.unionByName(merged).unionByName(state.join(seen, cells, "left_anti").select(out.columns))
 
 
 def kernel_stream(rows: DataFrame, method: str, k: int = 8, particles: int = 64, window: int = 24, base_seed: int = 2026) -> DataFrame:
