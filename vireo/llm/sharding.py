@@ -76,7 +76,8 @@ def numbered(df: DataFrame, shard: str, order: list[str], buckets: int = 1024, s
     Rows go to ``buckets`` hash buckets of a shard; a bucket's first number is the count of the buckets before it
     (``shards x buckets`` rows), and only within a bucket are rows sorted. ``df`` should be cheap to read twice.
     """
-    at = df.withColumn("__bucket", F.pmod(F.hash(*order), F.lit(buckets)))
+    digest = F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in order)))
+    at = df.withColumn("__bucket", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % buckets)
     counts = at.groupBy(shard, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(shard).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(shard, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
@@ -109,3 +110,36 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
 
 def op2_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def _sql_draws(shards: int, name: str) -> str:
+    """The descent in DuckDB: at each level the child of the least draw, for every node that has children."""
+
+    def least(kind: str, children: dict[int, float]) -> str:
+        bits = lambda n: f"('0x' || substr(md5('{kind}|{n}|' || key), 1, 13))::BIGINT::DOUBLE"
+        draws = ", ".join(f"{{'d': -ln(({bits(n)} + 0.5::DOUBLE) / 4503599627370496::DOUBLE) / {w}::DOUBLE, 'n': {n}}}" for n, w in children.items())
+        return f"list_sort([{draws}])[1].n"
+
+    leaves, out = topology(shards), "base"
+    for level, child, kind in ((None, 2, "region"), (2, 1, "rack"), (1, 0, "shard")):
+        parents = {None: leaves} if level is None else {n: [x for x in leaves if x[level] == n] for n in _weights(leaves, level)}
+        picks = {n: least(kind, _weights(own, child)) for n, own in parents.items()}
+        column = f"CASE {' '.join(f'WHEN node = {n} THEN {x}' for n, x in picks.items())} END" if level is not None else picks[None]
+        out = f"(SELECT * EXCLUDE (node), {column} AS node FROM {out})" if level is not None else f"(SELECT *, {column} AS node FROM {out})"
+    return f"{name} AS (SELECT * EXCLUDE (node), node::INTEGER AS {name}_of FROM {out})"
+
+
+#: The checksum a byte at a time; its table follows from the polynomial.
+_CRC = """
+powers AS (SELECT list(c ORDER BY k) AS t FROM (SELECT range AS k, list_reduce(list_prepend(range, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256))),
+bytes AS (SELECT row_number() OVER () AS r, doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+base AS (SELECT r, doc_id, size::BIGINT AS size, coalesce(doc_id::VARCHAR, '') AS key,
+  xor(list_reduce(list_prepend(4294967295, list_transform(b, lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM bytes, powers)"""
+OP2_SQL = f"""
+WITH {_CRC.strip()},
+{_sql_draws(8, "eight")},
+{_sql_draws(9, "nine")}
+SELECT e.doc_id, e.size, e.crc AS text_crc32, 'key' AS law, eight_of AS shard, nine_of AS grown_shard,
+  row_number() OVER (PARTITION BY eight_of ORDER BY ('0x' || substr(md5(concat_ws('|', e.doc_id, e.crc, e.size)), 1, 8))::BIGINT % 1024, e.doc_id NULLS FIRST, e.crc, e.size) - 1 AS slot
+FROM eight e JOIN nine n USING (r)
+"""

@@ -238,3 +238,13 @@ def op1_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = archive_pages(table(spark, sf_dir, "pages"), scratch(spark, "warc"))
     back = read_archives(_dealt(archives), with_payload=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Base32 of a SHA-1 in hexadecimal: five digits are four characters.
+_FOUR = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, 5 * g + 1, 5))::INTEGER >> {k}) & 31) + 1, 1)" for k in (15, 10, 5, 0))
+OP1_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS n, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(8), lambda g: {_FOUR}), '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM d
+"""
