@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, table
+from .common import documents, give_back, table
 from .pieces import Memory, Recent
 
 #: Documents at a time: new words of more documents go to one query.
@@ -232,9 +232,9 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "same"],
                 )
         if forget:
-            del own
+            own = found = back = None
             _codecs.clear()
-            gc.collect()
+            give_back()
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import give_back, scratch, table
 from .files import fresh, reader, writer
 from .shingles import U, Words, mixed, words_of
 
@@ -291,6 +291,8 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, max_edit_rate: float =
             d, i, e, a, b = zip(*found, strict=True) if found else ((),) * 5
             made = [pa.array(d, long), pa.array(i, long), pa.array(e, pa.int32()), pa.array(a, long), pa.array(b, long)]
             yield pa.RecordBatch.from_arrays(made, names=["doc_id", "item_id", "distance", "start_word", "end_word"])
+        _words.empty()
+        give_back()
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return d.mapInArrow(run, FOUND)
@@ -306,6 +308,8 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, max_edit_rate: float
             texts = rows.column("text").to_pylist()
             clean = [not hits for some in _searched(texts, blocks, max_edit_rate, step) for hits in some]
             yield rows.filter(pa.array(clean, pa.bool_()))
+        _words.empty()
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

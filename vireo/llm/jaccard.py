@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, scratch, settled, table
+from .common import discard, give_back, scratch, settled, table
 from .graph import components
 from .shingles import U, Words, common, mixed, shingle_sets
 
@@ -258,6 +258,9 @@ def _keyed(docs: DataFrame, width: int, num: int, den: int, bits: int) -> DataFr
                 seen.clear()
         if held:
             yield from packs()
+        held, owners = [], []
+        _words.empty()
+        give_back()
 
     return docs.mapInArrow(make, KEYED)
 
@@ -436,6 +439,8 @@ def _members(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     names=["region", "sid", "n", "shingles"],
                 )
                 yield made.filter(same)
+        _words.empty()
+        give_back()
 
     w = wanted.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "sid", "region")
     near = docs.join(w, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("text", "sid", "region")
@@ -531,3 +536,17 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null and empty texts stay; a component of rows without ids keeps one of them; an empty table stays empty.
     """
     return without_near_duplicates(docs)
+
+
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+OP5_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT r, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] END AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach(r, q) AS (SELECT r, r FROM n UNION SELECT reach.r, e.b FROM reach JOIN e ON e.a = reach.q),
+named AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.q GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, CASE WHEN n IS NULL THEN doc_id ELSE component_id END AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN named USING (r)
+"""

@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_warc_normaliser": warc.OP1_SQL,
+    "op2_hash_tree": sharding.OP2_SQL,
+    "op5_jaccard_join": jaccard.OP5_SQL,
     "op7_rule_ledger": quality.OP7_SQL,
     "op9_line_dedup": lines.OP9_SQL,
 }

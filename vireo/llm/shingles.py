@@ -20,11 +20,14 @@ class Words(dict):
         self.hashes.append(xxhash.xxh3_64_intdigest(word))
         return n
 
+    def empty(self) -> None:
+        self.clear()
+        self.hashes, self.table = [], np.empty(0, U)
+
     def of(self, words: list[bytes]) -> np.ndarray:
         """The hashes of the words in order."""
         if len(self) > self.most:
-            self.clear()
-            self.hashes, self.table = [], np.empty(0, U)
+            self.empty()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         if len(self.table) < len(self.hashes):
             self.table = np.concatenate([self.table, np.array(self.hashes[len(self.table) :], U)])
