@@ -764,3 +764,63 @@ def test_pipeline_odd_rows(spark, sf, odd, none):
     for df in (odd, none):
         for _, stage in p.STAGES:
             assert stage(spark, df, sf).count() <= len(TEXTS)
+
+
+def lines_by_hand(rows):
+    def key(line):
+        return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(BLANKS))
+
+    holders = {}
+    for i, t in rows:
+        for line in (t or "").split("\n"):
+            holders.setdefault(key(line), set()).update([] if i is None else [i])
+    often = {k: max(ids) for k, ids in holders.items() if len(k) >= 20 and len(ids) >= 3}
+    return [(i, "\n".join(x for x in (t or "").split("\n") if often.get(key(x), i) == i)) for i, t in rows]
+
+
+def test_every_stage_by_hand(spark, sf):
+    """Null, repeated and conflicting ids, repeated rows and clashing columns, each stage on what the one before kept."""
+    import corpus_pipeline as p
+    import public_tokenizers as P
+    import tiktoken
+
+    from vireo.llm import decontaminate as d
+    from vireo.llm import quality
+
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    rng, rows = random.Random(3), copies(800)
+    shared = "a line of many letters that comes again"
+    rows = [(i, t and f"{t}\n{shared} {k % 4}\n  {shared.upper()} {k % 4} \t") for k, (i, t) in enumerate(rows)]
+    rows += [(rng.choice([None, 3, 700 + k]), f"{rows[k][1]} {bench[k % len(bench)].text} and more {k}") for k in range(0, 40, 7)]
+    rows += [(None, rows[0][1]), (None, rows[0][1]), (4, rows[0][1]), (4, rows[0][1])]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", -1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, th string, row long").repartition(3)
+    stages = dict(p.STAGES)
+
+    def check(name, df, want):
+        out = stages[name](spark, df, sf)
+        assert out.columns == frame.columns
+        got = [(r.doc_id, r.text) for r in out.collect()]
+        assert Counter(got) == Counter(want), name
+        return got, spark.createDataFrame(out.collect(), frame.schema).repartition(3)
+
+    good = {r.text: r.kept for r in quality.judge(quality.ledger(frame, carry="row_")).select("kept", "row_.text").collect()}
+    kept, df = check("quality_rules", frame, [r for r in rows if good[r[1]]])
+    assert 50 < len(kept) < len(rows) and any(i is None for i, _ in kept)
+    kept, df = check("line_dedup", df, lines_by_hand(kept))
+    hashes = dict(spark.createDataFrame([(t,) for t in {t for _, t in kept}], "t string").selectExpr("t", "xxhash64(t)").collect())
+    first = [min(g, key=lambda a: (kept[a][0] is None, kept[a][0] or 0, hashes[kept[a][1]])) for g in brute_groups(kept, 5, 80, 100)[0]]
+    kept, df = check("near_duplicates", df, [kept[a] for a in first])
+    memory = d.PlainWords()
+    items = [memory.of(words(b.text)).tolist() for b in bench]
+    clean = [r for r in kept if not any(d.best_place(x, memory.of(words(r[1])).tolist())[0] <= int(0.2 * len(x)) for x in items)]
+    assert len(clean) < len(kept)
+    kept, df = check("decontamination", df, clean)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for i, t in kept:
+        ids = enc.encode_ordinary(t)
+        want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += 1
+    assert Counter(map(tuple, stages["byte_bpe"](spark, df, sf).collect())) == want
+    for _, stage in p.STAGES:
+        assert stage(spark, frame.limit(0), sf).count() == 0
