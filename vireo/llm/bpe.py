@@ -56,7 +56,8 @@ def _joined(values: list[tuple[bytes, str]]) -> tuple[bytes, str]:
 class Codec:
     """A rank file's encoder and decoder; one per worker process."""
 
-    def __init__(self, path: str, pattern: str) -> None:
+    def __init__(self, path: str, pattern: str, words: int = 600_000) -> None:
+        """``words``: pre-tokens that are remembered, in each of two generations."""
         import duckdb
         import regex
 
@@ -69,7 +70,7 @@ class Codec:
         a, b, c = (pa.array(x, pa.int32()) for x in zip(*cuts, strict=True)) if cuts else (pa.array([], pa.int32()),) * 3
         self._table("merges", pa.table({"a": a, "b": b, "c": c}))
         self._table("vocabulary", pa.table({"id": pa.array(list(self.bytes_of), pa.int32()), "hex": [t.hex() for t in self.bytes_of.values()]}))
-        self.words, self.memory = Recent(600_000), Memory(self._parts, 200_000)
+        self.words, self.memory = Recent(words), Memory(self._parts, words // 3)
 
     def _table(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -166,10 +167,10 @@ class Codec:
 _codecs: dict[tuple[str, str], Codec] = {}
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, words: int = 600_000) -> Codec:
     if (path, pattern) not in _codecs:
         gc.set_threshold(1_000_000, 50, 1000)  # remembered values hold no cycles, and looking for some takes long
-        _codecs[path, pattern] = Codec(path, pattern)
+        _codecs[path, pattern] = Codec(path, pattern, words)
     return _codecs[path, pattern]
 
 
@@ -211,11 +212,11 @@ def decode_ids(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
 def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", forget: bool = False) -> DataFrame:
     """Digests of encoding and decoding in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256 and whether the bytes came back.
 
-    ``forget``: a task gives its memory of words back when it ends, for jobs whose other stages need the room.
+    ``forget``: a task remembers fewer words and gives the room back when it ends, for jobs whose other stages need it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks, pattern)
+        own = codec(ranks, pattern, 200_000 if forget else 600_000)
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for k in range(0, len(texts), BATCH):

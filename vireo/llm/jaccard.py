@@ -42,7 +42,7 @@ from .shingles import U, Words, common, mixed, shingle_sets
 log = logging.getLogger(__name__)
 RATIO = 1.5
 #: Keys that a task holds before it packs them, and keys that a bucket should have.
-HELD_KEYS, BUCKET_KEYS = 1 << 21, 1 << 20
+HELD_KEYS, BUCKET_KEYS = 1 << 19, 1 << 19
 #: Sets, and shingles in them, whose sketches one task compares.
 SLIM_SETS, SLIM_SHINGLES = 1024, 1 << 24
 #: Sets are dealt by so many bits of their digest.
