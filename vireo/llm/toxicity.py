@@ -33,6 +33,8 @@ from .common import documents, held_out, settled, table
 #: Rows of the classifier's sample, expected, and of the labelled rows that join it.
 SAMPLE = 20_000
 LEARNED, FEATURES = 40, 500
+#: Labels, an id and a number each, that may be broadcast; more of them meet their texts in a shuffle.
+SENT = 2_000_000
 #: The model's word on a pattern of votes counts as so many labelled rows that have it.
 OWN = 5
 #: Lengths of the beginnings of words, in bytes, that stand for their stems.
@@ -120,8 +122,10 @@ def learned_voters(docs: DataFrame, labels: DataFrame) -> tuple[Voters, float]:
         words = list({**toxic, **other})
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([other[w] for w in words], pa.int64())], names=["word", "toxic", "other"])
 
-    rows = docs.join(labels, "doc_id").select("text", "toxic").mapInArrow(count, "word binary, toxic long, other long")
+    side = F.broadcast(labels) if total.n <= SENT else labels
+    rows = docs.join(side, "doc_id").select("text", "toxic").mapInArrow(count, "word binary, toxic long, other long")
     rows = rows.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).where((F.octet_length("word") <= 40) & (F.col("toxic") + F.col("other") >= 5))
+    rows = settled(rows, "words")
     share = (F.col("toxic") + F.col("other")) / max(1.0, n_toxic + n_other)
     apart = F.col("toxic") / max(1.0, n_toxic) - F.col("other") / max(1.0, n_other)
     rows = rows.withColumn("z", apart / F.sqrt(share * (1 - share) * (1 / max(1.0, n_toxic) + 1 / max(1.0, n_other)) + 1e-12))
