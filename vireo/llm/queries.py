@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard, lines, lm, quality, sharding, toxicity, warc, wavelet
+from . import bpe, decontaminate, jaccard, lines, lm, quality, repair, sharding, toxicity, warc, wavelet
 
 QUERIES = {
     "op1_warc_normaliser": warc.op1_warc_normaliser,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_cgk_decontamination": decontaminate.op8_cgk_decontamination,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_weak_supervision": toxicity.op10_weak_supervision,
+    "op11_rank_convergence": repair.op11_rank_convergence,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op5_jaccard_join": jaccard.OP5_SQL,
     "op7_rule_ledger": quality.OP7_SQL,
     "op9_line_dedup": lines.OP9_SQL,
+    "op11_rank_convergence": repair.OP11_SQL,
 }
