@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard, lines, lm, quality, repair, sharding, toxicity, warc, wavelet
+from . import align, bpe, decontaminate, jaccard, lines, lm, neighbours, quality, repair, sharding, toxicity, warc, wavelet
 
 QUERIES = {
     "op1_warc_normaliser": warc.op1_warc_normaliser,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_weak_supervision": toxicity.op10_weak_supervision,
     "op11_rank_convergence": repair.op11_rank_convergence,
+    "op12_dimension_scan": neighbours.op12_dimension_scan,
+    "op13_fragment_alignment": align.op13_fragment_alignment,
 }
 
 ORACLES = {
@@ -25,4 +27,5 @@ ORACLES = {
     "op7_rule_ledger": quality.OP7_SQL,
     "op9_line_dedup": lines.OP9_SQL,
     "op11_rank_convergence": repair.OP11_SQL,
+    "op12_dimension_scan": neighbours.OP12_SQL,
 }
