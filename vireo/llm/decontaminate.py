@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, scratch, table
+from .common import give_back, renamed, scratch, table
 from .files import fresh, reader, writer
 from .shingles import U, Words, mixed, words_of
 
@@ -193,21 +193,33 @@ def best_place(item: list[int], text: list[int]) -> tuple[int, int]:
     return best
 
 
+def _portions(n: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Stretches whose sum is about ``most``: a key that many items share is spread out a portion at a time."""
+    ends, a = np.cumsum(n), 0
+    while a < len(n):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")))
+        if ends[b - 1] > (ends[a - 1] if a else 0):
+            yield a, b
+        a = b
+
+
 def passages(texts: Texts, index: Index, max_edit_rate: float) -> list[list[tuple[int, int, int, int]]]:
     """For each text its (item number, distance, first word, word after the last)."""
-    met: set[tuple[int, int, int]] = set()
+    met: list[np.ndarray] = []
     if len(texts.flat):
         for size, walk in [(c, r) for c, n in index.walks.items() for r in range(n)] + [(p, -1) for p in index.pieces]:
             at, key = texts.keys(size, walk)
             hit = np.flatnonzero(index.maybe[(key >> U(42)).astype(np.int64)])
             low, high = np.searchsorted(index.keys, key[hit], "left"), np.searchsorted(index.keys, key[hit], "right")
-            places = at[hit[low < high]]
-            docs = np.searchsorted(texts.ends, places, side="right")
-            for place, doc, a, b in zip(places.tolist(), docs.tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
-                met.update((doc, int(index.item[x]), place - int(index.offset[x])) for x in range(a, b))
+            places, n = at[hit], high - low
+            for a, b in _portions(n):
+                many = n[a:b]
+                which = np.repeat(low[a:b] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+                place = np.repeat(places[a:b], many)
+                met.append(np.unique(np.column_stack([np.searchsorted(texts.ends, place, side="right"), index.item[which], place - index.offset[which]]), axis=0))
     out: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts.ends]
     flat = texts.flat
-    for doc, k, start in sorted(met):
+    for doc, k, start in np.unique(np.concatenate(met), axis=0).tolist() if met else []:
         item, first, end = index.items[k], int(texts.starts[doc]), int(texts.ends[doc])
         known, m = out[doc].get(k), len(item)
         if known and (known[0] == 0 or known[1] <= start - first < known[2]):
@@ -226,16 +238,24 @@ def passages(texts: Texts, index: Index, max_edit_rate: float) -> list[list[tupl
 
 
 _words = PlainWords()
-_loaded: dict[str, Index] = {}
-
-
-def _index(path: str) -> Index:
-    """The index of a block; a worker process keeps the last one."""
-    if path not in _loaded:
-        _loaded.clear()
-        with reader(path) as file:
-            _loaded[path] = pickle.loads(file.read())
-    return _loaded[path]
+_loaded: dict[str, tuple[Index, int]] = {}
+#: Bytes of blocks that a worker process keeps.
+KEPT_BYTES = 192 << 20
+
+
+def _index(path: str, among: frozenset[str]) -> Index:
+    """The index of a block. A worker keeps as many of ``among`` as ``KEPT_BYTES`` allow, the first that it met: blocks come
+    round in the same order, so those are met again each time, and only the rest is read again."""
+    if path in _loaded:
+        return _loaded[path][0]
+    for other in [p for p in _loaded if p not in among]:
+        del _loaded[other]
+    with reader(path) as file:
+        data = file.read()
+    index = pickle.loads(data)
+    if sum(size for _, size in _loaded.values()) + len(data) <= KEPT_BYTES or not _loaded:
+        _loaded[path] = index, len(data)
+    return index
 
 
 def item_blocks(benchmark: DataFrame, max_edit_rate: float, recall: float, edit_rate: float) -> list[str]:
@@ -259,11 +279,12 @@ def item_blocks(benchmark: DataFrame, max_edit_rate: float, recall: float, edit_
 
 def _searched(texts: list[str | None], blocks: list[str], max_edit_rate: float, batch: int) -> Iterator[list[list[tuple]]]:
     """For a few texts at a time, what each holds: (item_id, distance, start, end)."""
+    among = frozenset(blocks)
     for x in range(0, len(texts), batch):
         some = Texts(texts[x : x + batch], _words)
         found: list[list[tuple]] = [[] for _ in some.ends]
         for path in blocks:
-            index = _index(path)
+            index = _index(path, among)
             for own, hits in zip(found, passages(some, index, max_edit_rate), strict=True):
                 own += [(index.item_ids[k], *at) for k, *at in hits]
         yield found
@@ -300,6 +321,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, max_edit_rate: float =
 
 def without_passages(docs: DataFrame, benchmark: DataFrame, max_edit_rate: float = 0.2, recall: float = 0.9, edit_rate: float | None = None, batch: int | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no item (see ``find_passages``)."""
+    docs, own_names = renamed(docs)
     blocks = item_blocks(benchmark, max_edit_rate, recall, max_edit_rate if edit_rate is None else edit_rate)
     step = batch or (256 if len(blocks) < 2 else 2048)
 
@@ -311,7 +333,7 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, max_edit_rate: float
         _words.empty()
         give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    return own_names(docs.mapInArrow(run, docs.schema))
 
 
 def op8_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
