@@ -282,13 +282,25 @@ def test_an_unbroken_word_costs_its_length():
     assert time.process_time() - began < 20
 
 
-def test_probabilities_sum_to_one(small_lattice):
-    """All words of two letters: what is missing is in bytes and in longer words."""
+def test_lattice_sums_to_one(small_lattice):
+    """All words of two letters up to a length have what pieces of these letters reach; bytes and longer words have the rest."""
     from itertools import product
 
-    every = ["".join(w) for n in range(13) for w in product("ab", repeat=n)]
+    most = 13
+    every = ["".join(w) for n in range(most) for w in product("ab", repeat=n)]
     total = np.exp(small_lattice.log_marginal(every)).sum()
-    assert 0.95 < total < 1
+    reached = np.zeros(most)
+    for p, k in small_lattice.number.items():
+        if p.startswith("\u2581"):
+            reached[len(p) - 1] += math.exp(small_lattice.log_p[k])
+    inner = {p: math.exp(small_lattice.log_p[k]) for p, k in small_lattice.number.items() if not p.startswith("\u2581")}
+    for n in range(most):
+        for p, q in inner.items():
+            if n + len(p) < most:
+                reached[n + len(p)] += reached[n] * q
+    stop, spelled = math.exp(small_lattice.log_stop), np.exp(small_lattice.byte_log_p).sum()
+    assert total == pytest.approx(reached.sum() * stop) and sum(inner.values()) + stop + spelled == pytest.approx(1)
+    assert 0.9 < total < stop / (stop + spelled)
 
 
 @pytest.mark.parametrize("which", ["sf", "odd", "none"])
@@ -824,3 +836,20 @@ def test_every_stage_by_hand(spark, sf):
     assert Counter(map(tuple, stages["byte_bpe"](spark, df, sf).collect())) == want
     for _, stage in p.STAGES:
         assert stage(spark, frame.limit(0), sf).count() == 0
+
+
+def test_columns_of_any_name_go_through_every_stage(spark, sf):
+    """Names that stages use themselves, with dots, quotes and blanks; values come out beside their own texts."""
+    import corpus_pipeline as p
+
+    names = ["__id", "__th", "__none", "__rest", "__row", "__0", "a.b", "e.pos", "it`s", "with blank", "lines", "body", "drop", "stays", "n_words", "failed"]
+    base = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    df = base.select("*", *(base.doc_id.cast("string").alias(n) for n in names)).repartition(2)
+    for name, stage in p.STAGES[:-1]:
+        plain = Counter(tuple(r) for r in stage(spark, base, sf).collect())
+        out = stage(spark, df, sf)
+        assert out.columns == df.columns, name
+        rows = [tuple(r) for r in out.collect()]
+        assert Counter(r[: len(base.columns)] for r in rows) == plain and all(set(r[len(base.columns) :]) == {str(r[0])} for r in rows), name
+        assert plain
+    assert p.STAGES[-1][1](spark, df, sf).count() == 60

@@ -212,6 +212,9 @@ def decode_ids(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
 def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", forget: bool = False) -> DataFrame:
     """Digests of encoding and decoding in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256 and whether the bytes came back.
 
+    Null text is empty and has no ids; rows that repeat an id are encoded each, null ids are kept; an empty table gives no
+    rows; other columns aren't read.
+
     ``forget``: a task remembers fewer words and gives the room back when it ends, for jobs whose other stages need it.
     """
 
@@ -251,5 +254,5 @@ def op6_duckdb_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's last stage: each document's token count and digests."""
+    """The pipeline's last stage: each row's token count and digests (see ``round_trip``)."""
     return round_trip(docs, *_files(), forget=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")

@@ -11,6 +11,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import pyarrow as pa
 
@@ -79,6 +80,20 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def renamed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with id and text as doc_id and text and all other columns under numbers, and what gives rows their own names back.
+
+    ``more``: columns that keep their names. By place, so names with dots, quotes or repeats do no harm.
+    """
+    known = {id_col: "doc_id", text_col: "text"} | {c: c for c in more}
+    names, taken = [], set()
+    for k, c in enumerate(docs.columns):
+        new = known.get(c)
+        names.append(f"__{k}" if new is None or new in taken else new)
+        taken.add(new)
+    return docs.toDF(*names), lambda df: df.select(*names).toDF(*docs.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

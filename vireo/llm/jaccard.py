@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, scratch, settled, table
+from .common import discard, give_back, renamed, scratch, settled, table
 from .graph import components
 from .shingles import U, Words, common, mixed, shingle_sets
 
@@ -407,10 +407,11 @@ def links(
         load = load.select("region", "sets")
         stubborn = cells.groupBy("region").agg(F.max("held").alias("most"), F.sum("held").alias("all")).join(load, "region")
         stubborn = settled(stubborn.where("most > 0.7 * sets OR all > 8 * sets").select("region"), "stubborn")
-        log.info(
-            "level %d: %d sets of %d regions placed %d times; %d cells open with %d places, %d regions uncut",
-            depth, here.count(), load.count(), placed.count(), cells.count(), cells.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0], stubborn.count(),
-        )
+        if log.isEnabledFor(logging.INFO):  # each count is a job
+            log.info(
+                "level %d: %d sets of %d regions placed %d times; %d cells open with %d places, %d regions uncut",
+                depth, here.count(), load.count(), placed.count(), cells.count(), cells.agg(F.coalesce(F.sum("held"), F.lit(0))).first()[0], stubborn.count(),
+            )
         roots = placed.select("region", "sid", "root").distinct()
         uncut = here.drop("root").join(stubborn, "region", "left_semi").join(roots, ["region", "sid"]).select(columns)
         found.append(settled(_by_blocks(uncut, block_sets, block_shingles, _linked(num, den)), "links"))
@@ -510,20 +511,21 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den:
     First is the smallest id, null ids last, then the smallest hash of the text; of rows that have both in common one
     stays. Rows without words all stay.
     """
-    sized, sets = joined_sets(docs, width, num, den, id_col, text_col, **limits)
+    docs, own_names = renamed(docs, id_col, text_col)
+    sized, sets = joined_sets(docs, width, num, den, **limits)
     full = settled(sized.where("n > 0").join(sets, "sid").select("doc_id", "th", "component"), "rows")
     first = full.groupBy("component").agg(_first("th")).select("component", F.col("first.doc_id").alias("id"), F.col("first.th").alias("h"))
     rows = full.join(first, "component").select("doc_id", "th", (F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).alias("stays"))
     verdict = rows.groupBy("doc_id", "th").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
     verdict = settled(verdict.where("NOT stays OR rows > 1").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "stays"), "verdict")
-    th = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    row = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (th == F.col("__th"))
+    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    row = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (th == F.col("__th"))
     once = docs.join(verdict, row, "left_anti")
     again = verdict.where("stays")
     if again.isEmpty():
-        return once
+        return own_names(once)
     twice = docs.join(again.drop("stays"), row).dropDuplicates(["__id", "__th"])
-    return once.union(twice.select(docs.columns))
+    return own_names(once.union(twice.select(docs.columns)))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

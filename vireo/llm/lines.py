@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, lowered, settled, table
+from .common import BLANKS, let, lowered, renamed, settled, table
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
@@ -20,7 +20,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     A line's key is the line without blanks at both ends, A-Z lower-cased. A key of at least ``min_chars`` code points
     found under at least ``min_docs`` different ids loses all its lines except those of the largest id that holds it.
     Null or empty text is one empty line; a text that loses every line becomes empty. Lines of rows with a null id count
-    for no document and are dropped like others. Rows that repeat an id are one document for the count.
+    for no document and are dropped like others. Rows that repeat an id are one document for the count. An empty table
+    gives no rows.
     """
     kept = [] if carry is None else [carry]
     rest = [] if carry is None else [F.struct(F.lit(0).alias("__none"), *(F.col(c) for c in docs.columns if c not in (id_col, text_col))).alias(carry)]
@@ -53,10 +54,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its text deduplicated; n_chars, where there is one, follows the new text."""
-    out = dedup_lines(docs, carry="__rest")
-    made = {"text": F.col("text"), "doc_id": F.col("doc_id"), "n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType if "n_chars" in docs.columns else "long")}
-    return out.select(*(made.get(c, F.col(f"__rest.{c}")).alias(c) for c in docs.columns))
+    """Every row with its text deduplicated; n_chars, where there is one, follows the new text.
+
+    A null text becomes an empty one; rows that repeat an id and null ids are as in ``dedup_lines``; an empty table stays
+    empty; other columns go through whatever their names.
+    """
+    d, own_names = renamed(docs, "doc_id", "text", "n_chars")
+    out = dedup_lines(d, carry="__rest")
+    made = {"text": F.col("text"), "doc_id": F.col("doc_id"), "n_chars": F.char_length("text").cast(d.schema["n_chars"].dataType if "n_chars" in d.columns else "long")}
+    return own_names(out.select(*(made.get(c, F.col(f"__rest.{c}")).alias(c) for c in d.columns)))
 
 
 OP9_SQL = r"""

@@ -308,7 +308,7 @@ def score_texts(docs: DataFrame, vocabulary_path: str, modulus: int = 7, remaind
 
     Words are what stands between ASCII blanks, A-Z lower-cased, then one end. Null or empty text is the end alone.
     A null id is a training document. Rows that repeat an id are scored each. Without training documents the counts are
-    empty and the lattice is as the vocabulary's scores make it. Other columns are ignored.
+    empty and the lattice is as the vocabulary's scores make it; an empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
     d = documents(docs, id_col, text_col).withColumn("held_out", held_out(F.col("doc_id"), modulus, remainder))

@@ -60,7 +60,8 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", car
     """doc_id and the measurements, one row for each row of ``docs``; with the whole row as a struct under ``carry``.
 
     Null text measures as empty: every count is 0. Lines split at \\n; only lines with a word count. Windows are of
-    three words, compared by a 64-bit hash within the document. Repeated ids are measured row by row.
+    three words, compared by a 64-bit hash within the document. Repeated ids are measured row by row. An empty table gives
+    no rows.
     """
     kept = [] if carry is None else [carry]
     row = [] if carry is None else [F.struct("*").alias(carry)]
@@ -122,7 +123,11 @@ def op7_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the v1 policy keeps, each judged by its own text; nothing is shuffled."""
+    """Rows that the v1 policy keeps, each judged by its own text; nothing is shuffled.
+
+    Null and empty texts have too few words and go; rows that repeat, and null ids, are judged like others; an empty table
+    stays empty; other columns go through whatever their names.
+    """
     return judge(ledger(docs, carry="__row")).where("kept").select("__row.*")
 
 

@@ -226,7 +226,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 3, remaind
 
     Words are ASCII letters and digits and all non-ASCII characters, A-Z lower-cased. Null and empty texts have no words
     and get the score of none. A null id is a training row without a label. Ids that repeat are scored by their own texts;
-    labels that repeat count as often; null labels don't count. Without labels, the general voters and the label model's
+    labels that repeat count as often; null labels don't count. Words of more than 40 bytes, or in fewer than 5 training
+    rows, are neither voters nor features. An empty table gives no rows. Without labels, the general voters and the label model's
     first rates decide. Other columns are ignored; labels, ids, languages and sources are never inputs of a score.
     """
     spark = docs.sparkSession
