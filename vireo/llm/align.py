@@ -7,33 +7,36 @@ of the next close a group together. So a very long document is cut into byte ran
 and a tree of Spark reductions composes them, ``FAN`` neighbours at a time.
 
 Neither tokenizer's tokens cross a space between two characters that aren't blank, so the words of a text are fragments
-without open ends, and those of words that repeat are remembered. A byte range may end inside a word: both neighbours
-tokenize that word, and each takes the tokens that end in its own range.
+without open ends, and tokens of words that repeat are remembered (see ``pieces``). A byte range may end inside a word: both
+neighbours tokenize that word, and each takes the tokens that end in its own range.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import give_back, settled, table
-from .pieces import Recent
+from .pieces import Memory
 
 #: Bytes of a range; a word of more than ``LONG`` bytes isn't cut.
 RANGE, LONG, FAN = 16_384, 2048, 8
-#: Documents at a time, words that are tokenized as one text, words that are remembered (in each of two generations), and characters of a remembered word.
-BATCH, ROW, WORDS, SHORT = 512, 512, 120_000, 48
+#: Documents at a time, words that are tokenized as one text, and words that are remembered, in each of two generations.
+BATCH, ROW, WORDS = 512, 1024, 200_000
 #: Pairs of ids whose counts every task knows; rarer ones are joined.
 KNOWN = 2_000_000
-BITS = 32
+#: Bits of an id in a pair; with fewer than 2^11 documents at a time, document and pair are one number.
+BITS = 26
+#: Marks the second tokenizer's ids among remembered values, and words whose bytes don't come back. Larger groups than ``SMALL`` links are counted by their different ids.
+SECOND, BAD, SMALL = np.uint32(1 << 31), np.uint32(0xFFFFFFFF), 64
 
 
 def words(text: str) -> list[str]:
@@ -69,9 +72,24 @@ def said(a: list[int], b: list[int]) -> str:
     return f"{','.join(map(str, a))}|{','.join(map(str, b))}"
 
 
+def link(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The id pairs of a group, and how many occurrences each links."""
+    left, m = np.unique(np.array(a, np.int64), return_counts=True)
+    right, n = np.unique(np.array(b, np.int64), return_counts=True)
+    return (left[:, None] << BITS | right).ravel(), (m[:, None] * n).ravel()
+
+
+def added(links: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs and their numbers, each pair once."""
+    if not links:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pairs, code = np.unique(np.concatenate([p for p, _ in links]), return_inverse=True)
+    return pairs, np.bincount(code, np.concatenate([t for _, t in links]), len(pairs)).astype(np.int64)
+
+
 @dataclass
 class Fragment:
-    """``cut``: whether a common end lies in it; if not, all its tokens are in the prefix. ``groups`` are closed ones, written."""
+    """``cut``: whether a common end lies in it; if not, all its tokens are in the prefix. ``groups`` are closed ones, written; ``links`` theirs."""
 
     ok: bool = True
     cut: bool = False
@@ -81,20 +99,19 @@ class Fragment:
     n_groups: int = 0
     n_a: int = 0
     n_b: int = 0
-    times: Counter = field(default_factory=Counter)
+    links: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def close(self, a: list[int], b: list[int]) -> None:
         if a or b:
             self.groups.append(said(a, b))
             self.n_groups += 1
-            link(self.times, a, b)
+            self.links.append(link(a, b))
 
     def then(self, other: Fragment) -> Fragment:
         """This range followed by the next."""
         out = Fragment(self.ok and other.ok, self.cut or other.cut, n_a=self.n_a + other.n_a, n_b=self.n_b + other.n_b)
         middle = lambda x, y: (x[0] + y[0], x[1] + y[1])
-        out.groups, out.n_groups = list(self.groups), self.n_groups
-        out.times = self.times.copy()
+        out.groups, out.n_groups, out.links = list(self.groups), self.n_groups, list(self.links)
         if not self.cut:
             out.prefix = middle(self.prefix, other.prefix)
             out.suffix = other.suffix
@@ -105,23 +122,12 @@ class Fragment:
             out.prefix, out.suffix = self.prefix, other.suffix
         out.groups += other.groups
         out.n_groups += other.n_groups
-        out.times.update(other.times)
+        out.links += other.links
         return out
 
     def whole(self) -> Fragment:
         """Of a whole document: what is open at either end is a group."""
-        start = Fragment(cut=True)
-        return start.then(self).then(Fragment(cut=True))
-
-
-def link(times: Counter, a: list[int], b: list[int]) -> None:
-    if len(a) == 1 == len(b):
-        times[a[0] << BITS | b[0]] += 1
-        return
-    right = Counter(b)
-    for x, m in Counter(a).items():
-        for y, n in right.items():
-            times[x << BITS | y] += m * n
+        return Fragment(cut=True).then(self).then(Fragment(cut=True))
 
 
 def fragment(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int], start: int, end: int) -> Fragment:
@@ -143,6 +149,27 @@ def fragment(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int], s
     return out
 
 
+@dataclass
+class Aligned:
+    """Documents in a row: for each whether it has tokens, their numbers, and the groups' text; and all pairs in order of documents."""
+
+    fine: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    text: list[str]
+    ends: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
+
+
+def cut_words(text: str) -> list[str]:
+    """The same as ``words``, each with the space before it."""
+    first, *rest = words(text)
+    return [first, *(" " + w for w in rest)]
+
+
 class Aligner:
     """The two tokenizers of a worker process, and the words it remembers."""
 
@@ -156,90 +183,96 @@ class Aligner:
         self.sp = SentencePieceProcessor(model_file=pieces)
         vocabulary = self.tok.get_vocab(with_added_tokens=True)
         byte_of = _byte_alphabet()
-        self.a_bytes = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, i in vocabulary.items()}
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.a_bytes[i] = bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode()
         self.b_bytes = [_piece_bytes(self.sp.id_to_piece(i)) for i in range(self.sp.get_piece_size())]
-        self.known, self.long = Recent(remember), Recent(200)
-
-    def tokens(self, some: list[str]) -> list[tuple[list[int], list[int], list[int], list[int]] | None]:
-        """Ids and ends of both tokenizers for a space and each word; none where the bytes aren't those of the word."""
-        plain = [k for k, w in enumerate(some) if w and not w[0].isspace() and not w[-1].isspace()]
-        out: list = [None] * len(some)
-        odd = sorted(set(range(len(some))).difference(plain))
-        for at in [*([k] for k in odd), *(plain[k : k + ROW] for k in range(0, len(plain), ROW))]:
-            for k, v in zip(at, self._row([some[k] for k in at]), strict=True):
-                out[k] = v
+        self.a_size, self.b_size = (np.array([len(x) for x in own], np.int64) for own in (self.a_bytes, self.b_bytes))
+        ids = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        # What stands for a token in the groups' text: the id and what follows it.
+        self.written = pa.array([i + c for c in ",|,;" for i in ids])
+        self.many = len(ids)
+        self.memory = Memory(self._each, remember, fill_after=self._after, cut=cut_words)
+
+    def tokens(self, w: str) -> tuple[list[int], list[int], list[int], list[int]] | None:
+        """Ids and ends of both tokenizers for a space and a word; none if the bytes aren't those of the word."""
+        a, b = self.tok.encode(" " + w, add_special_tokens=False).ids, self.sp.encode(w)
+        data = (" " + w).encode()
+        if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
+            return None
+        return a, np.cumsum(self.a_size[a]).tolist(), b, np.cumsum(self.b_size[b]).tolist()
+
+    def _each(self, parts: list[str]) -> list[bytes]:
+        """Values of parts that start at a space: ids of the first tokenizer, then those of the second, marked."""
+        out = []
+        for p in parts:
+            found = self.tokens(p[1:]) if p else ([], [], [], [])
+            out.append(BAD.tobytes() if found is None else np.array(found[0], np.uint32).tobytes() + (np.array(found[2], np.uint32) | SECOND).tobytes())
         return out
 
-    def _row(self, row: list[str]) -> list:
-        """Words that stand in a row are tokenized as one text and cut where they end."""
-        text = " ".join(row)
-        data = (" " + text).encode()
-        a, b = self.tok.encode(" " + text, add_special_tokens=False).ids, self.sp.encode(text)
-        parts = [[self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]]
-        if not all(b"".join(p) == data for p in parts):
-            return [None] if len(row) == 1 else [v for w in row for v in self._row([w])]
-        until = np.cumsum([1 + len(w.encode()) for w in row])
-        sides = []
-        for ids, p in zip((a, b), parts, strict=True):
-            ends = np.cumsum([len(x) for x in p])
-            cut = np.searchsorted(ends, until, side="right")
-            if (ends[cut - 1] != until).any():  # a token crosses words: not these tokenizers
-                return [v for w in row for v in self._row([w])]
-            sides.append((ids, ends, [0, *cut.tolist()]))
-        (a, a_ends, a_cut), (b, b_ends, b_cut) = sides
-        out, start = [], 0
-        for k, end in enumerate(until.tolist()):
-            x, y = slice(a_cut[k], a_cut[k + 1]), slice(b_cut[k], b_cut[k + 1])
-            out.append((a[x], (a_ends[x] - start).tolist(), b[y], (b_ends[y] - start).tolist()))
-            start = end
+    def _after(self, keys: list[str]) -> list[bytes]:
+        """The same for words: many stand in a row and are tokenized as one text, cut where they end."""
+        out: list[bytes] = []
+        for k in range(0, len(keys), ROW):
+            row = keys[k : k + ROW]
+            text = " ".join(row)
+            data = (" " + text).encode()
+            until = np.cumsum(1 + np.fromiter(map(len, row if text.isascii() else map(str.encode, row)), np.int64, len(row)))
+            sides = []
+            for ids, names, size in ((self.tok.encode(" " + text, add_special_tokens=False).ids, self.a_bytes, self.a_size), (self.sp.encode(text), self.b_bytes, self.b_size)):
+                ids = np.array(ids, np.uint32)
+                ends = np.cumsum(size[ids])
+                cut = np.searchsorted(ends, until, side="right")
+                if b"".join(map(names.__getitem__, ids.tolist())) != data or (ends[cut - 1] != until).any():
+                    break
+                sides.append((ids, [0, *(4 * cut).tolist()]))
+            if len(sides) < 2:
+                out += self._each([" " + w for w in row])
+                continue
+            (a, x), (b, y) = sides
+            a, b = a.tobytes(), (b | SECOND).tobytes()
+            out += [a[x[i] : x[i + 1]] + b[y[i] : y[i + 1]] for i in range(len(row))]
         return out
 
-    def values(self, some: set[str]) -> dict[str, tuple | None]:
-        """For each word its numbers of tokens and groups, its groups as text and its pairs with their numbers; none if its bytes differ."""
-        short, long = {w for w in some if len(w) <= SHORT}, {w for w in some if len(w) > SHORT}
-        for keys, memory in ((short, self.known), (long, self.long)):
-            new = memory.unknown(keys)
-            for w, found in zip(new, self.tokens(new), strict=True):
-                if found is None:
-                    memory.now[w] = None
-                    continue
-                a, a_ends, b, b_ends = found
-                f = Fragment()
-                for x, y in grouped(a, a_ends, b, b_ends):
-                    f.close(x, y)
-                memory.now[w] = (len(a), len(b), f.n_groups, ";".join(f.groups), np.fromiter(f.times, np.int64, len(f.times)).tobytes(), np.fromiter(f.times.values(), np.int64, len(f.times)).tobytes())
-        out = {w: self.known.now[w] for w in short} | {w: self.long.now[w] for w in long}
-        if len(self.long.now) > 200:
-            self.long.now = {}
-        return out
-
-    def documents(self, texts: list[list[str]]) -> list[tuple]:
-        """For each document, given by its words: whether it has tokens, their numbers, the groups' text, its pairs and how often each."""
-        flat = [w for t in texts for w in t]
-        names = list(dict.fromkeys(flat))
-        found = self.values(set(names))
-        at = {w: k for k, w in enumerate(names)}
-        each = [found[w] or (0, 0, 0, "", b"", b"") for w in names]
-        index = np.fromiter(map(at.__getitem__, flat), np.int64, len(flat))
-        doc = np.repeat(np.arange(len(texts)), np.array([len(t) for t in texts], np.int64))
-        fine = np.bincount(doc, np.array([found[w] is None for w in names], float)[index], len(texts)) == 0
-        sums = [np.bincount(doc, np.array([v[k] for v in each], float)[index], len(texts)).astype(np.int64).tolist() for k in range(3)]
-        pairs, times = (np.frombuffer(b"".join(v[k] for v in each), np.int64) for k in (4, 5))
-        size = np.array([len(v[4]) // 8 for v in each], np.int64)
-        begin, many = np.cumsum(size) - size, size[index]
-        here = np.repeat(begin[index] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-        different, code = np.unique(pairs, return_inverse=True)
-        key, inverse = np.unique(np.repeat(doc, many) * max(1, len(different)) + code[here], return_inverse=True)
-        total = np.bincount(inverse, times[here], len(key)).astype(np.int64)
-        cut = np.searchsorted(key // max(1, len(different)), np.arange(len(texts) + 1))
-        own = different[key % max(1, len(different))] if len(different) else key
-        strings, out, start = [v[3] for v in each], [], 0
-        index = index.tolist()
-        for k, t in enumerate(texts):
-            x, y = cut[k], cut[k + 1]
-            out.append((bool(fine[k]), sums[0][k], sums[1][k], sums[2][k], ";".join([strings[i] for i in index[start : start + len(t)]]), own[x:y], total[x:y]))
-            start += len(t)
-        return out
+    def documents(self, texts: pa.Array) -> Aligned:
+        """Texts, each taken with a space before it; empty ones have no tokens."""
+        n = len(texts)
+        full = pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0
+        values = self.memory.arrays(pc.binary_join_element_wise("", texts, " "))
+        data = np.frombuffer(b"".join(values), np.uint32)
+        doc = np.repeat(np.arange(n), np.fromiter(map(len, values), np.int64, n) // 4)
+        fine = full & (np.bincount(doc, data == BAD, n) == 0)
+        keep = fine[doc]
+        data, doc = data[keep], doc[keep]
+        second = data >= SECOND
+        a, doc_a, b, doc_b = data[~second].astype(np.int64), doc[~second], (data[second] ^ SECOND).astype(np.int64), doc[second]
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        # Documents have the same bytes in both, so ends stand beside each other across all of them.
+        a_cut, b_cut = (x[np.minimum(np.searchsorted(x, y), max(0, len(x) - 1))] == y if len(x) else np.zeros(0, bool) for x, y in ((b_ends, a_ends), (a_ends, b_ends)))
+        of_a, of_b = np.cumsum(a_cut) - a_cut, np.cumsum(b_cut) - b_cut
+        groups = int(a_cut.sum())
+        size_a, size_b, group_doc = np.bincount(of_a, minlength=groups), np.bincount(of_b, minlength=groups), doc_a[a_cut]
+        from_b = np.cumsum(size_b) - size_b
+        small = size_a * size_b <= SMALL
+        each = np.where(small, size_b, 0)[of_a]
+        at = np.repeat(from_b[of_a] - np.cumsum(each) + each, each) + np.arange(int(each.sum()))
+        key = np.repeat(doc_a << 2 * BITS | a << BITS, each) | b[at]
+        key, times = np.unique(key, return_counts=True)
+        if not small.all():
+            from_a, more = np.cumsum(size_a) - size_a, [(key, times)]
+            for g in np.flatnonzero(~small).tolist():
+                pairs, n_times = link(a[from_a[g] : from_a[g] + size_a[g]], b[from_b[g] : from_b[g] + size_b[g]])
+                more.append((pairs | int(group_doc[g]) << 2 * BITS, n_times))
+            key, times = added(more)
+        place_a, place_b = np.arange(len(a)) + from_b[of_a], np.arange(len(b)) + np.cumsum(size_a)[of_b]
+        code, owner = np.zeros(len(a) + len(b), np.int64), np.zeros(len(a) + len(b), np.int64)
+        code[place_a], code[place_b] = a + self.many * a_cut, b + self.many * (2 + b_cut.astype(np.int64))
+        owner[place_a], owner[place_b] = doc_a, doc_b
+        offsets = pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32())
+        text = pc.binary_join(pa.ListArray.from_arrays(offsets, self.written.take(pa.array(code))), "").to_pylist()
+        count = lambda of, weights=None: np.bincount(of, weights, n).astype(np.int64)
+        ends = np.searchsorted(key >> 2 * BITS, np.arange(1, n + 1))
+        return Aligned(fine, count(doc_a), count(doc_b), count(group_doc), count(group_doc, size_a * size_b), [t[:-1] for t in text], ends, key & ((1 << 2 * BITS) - 1), times)
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -276,13 +309,12 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (c.split(" ") for c in schema.split(", "))])
 
 
-def _finished(row: int, doc_id: int | None, f: tuple) -> dict:
-    ok, n_a, n_b, n_groups, text, pairs, times = f
-    if not ok or not n_a:
-        return {"row": row, "doc_id": doc_id, "n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups_sha256": "", "pairs": [], "times": []}
-    return {
-        "row": row, "doc_id": doc_id, "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": int(np.sum(times)), "groups_sha256": hashlib.sha256(text.encode()).hexdigest(), "pairs": pairs, "times": times,
-    }
+def _finished(rows: pa.Array, ids: pa.Array, found: Aligned) -> pa.RecordBatch:
+    """Rows of documents; those without tokens have zeros."""
+    digests = [hashlib.sha256(t.encode()).hexdigest() if ok and n else "" for t, ok, n in zip(found.text, found.fine.tolist(), found.n_a.tolist(), strict=True)]
+    offsets = pa.array(np.concatenate([[0], found.ends]), pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (found.pairs, found.times)]
+    return pa.RecordBatch.from_arrays([rows, ids, *(pa.array(x) for x in (found.n_a, found.n_b, found.n_groups, found.n_links)), pa.array(digests, pa.string()), *lists], schema=_arrow(_DOCUMENT))
 
 
 def short_documents(docs: DataFrame, tokenizer: str, pieces: str) -> DataFrame:
@@ -293,12 +325,7 @@ def short_documents(docs: DataFrame, tokenizer: str, pieces: str) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, BATCH):
                 part = batch.slice(k, BATCH)
-                texts = [words(t) if t else [] for t in part.column("text").to_pylist()]
-                rows = zip(part.column("row").to_pylist(), part.column("doc_id").to_pylist(), own.documents(texts), strict=True)
-                yield pa.RecordBatch.from_pylist([_finished(*r) for r in rows], _arrow(_DOCUMENT))
-        _aligners.clear()
-        own = None
-        give_back()
+                yield _finished(part.column("row"), part.column("doc_id"), own.documents(part.column("text").fill_null("")))
 
     return docs.mapInArrow(run, _DOCUMENT)
 
@@ -336,37 +363,44 @@ def range_fragment(own: Aligner, ws: list[str], start: int, end: int) -> Fragmen
     """Words wholly inside the range come from memory; those at its ends give the tokens that end inside."""
     lengths = [1 + len(w.encode()) for w in ws]
     ends = np.cumsum(lengths).tolist()
-    out, inner, ahead, behind = Fragment(cut=True) if start == 0 else Fragment(), [], [], []
+    inner, ahead, behind = [], [], []
     for w, until, n in zip(ws, ends, lengths, strict=True):
         if until - n >= start and until <= end:
             inner.append(w)
         else:
-            (behind if until > end and until - n >= start else ahead).append((w, start - (until - n), end - (until - n)))
+            (behind if until - n >= start else ahead).append((w, start - (until - n), end - (until - n)))
 
     def partial(parts: list) -> Fragment:
         f = Fragment()
-        for (w, x, y), found in zip(parts, own.tokens([p[0] for p in parts]), strict=True):
+        for w, x, y in parts:
+            found = own.tokens(w)
             f = f.then(Fragment(ok=False) if found is None else fragment(*found, max(0, x), y))
         return f
 
-    out = out.then(partial(ahead)) if ahead else out
+    out = partial(ahead)
     if inner:
-        ok, n_a, n_b, n_groups, text, pairs, times = own.documents([inner])[0]
-        out = out.then(Fragment(ok, True, groups=[text], n_groups=n_groups, n_a=n_a, n_b=n_b, times=Counter(dict(zip(pairs.tolist(), times.tolist(), strict=True)))))
-    return out.then(partial(behind)) if behind else out
+        text = " ".join(inner)
+        f = own.documents(pa.array([text])) if text else Aligned(np.array([False]), *[np.zeros(1, np.int64)] * 4, [""], np.zeros(1, np.int64), *[np.zeros(0, np.int64)] * 2)
+        out = out.then(Fragment(bool(f.fine[0]), True, groups=f.text if f.text[0] else [], n_groups=int(f.n_groups[0]), n_a=int(f.n_a[0]), n_b=int(f.n_b[0]), links=[(f.pairs, f.times)]))
+    return out.then(partial(behind))
 
 
-def _row_of(row: int, number: int, doc_id: int | None, f: Fragment) -> dict:
-    return {
+def _row_of(row: int, number: int, doc_id: int | None, f: Fragment) -> pa.RecordBatch:
+    pairs, times = added(f.links)
+    values = {
         "row": row, "number": number, "doc_id": doc_id, "ok": f.ok, "cut": f.cut, "pa": f.prefix[0], "pb": f.prefix[1], "sa": f.suffix[0], "sb": f.suffix[1], "groups": ";".join(f.groups),
-        "n_groups": f.n_groups, "n_a": f.n_a, "n_b": f.n_b, "pairs": list(f.times), "times": list(f.times.values()),
+        "n_groups": f.n_groups, "n_a": f.n_a, "n_b": f.n_b,
     }
+    schema, one = _arrow(_FRAGMENT), pa.array([0, len(pairs)], pa.int32())
+    return pa.RecordBatch.from_arrays([*(pa.array([values[n]], schema.field(n).type) for n in schema.names[:-2]), pa.ListArray.from_arrays(one, pa.array(pairs)), pa.ListArray.from_arrays(one, pa.array(times))], schema=schema)
 
 
-def _of_row(r: dict) -> Fragment:
-    return Fragment(
-        r["ok"], r["cut"], (r["pa"], r["pb"]), (r["sa"], r["sb"]), [r["groups"]] if r["groups"] else [], r["n_groups"], r["n_a"], r["n_b"], Counter(dict(zip(r["pairs"], r["times"], strict=True)))
-    )
+def _of_rows(rows: pa.RecordBatch | pa.Table) -> Iterator[tuple[dict, Fragment]]:
+    """Fragments of rows, with row, number and doc_id."""
+    slim = rows.select(_arrow(_FRAGMENT).names[:-2]).to_pylist()
+    for k, r in enumerate(slim):
+        links = tuple(np.asarray(rows.column(c)[k].values.to_numpy(zero_copy_only=False), np.int64) for c in ("pairs", "times"))
+        yield r, Fragment(r["ok"], r["cut"], (r["pa"], r["pb"]), (r["sa"], r["sb"]), [r["groups"]] if r["groups"] else [], r["n_groups"], r["n_a"], r["n_b"], [links])
 
 
 def fragments(chunks: DataFrame, tokenizer: str, pieces: str) -> DataFrame:
@@ -374,7 +408,7 @@ def fragments(chunks: DataFrame, tokenizer: str, pieces: str) -> DataFrame:
         own = aligner(tokenizer, pieces)
         for batch in batches:
             for r in batch.to_pylist():
-                yield pa.RecordBatch.from_pylist([_row_of(r["row"], r["number"], r["doc_id"], range_fragment(own, r["words"], r["start"], r["end"]))], _arrow(_FRAGMENT))
+                yield _row_of(r["row"], r["number"], r["doc_id"], range_fragment(own, r["words"], r["start"], r["end"]))
         _aligners.clear()
         own = None
         give_back()
@@ -386,11 +420,11 @@ def composed(level: DataFrame) -> DataFrame:
     """One level of the tree: ``FAN`` neighbours become one fragment."""
 
     def merge(group: pa.Table) -> pa.Table:
-        rows = sorted(group.select(_arrow(_FRAGMENT).names).to_pylist(), key=lambda r: r["number"])
-        out = _of_row(rows[0])
-        for r in rows[1:]:
-            out = out.then(_of_row(r))
-        return pa.Table.from_pylist([_row_of(rows[0]["row"], rows[0]["number"] // FAN, rows[0]["doc_id"], out)], _arrow(_FRAGMENT))
+        rows = sorted(_of_rows(group.combine_chunks()), key=lambda x: x[0]["number"])
+        first, out = rows[0]
+        for _, f in rows[1:]:
+            out = out.then(f)
+        return pa.Table.from_batches([_row_of(first["row"], first["number"] // FAN, first["doc_id"], out)])
 
     return level.withColumn("up", F.floor(F.col("number") / FAN)).groupBy("row", "up").applyInArrow(merge, _FRAGMENT)
 
@@ -404,10 +438,12 @@ def long_documents(docs: DataFrame, tokenizer: str, pieces: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                f = _of_row(r).whole()
-                pairs, times = list(f.times), list(f.times.values())
-                yield pa.RecordBatch.from_pylist([_finished(r["row"], r["doc_id"], (f.ok, f.n_a, f.n_b, f.n_groups, ";".join(f.groups), pairs, times))], _arrow(_DOCUMENT))
+            for r, f in _of_rows(batch):
+                f = f.whole() if f.ok else Fragment()
+                pairs, times = added(f.links)
+                one = lambda v: np.array([v], np.int64)
+                own = Aligned(np.array([f.ok]), one(f.n_a), one(f.n_b), one(f.n_groups), one(times.sum()), [";".join(f.groups)], one(len(pairs)), pairs, times)
+                yield _finished(pa.array([r["row"]], pa.int64()), pa.array([r["doc_id"]], pa.int64()), own)
 
     return level.mapInArrow(run, _DOCUMENT)
 

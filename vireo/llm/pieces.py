@@ -57,14 +57,15 @@ class Memory:
 
     Texts that hold one of ``whole`` (tokens that a tokenizer cuts out before anything else) are given to ``fill_whole``
     as they are, one value each: what stands beside such a token is split otherwise. ``fill_after`` may give the values
-    of parts that start at a space, from what comes after it.
+    of parts that start at a space, from what comes after it. ``cut`` gives the parts of texts with blanks in a row.
     """
 
     def __init__(
-        self, fill: Callable[[list[str]], list], most: int = 120_000, whole: tuple[str, ...] = (), fill_whole: Callable[[list[str]], list] | None = None, fill_after: Callable[[list[str]], list] | None = None
-    ) -> None:
+        self, fill: Callable[[list[str]], list], most: int = 120_000, whole: tuple[str, ...] = (), fill_whole: Callable[[list[str]], list] | None = None, fill_after: Callable[[list[str]], list] | None = None,
+        cut: Callable[[str], list[str]] = parts,
+    ) -> None:
         # A part that follows a space is known by what comes after the space; any other part by its whole text.
-        self.after, self.whole, self.marks, self.fill_whole = Recent(most), Recent(most // 4), whole, fill_whole
+        self.after, self.whole, self.marks, self.fill_whole, self.cut = Recent(most), Recent(most // 4), whole, fill_whole, cut
         self.ways = ((self.after, fill_after or (lambda keys: fill([" " + x for x in keys]))), (self.whole, fill))
 
     def values(self, texts: list[str]) -> list[list]:
@@ -73,7 +74,7 @@ class Memory:
             out = iter(self.values([t for k, t in enumerate(texts) if k not in set(apart)]))
             whole = dict(zip(apart, self.fill_whole([texts[k] for k in apart]), strict=True))
             return [[whole[k]] if k in whole else next(out) for k in range(len(texts))]
-        odd = {k: parts(t) for k, t in enumerate(texts) if ODD.search(t)}
+        odd = {k: self.cut(t) for k, t in enumerate(texts) if ODD.search(t)}
         rest = [[""] if k in odd else t.split(" ") for k, t in enumerate(texts)]
         first = [p.pop(0) for p in rest]
         for keys, (known, fill) in zip((set(chain.from_iterable(rest)), set(first).union(*odd.values())), self.ways, strict=True):
