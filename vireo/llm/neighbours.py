@@ -5,8 +5,8 @@ the unit sphere and the nearest is the one of largest inner product. A random ro
 sample of the whole distance. Lists come from k-means on a bounded sample (``SAMPLE``); every row is in a list. A list is
 stored in groups, a group by blocks of columns, so that a scan reads block after block.
 
-A query scans its home lists whole, which gives it a threshold that is met by enough rows. In all other probed lists
-candidates are abandoned block by block, by a test of the hypothesis that the whole distance is within the threshold: the
+A query scans its home lists whole, which gives it a threshold that is met by enough rows; the nearest of the other probed
+lists raise it before the rest are scanned, so few rows pass. There candidates are abandoned block by block, by a test of the hypothesis that the whole distance is within the threshold: the
 first d of D rotated dimensions hold a share of it that is distributed as Beta(d / 2, (D - d) / 2), so a partial distance
 beyond the share's mean and ``DEVIATIONS`` standard deviations rejects it. What survives is scored exactly, on the original
 vectors.
@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settled, table
+from .common import forget, settled, table
 
 #: Rows that k-means learns from; rows of a list that are aimed at; lists at most, so that centroids stay small.
 SAMPLE, LIST_ROWS, MOST_LISTS = 16_384, 256, 4096
 #: Entries of a group, and queries that scan it together.
 GROUP, PACK = 1024, 256
 PILOTS, RECALL = 64, 0.96
+#: One in so many of the lists beyond the home lists is scanned first.
+AHEAD = 8
 DEVIATIONS, BLOCK, SLACK = 2.5, 16, 1e-5
 
 
@@ -229,8 +231,8 @@ def probes_needed(index: DataFrame, pilots: np.ndarray, space: Space, kind: np.d
     return 1 + int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))))])
 
 
-def routed(queries: DataFrame, space: Space, probes: int, least: int, home: bool) -> DataFrame:
-    """A row for each query and list: home lists hold ``least`` entries at least; the others follow up to ``probes``."""
+def routed(queries: DataFrame, space: Space, probes: int, least: int, round_: int) -> DataFrame:
+    """A row for each query and list of a round: home lists, which hold ``least`` entries at least; the nearest ``1 / AHEAD`` of the others up to ``probes``; the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,8 +241,9 @@ def routed(queries: DataFrame, space: Space, probes: int, least: int, home: bool
             order = space.order(space.queries(space.padded(batch.column("v")))[0])
             own = 1 + (np.cumsum(space.counts[order], axis=1) < least).sum(axis=1)
             own = np.minimum(own, order.shape[1])
-            last = own if home else np.maximum(own, probes)
-            first = np.zeros_like(own) if home else own
+            end = np.maximum(own, probes)
+            edges = np.zeros_like(own), own, own - (own - end) // AHEAD, end
+            first, last = edges[round_], edges[round_ + 1]
             at = np.repeat(np.arange(batch.num_rows), last - first)
             to = np.concatenate([order[i, a:b] for i, (a, b) in enumerate(zip(first, last, strict=True))])
             took = batch.take(pa.array(at))
@@ -338,11 +341,17 @@ def search(df: DataFrame, modulus: int, k: int = 20, id_col: str = "vec_id", vec
     if not len(pilot):
         return spark.createDataFrame([], out)
     probes = probes_needed(index, space.padded(pilot), space, kind, k)
-    near = settled(scanned(index, routed(queries.withColumn("least", F.lit(None).cast("double")), space, probes, most, True), space, kind, most), "home")
-    ranked = near.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(F.desc("score"), F.get("ids", F.lit(0))))).where(F.col("n") <= most)
-    least = ranked.groupBy("k").agg(F.when(F.count(F.lit(1)) == most, F.min("score")).alias("least"))
-    rest = scanned(index, routed(queries.join(least, "k"), space, probes, most, False), space, kind, most)
-    met = near.unionByName(rest).select("k", "score", "same", F.explode("ids").alias("vec_id"))
+    by_entry = Window.partitionBy("k").orderBy(F.desc("score"), F.get("ids", F.lit(0)))
+    now, best_so_far = queries.withColumn("least", F.lit(None).cast("double")), None
+    for round_ in range(3):
+        found = scanned(index, routed(now, space, probes, most, round_), space, kind, most)
+        found = found if best_so_far is None else best_so_far.unionByName(found)
+        # An id among the best k + 1 is in one of the best k + 1 entries: each of these holds an id that comes before.
+        ranked = settled(found.withColumn("n", F.row_number().over(by_entry)).where(F.col("n") <= most).drop("n"), "nearest")
+        forget(best_so_far)
+        best_so_far = ranked
+        now = queries.join(ranked.groupBy("k").agg(F.when(F.count(F.lit(1)) == most, F.min("score")).alias("least")), "k")
+    met = best_so_far.select("k", "score", "same", F.explode("ids").alias("vec_id"))
     ordered = Window.partitionBy("k").orderBy(F.desc("score"), "vec_id")
     top = met.withColumn("n", F.row_number().over(ordered)).where(F.col("n") <= most)
     answers = top.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score", "same"))).alias("found"))  # k + 1 a query
