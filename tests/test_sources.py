@@ -182,13 +182,6 @@ def test_provenance(spark, tmp_path):
     assert write_once(path, {"a": 1}) == sha256({"a": 1})
     with pytest.raises(FileExistsError):
         write_once(path, {})
-    d = spark.createDataFrame([(8, True)], "k int, passed boolean")
-    lock = factorial.lock(spark, d, ["calibration-0001"], 1, {}, True)
-    assert factorial.checked_lock(spark, lock, True)["selected_k"] == 8
-    with pytest.raises(ValueError):
-        factorial.checked_lock(spark, lock | {"base_seed": 2})
-    with pytest.raises(RuntimeError):
-        factorial.chosen_k(d.where("NOT passed"))
     for same in (("True", True), ("1", True), ("false", False), (0, False)):
         assert factorial.fingerprint({"success": same[0]}) == factorial.fingerprint({"success": same[1]})
     assert factorial.fingerprint({"success": "False"}) != factorial.fingerprint({"success": True})
@@ -306,16 +299,14 @@ def test_study_stops_resumes_and_reports(spark, tmp_path):
     """Blocks from files to a summary: gates, a run cut off after its first wave, tampered rows, CSV and back."""
     from vireo.plans import study
 
-    feed = Feed(sizes=[14] * 60)
-    for k in range(1, 4):
-        block = rest.acquired(rest.Session(feed, "u"), contract(), f"formal-{k:04d}", clean, sleep=lambda s: None)
+    feed = Feed(sizes=[40] * 60)
+    for name in ("calibration-0001", "calibration-0002", "formal-0001", "formal-0002", "formal-0003"):
+        block = rest.acquired(rest.Session(feed, "u"), contract(), name, clean, sleep=lambda s: None)
         (tmp_path / f"{block['block_id']}.json.gz").write_bytes(blocks.packed(block))
-    rows = blocks.read_blocks(spark, str(tmp_path), "formal")
+    rows, calibration = (blocks.read_blocks(spark, str(tmp_path), phase) for phase in ("formal", "calibration"))
     promise = blocks.contract_of(block)
-    d = spark.createDataFrame([(4, True)], "k int, passed boolean")
-    lock = factorial.lock(spark, d, ["calibration-0001"], 2026, promise, True)
-    lock = {k: v for k, v in lock.items() if k != "lock_sha256"} | {"particles": 4, "rejuvenation_window": 2}
-    lock |= {"lock_sha256": sha256(lock)}
+    lock = study.calibrate(spark, calibration, 2, (4, 24), True, tail_threshold=0.9, saturation_threshold=0.99, particles=4, rejuvenation_window=2)
+    assert lock["calibration_blocks"] == ["calibration-0001", "calibration-0002"] and lock["selected_k"] == 24
     write_once(tmp_path / "lock.json", lock)
     assert study.read_lock(spark, tmp_path / "lock.json") == lock
     folder = (tmp_path / "results").as_uri()
@@ -370,12 +361,20 @@ def test_study_stops_resumes_and_reports(spark, tmp_path):
         with pytest.raises(ValueError):
             study.checked_results(change, expected, lock)
             pytest.fail(name)
-    body = study.summary(out, expected, lock)
+    body = study.summary(out, expected, lock, 3, True)
     assert study.complete(body) and not study.complete(body | {"executions_completed": 17}) and len(body["endpoints"]) == 4
+    for change in ({"expected_blocks": 2}, {"validation_only": False}):
+        with pytest.raises(ValueError):
+            study.summary(out, expected, lock, **({"expected_blocks": 3, "validation_only": True} | change))
     study.publish(body, tmp_path / "summary.json", tmp_path / "status.json")
     assert (tmp_path / "summary.json").exists() and not (tmp_path / "status.json").exists()  # validation only
-    study.publish(body | {"scope": "confirmatory"}, tmp_path / "summary2.json", tmp_path / "status.json")
-    assert json.loads((tmp_path / "status.json").read_text())["executions_completed"] == 18
+    short = body | {"scope": "confirmatory"}  # three blocks are no confirmatory study, whatever the summary says of itself
+    with pytest.raises(ValueError):
+        study.publish(short, tmp_path / "summary2.json", tmp_path / "status.json")
+    assert not (tmp_path / "status.json").exists()
+    whole = short | {"blocks": 100, "executions_completed": 600, "executions_expected": 600}
+    study.publish(whole, tmp_path / "summary3.json", tmp_path / "status.json")
+    assert json.loads((tmp_path / "status.json").read_text())["executions_completed"] == 600
     (tmp_path / "short.csv").write_text("block_id,method\na,b\n")
     with pytest.raises(ValueError):
         study.read_csv(spark, str(tmp_path / "short.csv"))

@@ -44,9 +44,8 @@ def _series(x: np.ndarray, order: int) -> np.ndarray:
     return total
 
 
-def log_i0(x):
-    """log I0(x), x >= 0."""
-    x = np.abs(np.asarray(x, float))
+def _summed_log_i0(x: np.ndarray) -> np.ndarray:
+    """log I0(x), x >= 0: the trapezoid rule near, the asymptotic series far out."""
     small = np.minimum(x, LARGE)
     c = np.cos((np.arange(NODES) + 0.5) * (math.pi / NODES))
     near = np.log(np.exp(small[..., None] * (c - 1)).mean(-1)) + small
@@ -55,15 +54,52 @@ def log_i0(x):
     return np.where(x < LARGE, near, far)
 
 
-def log_i0_column(x: Column) -> Column:
-    """log I0 of a nonnegative column, in the JVM."""
-    nodes = [math.cos((k + 0.5) * math.pi / NODES) - 1 for k in range(NODES)]
-    near = F.log(F.aggregate(F.array(*map(F.lit, nodes)), F.lit(0.0), lambda s, c: s + F.exp(x * c)) / NODES) + x
-    term, total = F.lit(1.0), F.lit(1.0)
-    for k in range(1, 7):
-        term = term * ((2 * k - 1) ** 2 / (k * 8.0)) / x
-        total = total + term
-    return F.when(x < LARGE, near).otherwise(x - 0.5 * F.log(2 * math.pi * x) + F.log(total))
+#: Cells of the table to the unit, and where it ends.
+CELLS, TABLE_END = 64, 256
+_table: list[np.ndarray] = []
+
+
+def _cells() -> np.ndarray:
+    """[6, cells]: the polynomial of each cell that has log I0(x) - x with two derivatives right at both of its ends."""
+    if not _table:
+        x, h = np.arange(CELLS * TABLE_END + 1) / CELLS, 1 / CELLS
+        ratio = a1(x)
+        bend = 1 - ratio * ratio - np.divide(ratio, x, out=np.full_like(x, 0.5), where=x > 0)
+        value, slope, bend = _summed_log_i0(x) - x, h * (ratio - 1), h * h * bend
+        rise, left, right, b, c = value[1:] - value[:-1], slope[:-1], slope[1:], bend[:-1], bend[1:]
+        _table.append(np.stack([
+            value[:-1], left, b / 2, 10 * rise - 6 * left - 4 * right - 1.5 * b + 0.5 * c, -15 * rise + 8 * left + 7 * right + 1.5 * b - c, 6 * rise - 3 * (left + right) - 0.5 * (b - c),
+        ]))
+    return _table[0]
+
+
+def _log_series(terms: int) -> list[float]:
+    """Coefficients, in powers of 1 / x from the first on, of the logarithm of I0's asymptotic series."""
+    s, out = [1.0], [0.0]
+    for k in range(1, terms + 1):
+        s.append(s[-1] * (2 * k - 1) ** 2 / (8 * k))
+        out.append(s[k] - sum(j * out[j] * s[k - j] for j in range(1, k)) / k)
+    return out[1:]
+
+
+_FAR = _log_series(6)
+
+
+def log_i0(x):
+    """log I0(x) of any real x, from a table of polynomials of degree 5; the asymptotic series beyond the table."""
+    x = np.abs(np.asarray(x, float))
+    at = np.minimum(x, TABLE_END - 0.5 / CELLS) * CELLS
+    cell = at.astype(np.int64)
+    c, t = _cells()[:, cell], at - cell
+    out = x + (((((c[5] * t + c[4]) * t + c[3]) * t + c[2]) * t + c[1]) * t + c[0])
+    far = x >= TABLE_END - 0.5 / CELLS
+    if far.any():
+        y = np.maximum(x, TABLE_END / 2)
+        v, series = 1 / y, 0.0
+        for c in reversed(_FAR):
+            series = (series + c) * v
+        out = np.where(far, y - 0.5 * np.log(2 * math.pi * y) + series, out)
+    return out
 
 
 def a1(x):

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from vireo.operators.order import numbered
+
 #: What a stored observation must never hold (fixed names).
 FORBIDDEN = ("icao24", "callsign", "origin_country", "squawk")
 IDENTITY = r"^[0-9a-fA-F]{6}\z"
@@ -54,8 +56,7 @@ def sanitised(rows: DataFrame, by: tuple[str, ...] = SNAPSHOT) -> DataFrame:
     marked = rows.withColumn("good", good)
     claim = Window.partitionBy(*by, "good", F.lower("identity")).orderBy("ordinal")
     marked = marked.withColumn("accepted", F.col("good") & (F.row_number().over(claim) == 1))
-    place = Window.partitionBy(*by, "accepted").orderBy("ordinal")
-    marked = marked.withColumn("obs_index", F.when(F.col("accepted"), F.row_number().over(place) - 1))
+    marked = numbered(marked, [*by, "accepted"], "ordinal", "obs_index").withColumn("obs_index", F.when(F.col("accepted"), F.col("obs_index").cast("int")))
     return marked.drop("good").withColumn("category", valid_category(F.col("category")))
 
 

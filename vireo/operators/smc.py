@@ -1,4 +1,8 @@
-"""Collapsed particle filter for the same mixture: one cell's kernel, vectorised over particles and clusters."""
+"""Collapsed particle filter for the same mixture: one cell's kernel, vectorised over particles and clusters.
+
+What an observation's density needs of a cluster is kept beside the cluster and refreshed where the cluster changed: one
+of each particle for an observation. Paths of particles are kept in ``Paths``, which copies nothing that can't change.
+"""
 
 from __future__ import annotations
 
@@ -6,8 +10,108 @@ import math
 
 import numpy as np
 
-from vireo.functions.special import logsumexp
-from vireo.operators.vi import EPS, TINY, checked, predictive
+from vireo.functions.special import LOG_2PI, log_i0, logsumexp
+from vireo.operators.vi import EPS, TINY, checked
+
+
+class _Stretch:
+    """A node of the tree: slots of a run of observations, in pieces; what particles have in common before they part."""
+
+    __slots__ = ("parent", "pieces", "uses")
+
+    def __init__(self, parent: _Stretch | None, piece: np.ndarray) -> None:
+        self.parent, self.pieces, self.uses = parent, [piece], 0
+        if parent is not None:
+            parent.uses += 1
+
+
+class Paths:
+    """Each particle's slots of all observations so far.
+
+    The last ``window`` may still change and are an array. Before them, at a resampling, the stretches of the particles
+    that survive become leaves of a tree; stretches that nobody descends from go, and a stretch with one descendant takes it
+    in. So n observations of p particles take about n + p log p places.
+    """
+
+    def __init__(self, particles: int, window: int) -> None:
+        self.window, self.length, self.n = window, 0, 0
+        self._live = np.zeros((particles, max(64, 2 * window)), np.int32)
+        self._heads: list[_Stretch | None] = [None] * particles
+
+    def append(self, slots: np.ndarray) -> None:
+        if self.length == self._live.shape[1]:
+            self._live = np.concatenate([self._live, np.zeros_like(self._live[:, : max(64, self.length // 2)])], axis=1)
+        self._live[:, self.length] = slots
+        self.length += 1
+        self.n += 1
+
+    def at(self, i: int) -> np.ndarray:
+        """[particles]: slots of the i-th observation, one of the last ``window``; to read and to write."""
+        return self._live[:, i - (self.n - self.length)]
+
+    def resample(self, ancestors: np.ndarray) -> None:
+        """Particle k goes on as ``ancestors[k]`` was."""
+        old = self.length - self.window
+        heads = self._heads
+        if old > 0:
+            grown = {u: _Stretch(heads[u], self._live[u, :old].copy()) for u in np.unique(ancestors).tolist()}
+            self._live[:, : self.window] = self._live[ancestors, old : self.length]
+            self.length = self.window
+        else:
+            grown = {u: heads[u] for u in np.unique(ancestors).tolist()}
+            self._live[:, : self.length] = self._live[ancestors, : self.length]
+        self._heads = [grown[u] for u in ancestors.tolist()]
+        living = {id(s) for s in self._heads}
+        for s in {id(s): s for s in heads}.values():
+            while s is not None and not s.uses and id(s) not in living:
+                above, s.parent = s.parent, None
+                if above is not None:
+                    above.uses -= 1
+                s = above
+        self._contract(living)
+
+    def _contract(self, living: set[int]) -> None:
+        """Stretches with one descendant and no particle of their own take the descendant in."""
+        children: dict[int, list[_Stretch]] = {}
+        seen: dict[int, _Stretch] = {}
+        for s in {id(s): s for s in self._heads}.values():
+            while s is not None and id(s) not in seen:
+                seen[id(s)] = s
+                if s.parent is not None:
+                    children.setdefault(id(s.parent), []).append(s)
+                s = s.parent
+        for s in seen.values():
+            while id(s) not in living and len(own := children.get(id(s), [])) == 1:
+                child = own[0]
+                s.pieces += child.pieces
+                s.uses = child.uses
+                children[id(s)] = children.pop(id(child), [])
+                for c in children[id(s)]:
+                    c.parent = s
+                child.parent, child.uses = s, -1  # taken in
+                if id(child) in living:
+                    living.discard(id(child))
+                    living.add(id(s))
+                    self._heads = [s if h is child else h for h in self._heads]
+                child.pieces = []
+
+    def path(self, k: int) -> np.ndarray:
+        s, out = self._heads[k], [self._live[k, : self.length]]
+        while s is not None:
+            out += s.pieces[::-1]
+            s = s.parent
+        return np.concatenate(out[::-1]).astype(np.int64)
+
+    @property
+    def places(self) -> int:
+        """Slots that are held, without room to grow."""
+        seen, total = set(), self._live.shape[0] * self.length
+        for s in self._heads:
+            while s is not None and id(s) not in seen:
+                seen.add(id(s))
+                total += sum(map(len, s.pieces))
+                s = s.parent
+        return total
 
 
 class ParticleFilter:
@@ -18,59 +122,94 @@ class ParticleFilter:
             raise ValueError("need 2 particles, a window of 0 or more, positive concentrations and a fraction in (0, 1]")
         x, _ = checked(first_x, np.zeros(len(first_x)), 2)
         m, v = base if base is not None else (x.mean(0), np.maximum(x.var(0, ddof=1), EPS))
+        m, v = np.asarray(m, float), np.asarray(v, float)
+        if m.shape != (2,) or v.shape != (2,) or not np.isfinite([*m, *v]).all() or not (v > 0).all():
+            raise ValueError("a fixed base needs two finite means and two positive variances")
         self.p, self.alpha, self.hk, self.kappa0, self.a0 = particles, alpha, heading_kappa, kappa0, a0
-        self.m0, self.b0, self.least, self.window = np.asarray(m, float), np.asarray(v, float) * (a0 - 1), resample_fraction * particles, window
+        self.m0, self.b0, self.least, self.window = m, v * (a0 - 1), resample_fraction * particles, window
         self.rng = np.random.Generator(np.random.PCG64(seed))
-        self.stats, self.log_w = np.zeros((particles, 4, 7)), np.full(particles, -math.log(particles))  # weights always sum to 1
-        self.n, self._slots, self._seen = 0, np.zeros((particles, 64), np.int64), np.zeros((64, 3))
+        self.log_w = np.full(particles, -math.log(particles))  # weights always sum to 1
+        self.n, self.paths, self._seen, self._every = 0, Paths(particles, window), np.zeros((window + 1, 7)), np.arange(particles)
+        self.stats = np.zeros((particles, 4, 7))
+        self._const, self._ratio = -LOG_2PI - float(log_i0(heading_kappa)), np.zeros(0)
+        #: For each cluster: log of its size and all that no observation changes, the exponent, and for both lines mean and factor, and the direction.
+        self._base, self._power, self._line, self._turn = np.full((particles, 4), -np.inf), np.ones((particles, 4)), np.zeros((particles, 4, 4)), np.zeros((particles, 4, 2))
+        self._new = tuple(np.array(v) for v in self._derived(np.zeros(7)))  # of a cluster without observations
         self.ess_history: list[float] = []
         self.score_history: list[float] = []
 
-    def _logits(self, x: np.ndarray, theta: float, stats: np.ndarray) -> np.ndarray:
+    def _gamma_ratio(self, n: np.ndarray) -> np.ndarray:
+        """log Gamma(a + 1/2) - log Gamma(a), a = a0 + n / 2, for whole n, from a table that grows."""
+        most = int(n.max(initial=0))
+        if most >= len(self._ratio):
+            a = [self.a0 + k / 2 for k in range(len(self._ratio), max(most + 1, 2 * len(self._ratio), 64))]
+            self._ratio = np.concatenate([self._ratio, [math.lgamma(v + 0.5) - math.lgamma(v) for v in a]])
+        return self._ratio[n]
+
+    def _derived(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What densities need of clusters with statistics ``s``; the size's logarithm aside."""
+        n = s[..., 0]
+        kappa, a = self.kappa0 + n, self.a0 + 0.5 * n
+        mean = (self.kappa0 * self.m0 + s[..., 1:3]) / kappa[..., None]
+        b = np.maximum(self.b0 + 0.5 * (s[..., 3:5] + self.kappa0 * self.m0**2 - kappa[..., None] * mean**2), TINY)
+        spread = 2 * b * ((kappa + 1) / kappa)[..., None]  # degrees of freedom times the squared scale
+        eta = self.hk * s[..., 5:7]
+        base = 2 * self._gamma_ratio(np.rint(n).astype(np.int64)) - math.log(math.pi) - 0.5 * np.log(spread).sum(-1) - log_i0(np.hypot(eta[..., 0], eta[..., 1])) + self._const
+        return base, a + 0.5, np.concatenate([mean, 1 / spread], axis=-1), eta
+
+    def _refresh(self, which: np.ndarray, slot: np.ndarray) -> None:
+        s = self.stats[which, slot]
+        base, self._power[which, slot], self._line[which, slot], self._turn[which, slot] = self._derived(s)
+        self._base[which, slot] = np.where(s[:, 0] > 0, base + np.log(np.maximum(s[:, 0], TINY)), -np.inf)
+
+    def _density(self, row: np.ndarray, base, power, line, turn) -> np.ndarray:
+        u, v = row[0] - line[..., 0], row[1] - line[..., 1]
+        u, v = u * u * line[..., 2], v * v * line[..., 3]
+        c, s = turn[..., 0] + self.hk * row[5], turn[..., 1] + self.hk * row[6]
+        return base - power * np.log1p(u + v + u * v) + log_i0(np.sqrt(c * c + s * s))  # the product of both lines' factors
+
+    def _logits(self, row: np.ndarray) -> np.ndarray:
         """[particles, slots]: log weight times density of each cluster; the first empty slot stands for a new one."""
-        n = stats[..., 0]
-        fresh = np.argmax(n <= 0, axis=1)
-        prior = np.where(n > 0, np.log(np.maximum(n, TINY)), -np.inf)
-        prior[np.arange(len(n)), fresh] = math.log(self.alpha)
-        return prior + predictive(x, np.asarray(theta), self._parameters(stats), self.hk)
-
-    def _parameters(self, s: np.ndarray) -> dict[str, np.ndarray]:
-        n = s[..., 0:1]
-        kappa = self.kappa0 + n
-        mean = (self.kappa0 * self.m0 + s[..., 1:3]) / kappa
-        b = np.maximum(self.b0 + 0.5 * (s[..., 3:5] + self.kappa0 * self.m0**2 - kappa * mean**2), TINY)
-        return {"kappa": kappa, "mean": mean, "a": np.broadcast_to(self.a0 + 0.5 * n, mean.shape), "b": b, "eta": self.hk * s[..., 5:7]}
-
-    def _room(self) -> None:
-        """Every particle has an empty slot."""
-        if (self.stats[..., 0] > 0).all(axis=1).any():
-            self.stats = np.concatenate([self.stats, np.zeros_like(self.stats[:, :4])], axis=1)
+        empty = self._room()
+        z = self._density(row, self._base, self._power, self._line, self._turn)
+        z[self._every, empty] = math.log(self.alpha) + self._density(row, *self._new)
+        return z
+
+    def _room(self) -> np.ndarray:
+        """Each particle's first empty slot, after there is one."""
+        full = self.stats[..., 0] > 0
+        empty = np.argmin(full, axis=1)
+        if full[self._every, empty].any():
+            grown = lambda a, fill: np.concatenate([a, np.full_like(a[:, :4], fill)], axis=1)
+            self.stats, self._base, self._power = grown(self.stats, 0.0), grown(self._base, -np.inf), grown(self._power, 1.0)
+            self._line, self._turn = grown(self._line, 0.0), grown(self._turn, 0.0)
+            empty = np.argmax(self.stats[..., 0] <= 0, axis=1)
+        return empty
 
     def _draw(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """A slot for each particle, and the log evidence."""
-        self._room()
-        z = self._logits(row[:2], row[2], self.stats)
-        evidence = logsumexp(z, 1)
-        edges = np.cumsum(np.exp(z - evidence[:, None]), axis=1)
+        z = self._logits(row)
+        top = z.max(axis=1)
+        edges = np.cumsum(np.exp(z - top[:, None]), axis=1)
         slot = (self.rng.random(self.p)[:, None] * edges[:, -1:] >= edges).sum(axis=1)
-        return np.minimum(slot, z.shape[1] - 1), evidence
+        return np.minimum(slot, z.shape[1] - 1), top + np.log(edges[:, -1])
 
     @staticmethod
-    def _vector(row: np.ndarray) -> np.ndarray:
-        return np.array([1.0, row[0], row[1], row[0] ** 2, row[1] ** 2, math.cos(row[2]), math.sin(row[2])])
+    def _vectors(x: np.ndarray, theta: np.ndarray) -> np.ndarray:
+        """Rows as they stand in sums, but for the size's place: x0, x1, their squares and the direction at 5 and 6."""
+        return np.column_stack([x, x**2, np.ones(len(x)), np.cos(theta), np.sin(theta)])
+
+    def _add(self, which: np.ndarray, slot: np.ndarray, row: np.ndarray, sign: float) -> None:
+        self.stats[which, slot] += sign * row[[4, 0, 1, 2, 3, 5, 6]]
 
     @property
     def assigned(self) -> np.ndarray:
         """[particles, observations so far]: slots."""
-        return self._slots[:, : self.n]
+        return np.stack([self.paths.path(k) for k in range(self.p)])
 
     def learn(self, x, theta) -> float:
         """Takes the observations in order; the effective number of particles at the last."""
-        rows = np.column_stack(checked(x, theta))
-        short = self.n + len(rows) - len(self._seen)
-        if short > 0:  # room grows at least by half, so copying stays in proportion
-            more = max(short, len(self._seen) // 2)
-            self._slots, self._seen = np.pad(self._slots, ((0, 0), (0, more))), np.pad(self._seen, ((0, more), (0, 0)))
+        rows = self._vectors(*checked(x, theta))
         return [self._take(row) for row in rows][-1]
 
     def _take(self, row: np.ndarray) -> float:
@@ -81,8 +220,10 @@ class ParticleFilter:
         ess = float(np.exp(-logsumexp(2 * self.log_w, 0)))
         self.score_history.append(float(score))
         self.ess_history.append(ess)
-        self.stats[np.arange(self.p), slot] += self._vector(row)
-        self._slots[:, self.n], self._seen[self.n] = slot, row
+        self._add(self._every, slot, row, 1.0)
+        self._refresh(self._every, slot)
+        self.paths.append(slot)
+        self._seen[self.n % len(self._seen)] = row  # only the window is read again
         self.n += 1
         if ess < self.least:
             self._resample(np.exp(self.log_w))
@@ -93,28 +234,28 @@ class ParticleFilter:
         edges = np.cumsum(w)
         edges[-1] = 1.0
         at = np.searchsorted(edges, (self.rng.random() + np.arange(self.p)) / self.p)
-        self.stats, self._slots[:, : self.n] = self.stats[at], self.assigned[at]
+        self.stats, self._base, self._power, self._line, self._turn = (a[at] for a in (self.stats, self._base, self._power, self._line, self._turn))
+        self.paths.resample(at)
         self.log_w = np.full(self.p, -math.log(self.p))
 
     def _rejuvenate(self) -> None:
         """A Gibbs sweep over the last observations; weights stay."""
-        every = np.arange(self.p)
         for i in range(max(0, self.n - self.window), self.n):
-            row = self._seen[i]
-            old = self.assigned[:, i]
-            self.stats[every, old] -= self._vector(row)
-            gone = self.stats[every, old, 0] <= 0.5
-            self.stats[every[gone], old[gone]] = 0.0
+            row, old = self._seen[i % len(self._seen)], self.paths.at(i)
+            self._add(self._every, old, row, -1.0)
+            gone = self.stats[self._every, old, 0] <= 0.5
+            self.stats[self._every[gone], old[gone]] = 0.0
+            self._refresh(self._every, old)
             slot, _ = self._draw(row)
-            self.stats[every, slot] += self._vector(row)
-            self.assigned[:, i] = slot
+            self._add(self._every, slot, row, 1.0)
+            self._refresh(self._every, slot)
+            old[:] = slot
 
     def log_predictive(self, x, theta) -> np.ndarray:
         """Densities under the posterior as it stands; nothing is drawn or changed."""
         x, theta = checked(x, theta, 0)
-        self._room()
-        out = [logsumexp(self.log_w + logsumexp(self._logits(a, t, self.stats), 1), 0) for a, t in zip(x, theta, strict=True)]
+        out = [logsumexp(self.log_w + logsumexp(self._logits(row), 1), 0) for row in self._vectors(x, theta)]
         return np.asarray(out) - math.log(self.n + self.alpha)
 
     def map_partition(self) -> np.ndarray:
-        return self.assigned[int(np.argmax(self.log_w))]
+        return self.paths.path(int(np.argmax(self.log_w)))

@@ -13,12 +13,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from vireo.functions.special import LOG_2PI, a1, digamma, digamma_column, lgamma, log_i0, log_i0_column, logsumexp
+from vireo.functions.special import LOG_2PI, a1, digamma, digamma_column, lgamma, log_i0, logsumexp
+from vireo.operators import order
 
 EPS, TINY = 2.220446049250313e-16, 2.2250738585072014e-308
 STATS = ("n", "s0", "s1", "q0", "q1", "dc", "ds")
@@ -148,8 +149,8 @@ def predictive(x: np.ndarray, theta: np.ndarray, q: dict[str, np.ndarray], headi
 
 def seeds(first: DataFrame, cells: list[str], k: int) -> DataFrame:
     """K observations of each cell's first snapshot, evenly spaced by rank of x0 (ties by obs_index): component k from 0."""
-    w = Window.partitionBy(*cells)
-    ranked = first.withColumns({"place": F.row_number().over(w.orderBy("x0", "obs_index")) - 1, "last": F.count(F.lit(1)).over(w) - 1})
+    sizes = first.groupBy(*cells).agg((F.count(F.lit(1)) - 1).alias("last"))
+    ranked = order.ranked(first, cells, "x0", "obs_index", "place").join(sizes, cells)
     at = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * F.col("last") / F.lit(k - 1.0)).cast("long"))
     return ranked.withColumn("k", F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get(at, i) == F.col("place")))).select(*cells, "k", "x0", "x1", "theta", "obs_index")
 
@@ -193,45 +194,6 @@ def weighted(params: DataFrame, cells: list[str], k: int) -> DataFrame:
     )
 
 
-def _a1_column(x: Column) -> Column:
-    """I1 / I0 by the ratio of trapezoids; by the power series near 0 and the asymptotic series far out."""
-    nodes = [math.cos((i + 0.5) * math.pi / 64) for i in range(64)]
-    sums = [F.aggregate(F.array(*map(F.lit, nodes)), F.lit(0.0), (lambda s, c: s + c * F.exp(x * (c - 1))) if j else (lambda s, c: s + F.exp(x * (c - 1)))) for j in (0, 1)]
-
-    def series(order: int) -> Column:
-        term, total = F.lit(1.0), F.lit(1.0)
-        for k in range(1, 9):
-            term = term * (-(4.0 * order * order - (2 * k - 1) ** 2) / (k * 8.0)) / x
-            total = total + term
-        return total
-
-    return F.when(x < 1e-3, x / 2 - x * x * x / 16).when(x < 40, sums[1] / sums[0]).otherwise(series(1) / series(0))
-
-
-def with_components(obs: DataFrame, weighted_params: DataFrame, cells: list[str], p: Prior) -> DataFrame:
-    """``obs`` with ``c``: its cell's components as an array ordered by k, with everything that no observation changes."""
-    r = F.sqrt(F.col("e0") * F.col("e0") + F.col("e1") * F.col("e1"))
-    fixed = weighted_params.withColumns({"r": r, "lean": p.heading_kappa * _a1_column(r), "mu": F.atan2("e1", "e0"), "psi_a": digamma_column(F.col("a"))})
-    fixed = fixed.withColumn("log_i0_r", log_i0_column(F.col("r")))
-    packed = fixed.groupBy(*cells).agg(F.array_sort(F.collect_list(F.struct("k", *(c for c in fixed.columns if c not in (*cells, "k"))))).alias("c"))  # K rows a cell
-    return obs.join(packed, cells)
-
-
-def responsibilities(obs: DataFrame, p: Prior) -> DataFrame:
-    """``obs`` (see ``with_components``) with the array ``r`` of its responsibilities."""
-    base = -LOG_2PI - float(log_i0(p.heading_kappa))
-
-    def logit(c: Column) -> Column:
-        parts = [0.5 * (c["psi_a"] - F.log(c[f"b{d}"]) - LOG_2PI - 1 / c["kappa"] - c["a"] / c[f"b{d}"] * F.pow(F.col(f"x{d}") - c[f"mean{d}"], F.lit(2))) for d in "01"]
-        return parts[0] + parts[1] + c["lean"] * F.cos(F.col("theta") - c["mu"]) + base + c["log_weight"]
-
-    z = obs.withColumn("z", F.transform("c", logit))
-    z = z.withColumn("top", F.array_max("z"))
-    z = z.withColumn("e", F.transform("z", lambda v: F.exp(v - F.col("top"))))
-    z = z.withColumn("total", F.aggregate("e", F.lit(0.0), lambda s, v: s + v))
-    return z.withColumn("r", F.transform("e", lambda v: v / F.col("total"))).drop("z", "top", "e", "total")
-
-
 def labels(obs: DataFrame) -> DataFrame:
     """The first component of greatest responsibility."""
     return obs.withColumn("label", (F.array_position("r", F.array_max("r")) - 1).cast("int"))
@@ -254,35 +216,6 @@ def merged(state: DataFrame, batch: DataFrame, cells: list[str], forgetting: flo
     return joined.select(*cells, "k", *((forgetting * F.coalesce(F.col(c), none) + F.coalesce(F.col(f"__{c}"), none)).alias(c) for c in STATS))
 
 
-def log_predictive(obs: DataFrame, p: Prior) -> DataFrame:
-    """``obs`` (see ``with_components``) with ``log_density`` under the posterior it was joined with."""
-    const = -LOG_2PI - float(log_i0(p.heading_kappa))
-    hk = F.lit(p.heading_kappa)
-
-    def density(c: Column) -> Column:
-        out = F.log(F.greatest(c["weight"], F.lit(TINY))) + const - c["log_i0_r"]
-        nu = 2 * c["a"]
-        for d in "01":
-            scale2 = c[f"b{d}"] * (c["kappa"] + 1) / (c["a"] * c["kappa"])
-            z2 = F.pow(F.col(f"x{d}") - c[f"mean{d}"], F.lit(2)) / scale2
-            out = out + _lgamma_ratio(c["a"]) - 0.5 * F.log(nu * math.pi) - 0.5 * F.log(scale2) - (nu + 1) / 2 * F.log1p(z2 / nu)
-        far = F.sqrt(F.pow(c["e0"] + hk * F.cos("theta"), F.lit(2)) + F.pow(c["e1"] + hk * F.sin("theta"), F.lit(2)))
-        return out + log_i0_column(far)
-
-    z = obs.withColumn("z", F.transform("c", density)).withColumn("top", F.array_max("z"))
-    return z.withColumn("log_density", F.col("top") + F.log(F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top"))))).drop("z", "top")
-
-
-def _lgamma_ratio(a: Column) -> Column:
-    """log Gamma(a + 1/2) - log Gamma(a): recurrence to a + 10, then Stirling's series for both."""
-
-    def stirling(x: Column) -> Column:
-        return (x - 0.5) * F.log(x) - x + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, F.lit(5.0)))
-
-    steps = sum((F.log((a + i) / (a + i + 0.5)) for i in range(1, 10)), F.log(a / (a + 0.5)))
-    return stirling(a + 10.5) - stirling(a + 10) + steps
-
-
 # --- native, in chunks: arrays of observations meet the parameters of their cell -----------------------------------
 
 CHUNK = 4096

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+import re
 import time
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from vireo.operators import metrics
-from vireo.operators.features import DROPOUTS, batches, seed_of, thinned, with_exact_uniform, with_uniform
+from vireo.operators.features import DROPOUTS, base_of, batches, moment_states, pooled, seed_of, thinned, with_exact_uniform, with_uniform
 from vireo.operators.smc import ParticleFilter
 from vireo.operators.vi import Prior, StreamingMixture
 from vireo.plans.provenance import environment, implementation_sha256, sha256
@@ -21,6 +24,7 @@ from vireo.plans.provenance import environment, implementation_sha256, sha256
 METHODS = ("streaming_vi", "collapsed_dp_smc")
 ENDPOINTS = ("mean_prequential_log_score", "log_latency_per_observation", "occupied_clusters", "category_nmi_evaluation_only")
 CELL = ["block_id", "method", "dropout_rate"]
+PROTOCOL = "each snapshot scored before it is learned"
 RESULT = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("block_id", "method")]
     + [T.StructField("dropout_rate", T.DoubleType())]
@@ -52,14 +56,14 @@ def retained(obs: DataFrame, base_seed: int = 2026, dropouts: tuple[float, ...]
     return thinned((with_exact_uniform if exact else with_uniform)(obs, base_seed), dropouts)
 
 
-def run_cell(rows: pd.DataFrame, method: str, seed: int, k: int, particles: int, window: int, base=None) -> tuple[dict, np.ndarray]:
+def run_cell(rows: pd.DataFrame, method: str, seed: int, k: int, particles: int, window: int, base=None, alpha: float = 1.5, heading_kappa: float = 6.0) -> tuple[dict, np.ndarray]:
     """One cell in order of snapshots: score with what was learned before, then learn. Timed as a whole."""
     began, scores = time.perf_counter(), []
     parts = list(batches(rows))
     if method == METHODS[0]:
-        model = StreamingMixture(Prior(k=k), base)
+        model = StreamingMixture(Prior(k=k, alpha=alpha, heading_kappa=heading_kappa), base)
     else:
-        model = ParticleFilter(parts[0][1], particles=particles, window=window, seed=seed, base=base)
+        model = ParticleFilter(parts[0][1], particles=particles, alpha=alpha, heading_kappa=heading_kappa, window=window, seed=seed, base=base)
     for t, (_, x, theta) in enumerate(parts):
         if t:
             scores.append(model.log_predictive(x, theta))
@@ -114,18 +118,83 @@ def cell_rows(obs: DataFrame, cells: DataFrame, base_seed: int = 2026, exact: bo
     return retained(obs, base_seed, exact=exact).join(cells, ["block_id", "dropout_rate"])
 
 
-def execute(obs: DataFrame, cells: DataFrame, k: int = 8, particles: int = 64, window: int = 24, base_seed: int = 2026, base=None, exact: bool = False) -> DataFrame:
-    """A result row for each cell: cells run side by side, one task each (a cell is six snapshots, so bounded)."""
+#: Cells whose costs the driver packs; tasks to a core, so that an unlucky estimate is made up for.
+PACKED_CELLS, TASKS_PER_CORE = 20_000, 3
+
+
+def longest_first(costs: list[float], tasks: int) -> list[int]:
+    """A task for each cost: the dearest first, each to the task with the least so far."""
+    load, out = [(0.0, t) for t in range(tasks)], [0] * len(costs)
+    for i in sorted(range(len(costs)), key=lambda i: (-costs[i], i)):
+        total, t = heapq.heappop(load)
+        out[i] = t
+        heapq.heappush(load, (total + costs[i], t))
+    return out
+
+
+def dealt(rows: DataFrame, keys: list[str], cost, tasks: int | None = None) -> DataFrame:
+    """``rows`` with all of a cell (``keys``) in one task and the tasks' costs alike, each in order of cells, snapshots and observations.
+
+    ``cost(key values, number of rows)`` is an estimate. Partitions are given by number, so adaptive execution, which sees
+    bytes and no work, merges none. Up to ``PACKED_CELLS`` cells are packed by their costs on the driver, a number a
+    cell; among more, tasks of many cells each are alike by hashing.
+    """
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).limit(PACKED_CELLS + 1).collect()
+    if len(sizes) > PACKED_CELLS:
+        n = tasks or max(cores * TASKS_PER_CORE, rows.select(*keys).distinct().count() // 64)
+        placed = rows.repartition(n, *keys)
+    else:
+        n = max(1, min(len(sizes), tasks or cores * TASKS_PER_CORE))
+        at = longest_first([cost(tuple(r[k] for k in keys), r.n) for r in sizes], n)
+        kinds = T.StructType([*(rows.schema[k] for k in keys), T.StructField("__task", T.IntegerType())])
+        tasks_of = spark.createDataFrame([(*(r[k] for k in keys), t) for r, t in zip(sizes, at, strict=True)], kinds)
+        placed = rows.join(F.broadcast(tasks_of), keys).repartitionById(n, F.col("__task")).drop("__task")
+    return placed.sortWithinPartitions(*keys, "snapshot_index", "obs_index")
+
+
+def each_cell(rows: DataFrame, keys: list[str], make, schema: T.StructType | str) -> DataFrame:
+    """``make(key, frame)`` for each cell of rows that are ``dealt``; a task holds one cell at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, held = None, []
+        for frame in frames:
+            changes = np.flatnonzero((frame[keys] != frame[keys].shift()).any(axis=1).to_numpy())
+            for a, b in zip(changes.tolist(), [*changes.tolist()[1:], len(frame)], strict=True):
+                key = tuple(frame[keys].iloc[a])
+                if key != name and held:
+                    yield make(name, pd.concat(held, ignore_index=True))
+                    held = []
+                name = key
+                held.append(frame.iloc[a:b])
+        if held:
+            yield make(name, pd.concat(held, ignore_index=True))
+
+    return rows.mapInPandas(run, schema)
+
+
+def cell_cost(k: int, particles: int, window: int):
+    """Relative work of a cell: a variational one passes over its rows for K components, a particle filter draws for all particles, and again for its window after a tenth of the rows."""
+    draws = particles * (1 + window / 10)
+    return lambda key, n: n * (0.02 * k if key[1] == METHODS[0] else draws)
+
+
+def execute(obs: DataFrame, cells: DataFrame, k: int = 8, particles: int = 64, window: int = 24, base_seed: int = 2026, base=None, exact: bool = False, tasks: int | None = None, **model) -> DataFrame:
+    """A result row for each cell. Cells are dealt to tasks by their estimated work (see ``dealt``) and run side by side.
+
+    ``base``: means and variances of the pooled calibration observations (see ``pooled_base``); without it, each cell
+    takes those of its own first snapshot. ``model``: alpha and heading_kappa, if they aren't the usual ones.
+    """
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         block, method, dropout = key
         warm_up()
-        pdf = pdf.sort_values(["snapshot_index", "obs_index"])
-        out, labels = run_cell(pdf, method, seed_of(base_seed, block, method, dropout), k, particles, window, base)
+        out, labels = run_cell(pdf, method, seed_of(base_seed, block, method, dropout), k, particles, window, base, **model)
         out |= {"category_observations": int(usable(pdf["category"]).sum()), "category_nmi_evaluation_only": agreement(labels, pdf["category"])}
         return pd.DataFrame([{"block_id": block, "method": method, "dropout_rate": dropout, **out}])[RESULT.names]
 
-    return cell_rows(obs, cells, base_seed, exact).groupBy(*CELL).applyInPandas(run, RESULT)
+    return each_cell(dealt(cell_rows(obs, cells, base_seed, exact), CELL, cell_cost(k, particles, window), tasks), CELL, run, RESULT)
 
 
 def partitions(obs: DataFrame, cells: DataFrame, k: int = 8, particles: int = 64, window: int = 24, base_seed: int = 2026, base=None, exact: bool = False) -> DataFrame:
@@ -133,63 +202,131 @@ def partitions(obs: DataFrame, cells: DataFrame, k: int = 8, particles: int = 64
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         block, method, dropout = key
-        pdf = pdf.sort_values(["snapshot_index", "obs_index"])
         _, labels = run_cell(pdf, method, seed_of(base_seed, block, method, dropout), k, particles, window, base)
         return pdf[["snapshot_index", "obs_index"]].assign(block_id=block, method=method, dropout_rate=dropout, label=labels)[LABELS.names]
 
-    return cell_rows(obs, cells, base_seed, exact).groupBy(*CELL).applyInPandas(run, LABELS)
+    return each_cell(dealt(cell_rows(obs, cells, base_seed, exact), CELL, cell_cost(k, particles, window)), CELL, run, LABELS)
+
+
+#: Settings of the confirmatory study, none of which may differ in it.
+GRID = (8, 12, 16, 24, 32)
+FROZEN = {"alpha": 1.5, "heading_kappa": 6.0, "particles": 64, "rejuvenation_window": 24, "base_seed": 2026, "tail_threshold": 0.01, "saturation_threshold": 0.05}
+COLLECTION = {"bbox": [49.0, 7.0, 54.0, 13.0], "snapshots_per_block": 6, "interval_seconds": 5.0, "minimum_eligible_states": 32, "max_attempts_per_block": 4, "retry_delay_seconds": 900.0}
+CALIBRATION_BLOCKS, FORMAL_BLOCKS = 10, 100
 
 
-def calibrate(obs: DataFrame, grid: tuple[int, ...] = (8, 12, 16, 24, 32), tail: float = 0.01, saturation: float = 0.05, base_seed: int = 2026) -> DataFrame:
+def pooled_base(obs: DataFrame) -> dict:
+    """The state (see ``features.pooled``) of all observations of all blocks, a block at a time."""
+    return pooled(moment_states(obs, ("block_id",)))
+
+
+def calibrate(
+    obs: DataFrame, grid: tuple[int, ...] = GRID, tail: float = 0.01, saturation: float = 0.05, base_seed: int = 2026, base=None, exact: bool = False, snapshots: int | None = None,
+    alpha: float = 1.5, heading_kappa: float = 6.0,
+) -> DataFrame:
     """For each K: usable, 95th percentile of the worst residual weight, share of saturated blocks, passed.
 
-    A block's worst value is over the rates. K is usable if every block's most thinned first snapshot has K observations.
+    Every model has the same base: ``base``, or what ``pooled_base`` gives for ``obs``. A K is usable if at the highest
+    rate every block's first snapshot keeps K observations and each of its ``snapshots`` (the most that a block of ``obs``
+    has) keeps one; only usable K are fitted. A block's worst value is over the rates.
     """
-    rows = retained(obs, base_seed).withColumn("k", F.explode(F.array(*map(F.lit, grid))))
+    spark = obs.sparkSession
+    base = base_of(pooled_base(obs)) if base is None else base
+    kept = retained(obs, base_seed, exact=exact)
+    first = F.count_if(F.col("snapshot_index") == 0)
+    thinnest = kept.where(F.col("dropout_rate") == max(DROPOUTS)).groupBy("block_id").agg(first.alias("first"), F.countDistinct("snapshot_index").alias("kept"))
+    blocks = obs.groupBy("block_id").agg((F.max("snapshot_index") + 1).alias("due")).join(thinnest, "block_id", "left")
+    least = blocks.agg(F.min(F.coalesce("first", F.lit(0))).alias("first"), F.min(F.coalesce("kept", F.lit(0))).alias("kept"), F.max("due").alias("due")).first()
+    fit = [k for k in grid if least.due is not None and least.kept >= (snapshots or least.due) and least.first >= k]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         k, block, dropout = key
-        parts = list(batches(pdf))
-        enough = len(parts[0][1]) >= k and parts[0][0] == 0
-        out = {"k": k, "block_id": block, "dropout_rate": dropout, "usable": enough, "tail": None, "saturated": None}
-        if enough:
-            model = StreamingMixture(Prior(k=int(k)))
-            for _, x, theta in parts:
-                model.learn(x, theta)
-            out |= {"tail": float(model.weights()[-1]), "saturated": float(model.active() >= k)}
-        return pd.DataFrame([out])
-
-    each = rows.groupBy("k", "block_id", "dropout_rate").applyInPandas(run, "k int, block_id string, dropout_rate double, usable boolean, tail double, saturated double")
-    return selected(each, tail, saturation)
-
-
-def selected(each: DataFrame, tail: float = 0.01, saturation: float = 0.05) -> DataFrame:
-    worst = each.groupBy("k", "block_id").agg(F.min("usable").alias("usable"), F.max("tail").alias("tail"), F.max("saturated").alias("saturated"))
-    by_k = worst.groupBy("k").agg(F.min("usable").alias("usable"), F.percentile("tail", F.lit(0.95)).alias("tail_weight_q95"), F.avg("saturated").alias("saturation_rate"))
-    by_k = by_k.withColumns({c: F.when(F.col("usable"), F.col(c)) for c in ("tail_weight_q95", "saturation_rate")})
+        model = StreamingMixture(Prior(k=int(k), alpha=alpha, heading_kappa=heading_kappa), base)
+        for _, x, theta in batches(pdf):
+            model.learn(x, theta)
+        return pd.DataFrame([{"k": k, "block_id": block, "dropout_rate": dropout, "tail": float(model.weights()[-1]), "saturated": float(model.active() >= k)}])
+
+    keys = ["k", "block_id", "dropout_rate"]
+    if fit:
+        each = each_cell(dealt(kept.withColumn("k", F.explode(F.array(*map(F.lit, fit)))), keys, lambda key, n: n * key[0]), keys, run, "k int, block_id string, dropout_rate double, tail double, saturated double")
+    else:
+        each = spark.createDataFrame([], "k int, block_id string, dropout_rate double, tail double, saturated double")
+    known = spark.createDataFrame([(k, k in fit) for k in grid], "k int, usable boolean")
+    return selected(each, known, tail, saturation)
+
+
+def selected(each: DataFrame, known: DataFrame, tail: float = 0.01, saturation: float = 0.05) -> DataFrame:
+    """The rule for each K of ``known`` (k, usable), from the fits of the usable ones."""
+    worst = each.groupBy("k", "block_id").agg(F.max("tail").alias("tail"), F.max("saturated").alias("saturated"))
+    by_k = known.join(worst.groupBy("k").agg(F.percentile("tail", F.lit(0.95)).alias("tail_weight_q95"), F.avg("saturated").alias("saturation_rate")), "k", "left")
     return by_k.withColumn("passed", F.coalesce(F.col("usable") & (F.col("tail_weight_q95") <= tail) & (F.col("saturation_rate") <= saturation), F.lit(False)))
 
 
-def chosen_k(diagnostics: DataFrame) -> int:
-    k = diagnostics.where("passed").agg(F.min("k")).first()[0]
-    if k is None:
+def chosen_k(diagnostics: list[dict]) -> int:
+    """The smallest K that passed."""
+    passed = [d["k"] for d in diagnostics if d["passed"]]
+    if not passed:
         raise RuntimeError("no candidate passed; widen the grid and calibrate again")
-    return k
+    return min(passed)
 
 
-def lock(spark: SparkSession, diagnostics: DataFrame, blocks: list[str], base_seed: int, contract: dict, validation_only: bool) -> dict:
+def lock(spark: SparkSession, diagnostics: list[dict], blocks: dict[str, str], time_end: int, state: dict, contract: dict, settings: dict | None = None, validation_only: bool = False) -> dict:
+    """What is fixed before any formal block: settings, the chosen K and why, the pooled base, and what it was learned from.
+
+    ``blocks``: digests of the calibration blocks by their ids. ``settings``: what differs from ``FROZEN``.
+    """
+    means, variances = base_of(state)
     body = {
-        "schema": "vireo-analysis-lock-v1", "status": "locked", "scope": "validation_only" if validation_only else "confirmatory", "selected_k": chosen_k(diagnostics), "base_seed": base_seed,
-        "alpha": 1.5, "heading_kappa": 6.0, "particles": 64, "rejuvenation_window": 24, "calibration_blocks": sorted(blocks), "contract": contract,
-        "implementation_sha256": implementation_sha256(), "environment": environment(spark),
+        "schema": "vireo-analysis-lock-v2", "status": "locked", "scope": "validation_only" if validation_only else "confirmatory", "endpoint_protocol": PROTOCOL,
+        "selected_k": chosen_k(diagnostics), "candidate_diagnostics": diagnostics, **FROZEN, **(settings or {}), "base_state": state, "base_mean": means, "base_variance": variances,
+        "dropout_levels": list(DROPOUTS), "endpoints": list(ENDPOINTS), "calibration_blocks": sorted(blocks), "calibration_block_sha256": [blocks[b] for b in sorted(blocks)],
+        "calibration_api_time_end": time_end, "contract": contract, "implementation_sha256": implementation_sha256(), "environment": environment(spark),
     }
-    return body | {"lock_sha256": sha256(body)}
+    body["environment_sha256"] = sha256(body["environment"])
+    body = body | {"lock_sha256": sha256(body)}
+    lock_faults(body)
+    return body
+
+
+def lock_faults(body: dict) -> None:
+    """Raises at the first field of a lock that can't be: for any scope its evidence, for a confirmatory one the protocol."""
+    confirmatory = body["scope"] == "confirmatory"
+
+    def need(ok: object, what: str) -> None:
+        if not ok:
+            raise ValueError(f"the lock's {what}")
+
+    def each(values: object, pattern: str) -> bool:
+        return isinstance(values, list) and values and len(set(map(str, values))) == len(values) and all(isinstance(v, str) and re.fullmatch(pattern, v) for v in values)
+
+    need(body["scope"] in ("confirmatory", "validation_only"), "scope is unknown")
+    need(each(body.get("calibration_blocks"), "calibration-[0-9]{4}"), "calibration blocks have wrong names")
+    need(each(body.get("calibration_block_sha256"), "[0-9a-f]{64}") and len(body["calibration_block_sha256"]) == len(body["calibration_blocks"]), "block digests aren't one for each block")
+    time_end = body.get("calibration_api_time_end")
+    need(isinstance(time_end, int) and not isinstance(time_end, bool) and time_end >= 1, "calibration has no end")
+    state = body.get("base_state")
+    need(isinstance(state, dict) and all(math.isfinite(v) for k in ("mean", "squares") for v in state[k]), "base isn't finite")
+    need(([*map(float, body.get("base_mean", []))], [*map(float, body.get("base_variance", []))]) == base_of(state) and min(body["base_variance"]) > 0, "base isn't that of its observations")
+    need(body.get("dropout_levels") == list(DROPOUTS) and body.get("endpoints") == list(ENDPOINTS) and body.get("endpoint_protocol") == PROTOCOL, "design is another one")
+    diagnostics = body.get("candidate_diagnostics")
+    need(isinstance(diagnostics, list) and diagnostics and all(isinstance(d, dict) for d in diagnostics), "diagnostics are missing")
+    grid = [d.get("k") for d in diagnostics]
+    need(grid == sorted(set(grid)), "K grid isn't increasing")
+    need(body.get("selected_k") == next((d["k"] for d in diagnostics if d.get("passed") is True), None), "K isn't the first that passed")
+    need(all(d.get("passed") is (bool(d.get("usable")) and d["tail_weight_q95"] <= body["tail_threshold"] and d["saturation_rate"] <= body["saturation_threshold"]) for d in diagnostics), "diagnostics contradict its thresholds")
+    need(body.get("environment_sha256") == sha256(body.get("environment")), "environment has another digest")
+    if confirmatory:
+        need(all(body.get(k) == v for k, v in FROZEN.items()), "settings aren't the frozen ones")
+        need(tuple(grid) == GRID, "K grid isn't the frozen one")
+        need(len(body["calibration_blocks"]) == CALIBRATION_BLOCKS, f"calibration hasn't {CALIBRATION_BLOCKS} blocks")
+        need(body.get("contract") == COLLECTION, "blocks were collected under another contract")
 
 
 def checked_lock(spark: SparkSession, body: dict, same_runtime: bool = False) -> dict:
-    """The lock, if its digest holds, its code is this code and, if asked, its runtime is this runtime."""
+    """The lock, if its digest holds, its fields can be (see ``lock_faults``), its code is this code and, if asked, its runtime is this runtime."""
     if sha256({k: v for k, v in body.items() if k != "lock_sha256"}) != body.get("lock_sha256"):
         raise ValueError("the lock was changed after it was written")
+    lock_faults(body)
     if body["implementation_sha256"] != implementation_sha256():
         raise ValueError("the lock belongs to another implementation")
     if same_runtime and body["environment"] != environment(spark):

@@ -18,13 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from vireo.operators.features import DROPOUTS, with_features
+from vireo.operators.features import DROPOUTS, base_of, with_features
 from vireo.operators.vi import Prior, StreamingMixture
 from vireo.plans import factorial
 from vireo.plans.provenance import canonical_json, sha256, without_nan, write_once
-from vireo.sources.blocks import whole
 
-DEVICE, PROTOCOL = "cpu", "each snapshot scored before it is learned"
+DEVICE, PROTOCOL = "cpu", factorial.PROTOCOL
 _STRINGS = ("block_id", "block_sha256", "method", "device", "endpoint_protocol", "implementation_sha256", "execution_environment_sha256", "lock_sha256")
 #: The 21 columns of a result.
 ROW = T.StructType(
@@ -131,16 +130,59 @@ def checked_results(results: DataFrame, expected: DataFrame, lock: dict, complet
         raise ValueError(f"{bad.block_id} {bad.method} {bad.dropout_rate}: {', '.join(bad.rules)}")
 
 
-def run(spark: SparkSession, rows: DataFrame, lock: dict, folder: str, expected_blocks: int, wave: int = 16, validation_only: bool = False, exact: bool = True) -> DataFrame:
+def protocol_count(count: int, wanted: int, what: str, validation_only: bool) -> int:
+    """``count``, if it may be: outside of validation only the protocol's own."""
+    if isinstance(count, bool) or not isinstance(count, int) or count < 1:
+        raise ValueError(f"the number of {what} blocks must be a whole number of at least 1")
+    if count != wanted and not validation_only:
+        raise ValueError(f"a confirmatory study has {wanted} {what} blocks")
+    return count
+
+
+def calibrate(
+    spark: SparkSession, rows: DataFrame, expected_blocks: int = factorial.CALIBRATION_BLOCKS, grid: tuple[int, ...] = factorial.GRID, validation_only: bool = False, exact: bool = True, **settings
+) -> dict:
+    """The lock that calibration blocks give (see ``blocks.read_blocks`` for ``rows``).
+
+    ``settings`` change ``factorial.FROZEN``, for validation only. The blocks are of one contract and one after the other;
+    their pooled observations are the base of every model, here and in the study; formal blocks start after the last of them.
+    """
+    protocol_count(expected_blocks, factorial.CALIBRATION_BLOCKS, "calibration", validation_only)
+    if unknown := settings.keys() - factorial.FROZEN.keys():
+        raise ValueError(f"no such setting: {', '.join(sorted(unknown))}")
+    use = factorial.FROZEN | settings
+    if not grid or list(grid) != sorted(set(grid)) or not all(0 <= use[k] < 1 for k in ("tail_threshold", "saturation_threshold")):
+        raise ValueError("the K grid must increase and thresholds lie in [0, 1)")
+    if not validation_only and (settings or tuple(grid) != factorial.GRID):
+        raise ValueError("a confirmatory study can't change the frozen settings")
+    one = rows.select("contract").first()
+    if one is None:
+        raise ValueError("no calibration blocks")
+    contract = json.loads(one.contract)
+    checked_blocks(rows, "calibration", expected_blocks, contract)
+    blocks = rows.groupBy("block_id").agg(F.min("content_sha256").alias("digest"), F.max("api_time").alias("last")).collect()  # a row per block
+    obs = with_features(rows)
+    state = factorial.pooled_base(obs)
+    found = factorial.calibrate(
+        obs, grid, use["tail_threshold"], use["saturation_threshold"], use["base_seed"], base_of(state), exact, contract["snapshots_per_block"], use["alpha"], use["heading_kappa"]
+    )
+    names = ("k", "usable", "tail_weight_q95", "saturation_rate", "passed")
+    diagnostics = [{n: r[n] for n in names} for r in found.orderBy("k").collect()]
+    return factorial.lock(spark, diagnostics, {r.block_id: r.digest for r in blocks}, max(r["last"] for r in blocks), state, contract, use, validation_only)
+
+
+def run(spark: SparkSession, rows: DataFrame, lock: dict, folder: str, expected_blocks: int = factorial.FORMAL_BLOCKS, wave: int = 16, validation_only: bool = False, exact: bool = True) -> DataFrame:
     """All cells of all blocks of ``rows``; what ``folder`` holds already is verified and not done again.
 
     Blocks are taken in waves of ``wave``, in order; a wave's missing cells run side by side and are appended together.
+    Outside of validation there are exactly ``factorial.FORMAL_BLOCKS`` blocks; all start after calibration has ended, and
+    every cell's model has the lock's base.
     """
     factorial.checked_lock(spark, lock, same_runtime=True)
-    whole(expected_blocks, "expected_blocks", 1)
+    protocol_count(expected_blocks, factorial.FORMAL_BLOCKS, "formal", validation_only)
     if lock["scope"] != ("validation_only" if validation_only else "confirmatory"):
         raise ValueError("the lock has another scope")
-    checked_blocks(rows, "formal", expected_blocks, lock["contract"], lock.get("calibration_api_time_end", 0))
+    checked_blocks(rows, "formal", expected_blocks, lock["contract"], lock["calibration_api_time_end"])
     names = spark.createDataFrame([(b,) for b in lock["calibration_blocks"]], "block_id string")
     if not factorial.leaked(names, rows).isEmpty():
         raise ValueError("a block is in both phases")
@@ -151,10 +193,13 @@ def run(spark: SparkSession, rows: DataFrame, lock: dict, folder: str, expected_
     numbered = rows.select("block_id").distinct().withColumn("wave", F.floor((F.row_number().over(Window.orderBy("block_id")) - 1) / wave))  # a row per block
     due = factorial.pending(cells, stored(spark, folder), lock["base_seed"]).join(numbered, "block_id")
     digests = obs.groupBy("block_id").agg(F.min("content_sha256").alias("block_sha256"))
+    base = lock["base_mean"], lock["base_variance"]
     for r in due.select("wave").distinct().orderBy("wave").collect():
         now = due.where(F.col("wave") == r.wave).select(*factorial.CELL)
         own = obs.join(now.select("block_id").distinct(), "block_id", "left_semi")
-        made = factorial.execute(own, now, lock["selected_k"], lock["particles"], lock["rejuvenation_window"], lock["base_seed"], exact=exact)
+        made = factorial.execute(
+            own, now, lock["selected_k"], lock["particles"], lock["rejuvenation_window"], lock["base_seed"], base, exact, alpha=lock["alpha"], heading_kappa=lock["heading_kappa"]
+        )
         made = made.join(digests, "block_id").withColumns({c: F.lit(v) for c, v in _fixed(lock).items()}).withColumn("result_sha256", F.lit(""))
         _sealed(made.select(ROW.names)).write.mode("append").parquet(folder)
     out = stored(spark, folder)
@@ -188,20 +233,30 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*(typed(f).alias(f.name) for f in ROW.fields))
 
 
-def summary(results: DataFrame, expected: DataFrame, lock: dict) -> dict:
-    """The analysis of a complete set of results, with coverage and provenance."""
+def executions(blocks: int) -> int:
+    return blocks * len(factorial.METHODS) * len(DROPOUTS)
+
+
+def summary(results: DataFrame, expected: DataFrame, lock: dict, expected_blocks: int = factorial.FORMAL_BLOCKS, validation_only: bool = False) -> dict:
+    """The analysis of a complete set of results, with coverage and provenance; how many there must be is the protocol's to say."""
+    protocol_count(expected_blocks, factorial.FORMAL_BLOCKS, "formal", validation_only)
+    if lock["scope"] != ("validation_only" if validation_only else "confirmatory"):
+        raise ValueError("the lock has another scope")
     checked_results(results, expected, lock)
     per = factorial.coverage(results).withColumn("coverage", F.col("category_observations") / F.col("retained_observations"))
     n = results.agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("block_id").alias("blocks")).first()
+    if n.blocks != expected_blocks or n.cells != executions(expected_blocks):
+        raise ValueError(f"need {expected_blocks} blocks and {executions(expected_blocks)} executions, found {n.blocks} and {n.cells}")
     return {
-        "schema": "vireo-summary-v1", "scope": lock["scope"], "blocks": n.blocks, "executions_completed": n.cells, "executions_expected": n.blocks * len(factorial.METHODS) * len(DROPOUTS),
+        "schema": "vireo-summary-v1", "scope": lock["scope"], "blocks": n.blocks, "executions_completed": n.cells, "executions_expected": executions(expected_blocks),
         "endpoints": factorial.analyse(results), "category_coverage": [r.asDict() for r in per.orderBy("method", "dropout_rate").collect()], "selected_k": lock["selected_k"], **_fixed(lock),
     }
 
 
 def complete(body: dict) -> bool:
-    """Whether a summary may be shown: every expected execution is in it."""
-    return body.get("schema") == "vireo-summary-v1" and 0 < body.get("executions_completed", 0) == body.get("executions_expected")
+    """Whether a summary may be shown: every execution is in it that its blocks, and for a confirmatory study the protocol, ask for."""
+    blocks = factorial.FORMAL_BLOCKS if body.get("scope") == "confirmatory" else body.get("blocks", 0)
+    return body.get("schema") == "vireo-summary-v1" and body.get("blocks") == blocks > 0 and body.get("executions_completed") == body.get("executions_expected") == executions(blocks)
 
 
 def publish(body: dict, summary_path: str | Path, status_path: str | Path) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vireo.operators import metrics, vi
-from vireo.operators.features import DROPOUTS, base_moments, hash_uniform, stable_seed, thinned, with_features, with_uniform
+from vireo.operators.features import DROPOUTS, base_moments, base_of, hash_uniform, stable_seed, thinned, with_features, with_uniform
 from vireo.operators.sanitize import counts, pseudonym, sanitised, usable_category
 from vireo.plans import factorial
 from vireo.sources.events import events, spoiled, states
@@ -366,8 +366,11 @@ def chain_autocovariance(spark, d):
 
 def snapshot_union(spark, d):
     """Snapshots one after another, with their places in the whole block."""
-    w = Window.partitionBy("block_id").orderBy("snapshot_index", "obs_index")
-    return _obs(spark, d).select("block_id", "ordinal", (F.row_number().over(w) - 1).alias("place"))
+    obs = _obs(spark, d)
+    sizes = obs.groupBy("block_id", "snapshot_index").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("block_id").orderBy("snapshot_index").rowsBetween(Window.unboundedPreceding, -1)  # a row per snapshot
+    first = sizes.select("block_id", "snapshot_index", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return obs.join(first, ["block_id", "snapshot_index"]).select("block_id", "ordinal", (F.col("first") + F.col("obs_index")).cast("int").alias("place"))
 
 
 def arc_distance(spark, d):
@@ -400,7 +403,7 @@ def uniforms(spark, d):
     return _r(o.select("ordinal", hash_uniform(stable_seed(F.lit(SEED), F.col("block_id"), F.col("snapshot_index")), F.col("obs_index")).alias("u")), 12)
 
 
-# --- without SQL: sequential or random kernels ---------------------------------------------------------------------
+# --- sequential or random kernels ---------------------------------------------------------------------
 
 
 FIT_K = 8  # of factorial.execute and factorial.partitions, whose defaults hold below
@@ -414,16 +417,20 @@ def _fit_cells(spark, d):
     return obs.join(ok, "block_id", "left_semi")
 
 
-def factorial_results(spark, d):
-    """All cells, both methods and three rates; latency aside, which no two runs share."""
+def _executed(spark, d):
+    """All cells, both methods and three rates, every model with the base that all observations give."""
     obs = _fit_cells(spark, d)
-    out = factorial.execute(obs, factorial.design(obs), FIT_K, base_seed=SEED)
+    return factorial.execute(obs, factorial.design(obs), FIT_K, base_seed=SEED, base=base_of(factorial.pooled_base(obs)))
+
+
+def factorial_results(spark, d):
+    """Results of all cells; latency aside, which no two runs share."""
+    out = _executed(spark, d)
     return _r(out.drop("compute_latency_ms", "compute_latency_ms_per_observation"))
 
 
 def factorial_contrasts(spark, d):
-    obs = _fit_cells(spark, d)
-    out = factorial.execute(obs, factorial.design(obs), FIT_K, base_seed=SEED)
+    out = _executed(spark, d)
     return metrics.contrast_moments(metrics.contrasts(metrics.contrast_cube(out, "mean_prequential_log_score", factorial.METHODS, DROPOUTS)))
 
 
@@ -434,7 +441,7 @@ def calibration_diagnostics(spark, d):
 def vi_kernel_labels(spark, d):
     obs = _fit_cells(spark, d)
     cells = factorial.design(obs, (factorial.METHODS[0],), (0.0,))
-    return factorial.partitions(obs, cells, FIT_K, base_seed=SEED)
+    return factorial.partitions(obs, cells, FIT_K, base_seed=SEED, base=base_of(factorial.pooled_base(obs)))
 
 
 def exact_mask_counts(spark, d):
@@ -451,11 +458,12 @@ def bulk_ess(spark, d):
     return _r(spark.range(1).select(F.lit(metrics.bulk_ess(_draws(spark, d))).alias("ess")), 3)
 
 
-NATIVE = (
+#: Those with SQL of their own; what needs the mixture's posterior (the vi_ queries and argmax_labels) runs it in Arrow batches.
+CHECKED = (
     sanitize_counts, dedup_first, features, pseudonym_hmac, stable_seeds, nested_mask_counts, mask_is_nested, moments, eligible_blocks, chronology_violations, init_seeds, suff_stats_hard, posterior_params,
     stick_params, expected_weights, forgetting_merge, forgetting_closed_form, vi_responsibilities, argmax_labels, vi_one_step, vi_log_predictive, vi_prequential, occupied_clusters, category_coverage, nmi,
     tail_q95, saturation_rate, contrast_cube, paired_contrasts, holm, avg_ranks, split_rhat_raw, particle_ess, resample_ancestors, log_mean_weight, design_cross, pending_cells, leakage, key_equality, unique_ids,
     result_violations, mean_score, chain_autocovariance, snapshot_union, arc_distance, gem_residual, mask_demo, rhat_demo, uniforms,
 )
 KERNELS = (factorial_results, factorial_contrasts, calibration_diagnostics, vi_kernel_labels, exact_mask_counts, rank_rhat, bulk_ess)
-QUERIES = {f.__name__: f for f in (*NATIVE, *KERNELS)}
+QUERIES = {f.__name__: f for f in (*CHECKED, *KERNELS)}
