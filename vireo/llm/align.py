@@ -29,8 +29,8 @@ from .pieces import Memory
 
 #: Bytes of a range; a word of more than ``LONG`` bytes isn't cut.
 RANGE, LONG, FAN = 16_384, 2048, 8
-#: Documents at a time, words that are tokenized as one text, and words that are remembered, in each of two generations.
-BATCH, ROW, WORDS = 512, 1024, 200_000
+#: Documents and bytes of text at a time, words that are tokenized as one text, and words that are remembered, in each of two generations.
+BATCH, BATCH_BYTES, ROW, WORDS = 512, 1 << 20, 1024, 150_000
 #: Pairs of ids whose counts every task knows; rarer ones are joined.
 KNOWN = 2_000_000
 #: Bits of an id in a pair; with fewer than 2^11 documents at a time, document and pair are one number.
@@ -192,7 +192,12 @@ class Aligner:
         # What stands for a token in the groups' text: the id and what follows it.
         self.written = pa.array([i + c for c in ",|,;" for i in ids])
         self.many = len(ids)
-        self.memory = Memory(self._each, remember, fill_after=self._after, cut=cut_words)
+        self.remember = remember
+        self.forget()
+
+    def forget(self) -> None:
+        """Words go; what is idle in an executor shouldn't hold room."""
+        self.memory = Memory(self._each, self.remember, fill_after=self._after, cut=cut_words)
 
     def tokens(self, w: str) -> tuple[list[int], list[int], list[int], list[int]] | None:
         """Ids and ends of both tokenizers for a space and a word; none if the bytes aren't those of the word."""
@@ -317,15 +322,26 @@ def _finished(rows: pa.Array, ids: pa.Array, found: Aligned) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([rows, ids, *(pa.array(x) for x in (found.n_a, found.n_b, found.n_groups, found.n_links)), pa.array(digests, pa.string()), *lists], schema=_arrow(_DOCUMENT))
 
 
+def _portions(batch: pa.RecordBatch, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Slices of at most ``BATCH`` rows and about ``BATCH_BYTES``."""
+    ends, a = np.cumsum(size), 0
+    while a < batch.num_rows:
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BATCH_BYTES, side="right"))
+        b = min(max(a + 1, b), a + BATCH, batch.num_rows)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def short_documents(docs: DataFrame, tokenizer: str, pieces: str) -> DataFrame:
     """Documents of at most ``RANGE`` bytes, finished in place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(tokenizer, pieces)
         for batch in batches:
-            for k in range(0, batch.num_rows, BATCH):
-                part = batch.slice(k, BATCH)
+            for part in _portions(batch, pc.binary_length(batch.column("text").fill_null("")).to_numpy()):
                 yield _finished(part.column("row"), part.column("doc_id"), own.documents(part.column("text").fill_null("")))
+        own.forget()
+        give_back()
 
     return docs.mapInArrow(run, _DOCUMENT)
 
@@ -359,30 +375,40 @@ def cut_documents(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def range_fragment(own: Aligner, ws: list[str], start: int, end: int) -> Fragment:
-    """Words wholly inside the range come from memory; those at its ends give the tokens that end inside."""
-    lengths = [1 + len(w.encode()) for w in ws]
-    ends = np.cumsum(lengths).tolist()
-    inner, ahead, behind = [], [], []
-    for w, until, n in zip(ws, ends, lengths, strict=True):
-        if until - n >= start and until <= end:
-            inner.append(w)
-        else:
-            (behind if until - n >= start else ahead).append((w, start - (until - n), end - (until - n)))
+def range_fragments(own: Aligner, rows: list[tuple[list[str], int, int]]) -> list[Fragment]:
+    """Of byte ranges, each given by the words that overlap it, its start and its end among their bytes.
+
+    Words wholly inside a range come from memory, those of all ranges at once; words at its ends give the tokens that end inside.
+    """
+    split = []
+    for ws, start, end in rows:
+        lengths = [1 + len(w.encode()) for w in ws]
+        inner, ahead, behind, until = [], [], [], 0
+        for w, n in zip(ws, lengths, strict=True):
+            from_, until = until, until + n
+            if from_ >= start and until <= end:
+                inner.append(w)
+            else:
+                (behind if from_ >= start else ahead).append((w, start - from_, end - from_))
+        split.append((ahead, " ".join(inner) if inner else None, behind))
+    found = own.documents(pa.array([text or "" for _, text, _ in split], pa.string()))
 
     def partial(parts: list) -> Fragment:
         f = Fragment()
         for w, x, y in parts:
-            found = own.tokens(w)
-            f = f.then(Fragment(ok=False) if found is None else fragment(*found, max(0, x), y))
+            tokens = own.tokens(w)
+            f = f.then(Fragment(ok=False) if tokens is None else fragment(*tokens, max(0, x), y))
         return f
 
-    out = partial(ahead)
-    if inner:
-        text = " ".join(inner)
-        f = own.documents(pa.array([text])) if text else Aligned(np.array([False]), *[np.zeros(1, np.int64)] * 4, [""], np.zeros(1, np.int64), *[np.zeros(0, np.int64)] * 2)
-        out = out.then(Fragment(bool(f.fine[0]), True, groups=f.text if f.text[0] else [], n_groups=int(f.n_groups[0]), n_a=int(f.n_a[0]), n_b=int(f.n_b[0]), links=[(f.pairs, f.times)]))
-    return out.then(partial(behind))
+    out = []
+    for k, (ahead, text, behind) in enumerate(split):
+        f = partial(ahead)
+        if text is not None:
+            x, y = found.ends[k - 1] if k else 0, found.ends[k]
+            n_groups, n_a, n_b = (int(v[k]) for v in (found.n_groups, found.n_a, found.n_b))
+            f = f.then(Fragment(bool(found.fine[k]), True, groups=[found.text[k]] if n_groups else [], n_groups=n_groups, n_a=n_a, n_b=n_b, links=[(found.pairs[x:y], found.times[x:y])]))
+        out.append(f.then(partial(behind)))
+    return out
 
 
 def _row_of(row: int, number: int, doc_id: int | None, f: Fragment) -> pa.RecordBatch:
@@ -407,10 +433,11 @@ def fragments(chunks: DataFrame, tokenizer: str, pieces: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(tokenizer, pieces)
         for batch in batches:
-            for r in batch.to_pylist():
-                yield _row_of(r["row"], r["number"], r["doc_id"], range_fragment(own, r["words"], r["start"], r["end"]))
-        _aligners.clear()
-        own = None
+            for k in range(0, batch.num_rows, 32):
+                rows = batch.slice(k, 32).to_pylist()
+                for r, f in zip(rows, range_fragments(own, [(r["words"], r["start"], r["end"]) for r in rows]), strict=True):
+                    yield _row_of(r["row"], r["number"], r["doc_id"], f)
+        own.forget()
         give_back()
 
     return chunks.mapInArrow(run, _FRAGMENT)
