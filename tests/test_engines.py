@@ -314,7 +314,7 @@ def test_online_model_survives_a_restart(spark, tmp_path, stream_of):
     seen = {}
     again = OnlineMixture(["cell"], prior, folder, lambda scores, batch_id, t: seen.update({(t, r.cell, r.obs_index): r.log_density for r in scores.collect()}))
     go(again)
-    assert again.versions() == [0, 1, 2]
+    assert again.versions() == [0, 1, 2] and not again.scratch
     for cell in "ab":
         kernel = vi.StreamingMixture(prior)
         for s, part in rows[rows.cell == cell].groupby("snapshot_index"):
@@ -332,20 +332,77 @@ def test_online_model_survives_a_restart(spark, tmp_path, stream_of):
     assert {r.cell: r["last"] for r in again.state(spark).select("cell", "last").distinct().collect()} == {"a": 2, "b": 2, "c": 0}
 
 
-def test_kernel_stream(spark, tmp_path, stream_of):
+@pytest.fixture
+def typed_state(spark):
+    from vireo.streaming.online import use_typed_state
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    use_typed_state(spark)
+    yield
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+@pytest.mark.parametrize("method", ["vi", "smc"])
+def test_kernel_stream(spark, tmp_path, stream_of, typed_state, method):
+    """Stopped between batches and started again; the state is a table, and a late snapshot fails the query."""
     from vireo.streaming.online import kernel_stream
 
-    rows, _, feed, stream = stream_of
-    feed(0, 1, 2)
-    out = kernel_stream(stream(), "vi", k=4).writeStream.format("memory").queryName("scores").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    out.awaitTermination()
-    got = spark.table("scores").where("cell = 'a'").orderBy("snapshot_index").collect()
-    kernel = vi.StreamingMixture(vi.Prior(k=4))
-    for r, s in zip(got, range(3), strict=True):
-        part = rows[(rows.cell == "a") & (rows.snapshot_index == s)]
-        if s:
-            assert r.mean_log_score == pytest.approx(kernel.log_predictive(part[["x0", "x1"]].to_numpy(), part["theta"].to_numpy()).mean())
-        kernel.learn(part[["x0", "x1"]].to_numpy(), part["theta"].to_numpy())
+    rows, obs, feed, stream = stream_of
+    point = str(tmp_path / "c2")
+
+    def go():
+        out = kernel_stream(stream(), method, k=4, particles=8, window=3)
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", point).trigger(availableNow=True).start().awaitTermination()
+
+    feed(0)
+    go()
+    feed(1, 2)
+    go()
+    got = {(r.cell, r.snapshot_index): r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert len(got) == 5
+    for cell in "ab":
+        kernel = vi.StreamingMixture(vi.Prior(k=4)) if method == "vi" else None
+        for s, part in rows[rows.cell == cell].groupby("snapshot_index"):
+            x, t = part[["x0", "x1"]].to_numpy(), part["theta"].to_numpy()
+            if kernel is None:
+                kernel = ParticleFilter(x, particles=8, window=3, seed=seed_of(2026, cell))
+                assert got[cell, s].mean_log_score is None
+            elif method == "smc" or kernel.stats is not None:
+                assert got[cell, s].mean_log_score == pytest.approx(kernel.log_predictive(x, t).mean(), rel=1e-9)
+            kernel.learn(x, t)
+        if method == "vi":
+            state = spark.read.format("statestore").option("stateVarName", "components").load(point)
+            table = {r.key.cell: {} for r in state.collect()}
+            for r in state.collect():
+                table[r.key.cell][r.user_map_key.k] = [r.user_map_value[c] for c in vi.STATS]
+            assert np.array([table[cell][k] for k in range(4)]) == pytest.approx(kernel.stats, rel=1e-9)
+    progress = {r.key.cell: r.value for r in spark.read.format("statestore").option("stateVarName", "progress").load(point).collect()}
+    assert {c: v["last"] for c, v in progress.items()} == {"a": 2, "b": 2}
+    feed(1)
+    with pytest.raises(Exception, match="snapshot 1 came after snapshot 2"):
+        go()
+
+
+def test_silent_cells_are_closed(spark, tmp_path, stream_of, typed_state):
+    import time
+
+    from vireo.streaming.online import kernel_stream
+
+    _, _, feed, stream = stream_of
+    feed(0)
+    out = kernel_stream(stream(), "vi", k=4, silent_ms=1500).writeStream.format("memory").queryName("silent").option("checkpointLocation", str(tmp_path / "c3")).trigger(processingTime="300 milliseconds").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            if spark.table("silent").where("n = 0").count():
+                break
+        closed = spark.table("silent").where("n = 0").collect()
+        assert [(r.cell, r.snapshot_index, r.occupied) for r in closed] == [("a", 0, None)]
+        feed(1)
+        with pytest.raises(Exception, match="closed for silence"):
+            out.processAllAvailable()
+    finally:
+        out.stop()
 
 
 def test_exact_uniforms_follow_numpy(spark, sf):
