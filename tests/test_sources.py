@@ -378,3 +378,86 @@ def test_study_stops_resumes_and_reports(spark, tmp_path):
     (tmp_path / "short.csv").write_text("block_id,method\na,b\n")
     with pytest.raises(ValueError):
         study.read_csv(spark, str(tmp_path / "short.csv"))
+
+
+def test_files_are_chosen_before_they_are_opened(spark, tmp_path):
+    """Filters on phase and id are decided by names: broken files of others do no harm, and each file is a partition."""
+    from pyspark.sql import functions as F
+
+    feed = Feed()
+    for name in ("formal-0001", "formal-0002", "formal-0003", "calibration-0001"):
+        block = rest.acquired(rest.Session(feed, "u"), contract(), name, clean, sleep=lambda s: None)
+        (tmp_path / f"{name}.json.gz").write_bytes(blocks.packed(block))
+    for name in ("calibration-0002.json.gz", "formal-0009.json.gz"):
+        (tmp_path / name).write_bytes(b"broken")
+    (tmp_path / "notes.txt").write_text("x")
+    some = blocks.read_blocks(spark, str(tmp_path), "formal", ["formal-0001", "formal-0003"])
+    assert {r.block_id for r in some.select("block_id").distinct().collect()} == {"formal-0001", "formal-0003"}
+    assert some.rdd.getNumPartitions() == 2  # files opened
+    one = blocks.read_blocks(spark, tmp_path.as_uri(), "calibration").where("block_id = 'calibration-0001' AND snapshot_index = 1")
+    assert one.rdd.getNumPartitions() == 1 and one.agg(F.min("snapshot_index")).first()[0] == 1
+    assert blocks.read_blocks(spark, str(tmp_path), "formal", ["formal-0077"]).count() == 0
+    with pytest.raises(Exception, match="unreadable block"):
+        blocks.read_blocks(spark, str(tmp_path), "formal").count()
+
+
+@pytest.fixture
+def typed(spark):
+    from vireo.streaming.online import use_typed_state
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    use_typed_state(spark)
+    yield
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def test_collection_as_a_stream(spark, tmp_path, typed):
+    """Windows of two snapshots over batches of any cut; poor and late snapshots reject attempts; a killed epoch leaves nothing and its lines come once."""
+    from vireo.streaming import collect
+
+    payloads = [{"time": t, "states": [row(i) for i in range(n)]} for t, n in ((5, 18), (10, 18), (15, 18), (20, 3), (25, 18), (25, 18), (30, 18), (35, 18), (40, 18))]
+
+    def feed(*numbers):
+        rows = [("one", k, json.dumps(payloads[k])) for k in numbers]
+        spark.createDataFrame(rows, "collection string, sequence long, payload string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    folder = (tmp_path / "blocks").as_uri()
+
+    def go():
+        stream = spark.readStream.schema("collection string, sequence long, payload string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        found = collect.attempts(stream, contract(attempts=4), "formal", KEY)
+        collect.collected(found, folder, str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+
+    def lines():
+        return [json.loads(x) for p in sorted((tmp_path / "blocks" / "audit").glob("epoch-*.jsonl")) for x in p.read_text().splitlines()]
+
+    feed(0, 1, 2)
+    go()
+    assert [(r["block_id"], r["outcome"]) for r in lines()] == [("formal-0001", "accepted")]
+    feed(3, 4)
+    feed(5, 6)  # the second 25 is late for the first, so the attempt starts again with 30
+    move = blocks.EpochWriter.commit
+    before = sorted(p.name for p in (tmp_path / "blocks").glob("*.json.gz"))
+    writer = blocks.EpochWriter(folder)
+    block = rest.acquired(rest.Session(Feed(), "u"), contract(), "formal-0050", clean, sleep=lambda s: None)
+    staged = writer.write(iter([{"sequence": 1, "block": json.dumps(block), "record": "{}"}]))
+    assert sorted(p.name for p in (tmp_path / "blocks").glob("*.json.gz")) == before and len(lines()) == 1  # nothing is seen before the commit
+    writer.abort([staged, None], 7)
+    assert not list((tmp_path / "blocks" / "_staged").iterdir())
+    for _ in range(2):  # an epoch that comes again
+        staged = writer.write(iter([{"sequence": 1, "block": json.dumps(block), "record": '{"x":1}'}]))
+        move(writer, [staged], 99)
+    assert (tmp_path / "blocks" / "formal-0050.json.gz").exists() and sum(r == {"x": 1} for r in lines()) == 1
+    other = rest.acquired(rest.Session(Feed(), "u"), contract(), "formal-0050", lambda p: clean(p | {"time": p["time"] + 1}), sleep=lambda s: None)
+    with pytest.raises(blocks.BlockError):
+        move(writer, [writer.write(iter([{"sequence": 1, "block": json.dumps(other), "record": "{}"}]))], 100)
+    go()
+    feed(7, 8)
+    go()
+    got = [(r.get("block_id"), r.get("attempt"), r["outcome"], r.get("error")) for r in lines() if "outcome" in r]
+    assert got == [
+        ("formal-0001", 1, "accepted", None), ("formal-0002", 1, "rejected", "EligibilityError"), ("formal-0002", 2, "rejected", "AcquisitionError"), ("formal-0002", 3, "accepted", None),
+    ]
+    rows = blocks.read_blocks(spark, str(tmp_path / "blocks"), "formal", ["formal-0001", "formal-0002"])
+    times = {(r.block_id, r.snapshot_index): r.api_time for r in rows.select("block_id", "snapshot_index", "api_time").distinct().collect()}
+    assert times == {("formal-0001", 0): 5, ("formal-0001", 1): 10, ("formal-0002", 0): 30, ("formal-0002", 1): 35}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import math
 import os
 import platform
 import sys
@@ -23,11 +22,8 @@ def sha256(value: object) -> str:
 
 
 def without_nan(value: object) -> object:
-    if isinstance(value, dict):
-        return {k: without_nan(v) for k, v in value.items()}
-    if isinstance(value, (list, tuple)):
-        return [without_nan(v) for v in value]
-    return None if isinstance(value, float) and not math.isfinite(value) else value
+    """The value as JSON has it, numbers that aren't finite as null."""
+    return json.loads(json.dumps(value), parse_constant=lambda name: None)
 
 
 def implementation_sha256() -> str:

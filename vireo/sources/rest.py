@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
 from vireo.plans.provenance import canonical_json
-from vireo.sources.blocks import SCHEMA, BlockError, checked, real, sealed, valid_box, whole
+from vireo.sources.blocks import SCHEMA, BlockError, Field, checked, sealed, valid_box
 
 Transport = Callable[..., tuple[int, dict, bytes]]
 
@@ -47,11 +47,10 @@ class Contract:
     def __post_init__(self) -> None:
         if not valid_box(self.bbox):
             raise ValueError("impossible bounding box")
-        whole(self.snapshots, "snapshots", 2)
-        whole(self.least, "least", 1)
-        whole(self.attempts, "attempts", 1)
-        real(self.interval, "interval")
-        real(self.retry_delay, "retry_delay")
+        bounds = {"snapshots": Field("whole", 2), "least": Field("whole", 1), "attempts": Field("whole", 1), "interval": Field("real", 0), "retry_delay": Field("real", 0)}
+        wrong = [name for name, field in bounds.items() if not field.holds(getattr(self, name))]
+        if wrong:
+            raise ValueError(f"impossible {', '.join(wrong)}")
 
 
 class Session:
@@ -68,9 +67,11 @@ class Session:
             status, _, body = self.send("POST", self.token_url, data={"grant_type": "client_credentials", "client_id": self.client[0], "client_secret": self.client[1]})
             try:
                 got = json.loads(body)
-                token, lifetime = got["access_token"], real(got.get("expires_in", 1800), "expires_in", positive=True)
+                token, lifetime = got["access_token"], got.get("expires_in", 1800)
             except (ValueError, KeyError, TypeError) as e:
                 raise AcquisitionError("unusable token") from e
+            if not Field("real", 0).holds(lifetime) or not lifetime:
+                raise AcquisitionError("a token without a lifetime")
             if status != 200 or not isinstance(token, str) or not token:
                 raise AcquisitionError("no token")
             self.token, self.until = token, self.clock() + lifetime
@@ -136,6 +137,11 @@ def acquire(session: Session, contract: Contract, block_id: str, sanitise: Calla
         snapshots.append(clean | {"snapshot_index": k, "eligible_observations": found, "transport": transport})
         if k + 1 < contract.snapshots and contract.interval:
             sleep(contract.interval)
+    return made(contract, block_id, snapshots, hashes, attempt)
+
+
+def made(contract: Contract, block_id: str, snapshots: list[dict], hashes: list[str], attempt: int) -> dict:
+    """The sealed block of these snapshots."""
     return sealed(
         checked(
             {
@@ -176,7 +182,8 @@ def append_record(path: str, record: dict) -> None:
 def sanitised_payload(payload: dict, key: bytes) -> dict:
     """One payload in plain Python, for acquisition on the driver; ``operators.sanitize`` has the same rules as columns."""
     at, states = payload.get("time"), payload.get("states") or []
-    whole(at, "payload time", 1)
+    if not Field("whole", 1).holds(at):
+        raise ValueError("payload time must be a whole number of at least 1")
     rows, seen, rejected = [], set(), 0
     import math
     import re
