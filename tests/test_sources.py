@@ -244,6 +244,9 @@ def test_chains(spark):
             metrics.rank_rhat(frame(bad))
     with pytest.raises(ValueError):
         metrics.bulk_ess(frame(np.ones((4, 40))))
+    rho = np.mean([(d[:-1] * d[1:]).sum() / (d * d).sum() for d in ar - ar.mean(1, keepdims=True)])
+    r = metrics.first_order_ess(frame(ar)).first()
+    assert r.rho == pytest.approx(rho) and r.ess == pytest.approx(800 * (1 - rho) / (1 + rho)) and metrics.first_order_ess(frame(np.tile([1.0, -1.0], (4, 30)))).first().ess == 240
 
 
 def test_chains_in_bounded_parts(spark, monkeypatch):

@@ -251,3 +251,15 @@ def test_formal_blocks_start_after_calibration(spark, phases, locked, tmp_path):
     other = resealed(locked, base_state=extended(locked["base_state"], {"n": 5, "mean": [0.0, 0.0], "squares": [1.0, 1.0]}))
     with pytest.raises(ValueError):  # a base that isn't that of its state
         study.run(spark, phases["late"], other, (tmp_path / "r4").as_uri(), 2, validation_only=True)
+
+
+def test_timed_cells_run_alone(spark, monkeypatch):
+    """A cluster's tasks ask for all cores of an executor; a local session runs one cell after another, and rows say so."""
+    assert factorial.executor_cores("local[8]", "4") is None and factorial.executor_cores("spark://h:7077", None) is None and factorial.executor_cores("yarn", "4") == 4
+    obs = frame(spark, {(f"b{k}", s): 14 for k in range(3) for s in range(2)})
+    out = factorial.execute(obs, factorial.design(obs), 4, particles=4, window=2, timed=True)
+    assert out.rdd.getNumPartitions() == 1 and out.count() == 18
+    assert "alone" in study.DEVICE
+    monkeypatch.setattr(factorial, "executor_cores", lambda master, cores: 4)
+    profile, tasks = factorial.alone(spark)
+    assert profile.taskResources["cpus"].amount == 4 and tasks == 3

@@ -220,7 +220,7 @@ SELECT block_id, snapshots_out_of_order, coalesce(f <= lag(l) OVER (ORDER BY blo
 sc AS (SELECT block_id, round(avg(log_density), 5) + 0 AS mean_prequential_log_score, count(*) AS scored_observations FROM scores GROUP BY block_id)
 SELECT sc.*, round(weight, 5) + 0 AS tail_weight FROM sc JOIN w6 USING (block_id) WHERE k = 3""",
     "occupied_clusters": _HARD + " SELECT block_id, count(DISTINCT label) AS occupied_clusters FROM hard GROUP BY block_id",
-    "category_coverage": _KEPT + f" SELECT dropout_rate, count(*) AS retained_observations, count(*) FILTER ({_USABLE}) AS category_observations FROM kept GROUP BY dropout_rate",
+    "category_coverage": _KEPT + f" SELECT method, dropout_rate, count(*) AS retained_observations, count(*) FILTER ({_USABLE}) AS category_observations FROM kept, (SELECT unnest(['streaming_vi', 'collapsed_dp_smc']) AS method) GROUP BY ALL",
     "nmi": _HARD + f""", us AS (SELECT block_id, label, category FROM hard WHERE {_USABLE}), tot AS (SELECT block_id, count(*) AS t FROM us GROUP BY block_id),
 hl AS (SELECT block_id, -sum(n / t * ln(n / t)) AS h, count(*) AS c FROM (SELECT block_id, label, count(*)::DOUBLE AS n FROM us GROUP BY ALL) JOIN tot USING (block_id) GROUP BY block_id),
 hc AS (SELECT block_id, -sum(n / t * ln(n / t)) AS h, count(*) AS c FROM (SELECT block_id, category, count(*)::DOUBLE AS n FROM us GROUP BY ALL) JOIN tot USING (block_id) GROUP BY block_id),
@@ -237,6 +237,10 @@ SELECT contrast, round(p, 6) + 0 AS p, round(max(step) OVER (ORDER BY p ROWS BET
     "avg_ranks": "WITH e AS (SELECT event_id, event_type, round(value, 1) AS v FROM events) SELECT event_id, rank() OVER (PARTITION BY event_type ORDER BY v) + (count(*) OVER (PARTITION BY event_type, v) - 1) / 2 AS rank FROM e",
     "split_rhat_raw": _DRAWS + ", h AS (SELECT *, count(*) OVER (PARTITION BY chain) AS n FROM d), s AS (SELECT chain, draw > n // 2 AS side, value FROM h WHERE draw <= n // 2 OR draw > n - n // 2)," + _RHAT.format(split="s", by="chain, side"),
     "rhat_demo": _DRAWS + "," + _RHAT.format(split="d", by="chain"),
+    "ess_demo": _DRAWS + """, x AS (SELECT chain, draw, value - avg(value) OVER (PARTITION BY chain) AS c FROM d),
+y AS (SELECT chain, sum(c * later) / sum(c * c) AS rho, count(*) AS n FROM (SELECT *, lead(c) OVER (PARTITION BY chain ORDER BY draw) AS later FROM x) GROUP BY chain),
+z AS (SELECT avg(rho) AS rho, sum(n)::DOUBLE AS n FROM y)
+SELECT round(rho, 4) + 0 AS rho, round(least(n, n * (1 - rho) / (1 + rho)), 4) + 0 AS ess FROM z""",
     "particle_ess": _PARTICLES + " SELECT cell, round(1 / sum(weight * weight), 6) + 0 AS ess FROM pt GROUP BY cell",
     "resample_ancestors": _PARTICLES + """,
 cu AS (SELECT cell, particle, sum(weight) OVER w AS high, count(*) OVER (PARTITION BY cell) AS n, lead(particle) OVER w IS NULL AS last FROM pt WINDOW w AS (PARTITION BY cell ORDER BY particle)),

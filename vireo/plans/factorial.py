@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,7 +155,25 @@ def dealt(rows: DataFrame, keys: list[str], cost, tasks: int | None = None) -> D
     return placed.sortWithinPartitions(*keys, "snapshot_index", "obs_index")
 
 
-def each_cell(rows: DataFrame, keys: list[str], make, schema: T.StructType | str) -> DataFrame:
+def executor_cores(master: str, cores: str | None) -> int | None:
+    """Cores that a task must ask for to have an executor to itself; none where a session can't say so: a local one, or one whose executors don't say how many they have."""
+    return int(cores) if cores and not master.startswith("local") else None
+
+
+def alone(spark: SparkSession) -> tuple[ResourceProfile | None, int | None]:
+    """How timed cells run: the profile of a stage whose tasks take an executor each, and the number of tasks.
+
+    A session that has no such profiles (see ``executor_cores``) runs them in one task, one after another.
+    """
+    conf = spark.sparkContext.getConf()
+    cores = executor_cores(spark.sparkContext.master, conf.get("spark.executor.cores", None))
+    if cores is None:
+        return None, 1
+    profile = ResourceProfileBuilder().require(TaskResourceRequests().cpus(cores)).build
+    return profile, None if cores == 1 else max(1, TASKS_PER_CORE * spark.sparkContext.defaultParallelism // cores)
+
+
+def each_cell(rows: DataFrame, keys: list[str], make, schema: T.StructType | str, profile: ResourceProfile | None = None) -> DataFrame:
     """``make(key, frame)`` for each cell of rows that are ``dealt``; a task holds one cell at a time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,7 +190,7 @@ def each_cell(rows: DataFrame, keys: list[str], make, schema: T.StructType | str
         if held:
             yield make(name, pd.concat(held, ignore_index=True))
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema, profile=profile)
 
 
 def cell_cost(k: int, particles: int, window: int):
@@ -180,8 +199,9 @@ def cell_cost(k: int, particles: int, window: int):
     return lambda key, n: n * (0.02 * k if key[1] == METHODS[0] else draws)
 
 
-def execute(obs: DataFrame, cells: DataFrame, k: int = 8, particles: int = 64, window: int = 24, base_seed: int = 2026, base=None, exact: bool = False, tasks: int | None = None, **model) -> DataFrame:
-    """A result row for each cell. Cells are dealt to tasks by their estimated work (see ``dealt``) and run side by side.
+def execute(obs: DataFrame, cells: DataFrame, k: int = 8, particles: int = 64, window: int = 24, base_seed: int = 2026, base=None, exact: bool = False, tasks: int | None = None, timed: bool = False, **model) -> DataFrame:
+    """A result row for each cell. Cells are dealt to tasks by their estimated work (see ``dealt``) and run side by side;
+    if ``timed``, each has an executor to itself (see ``alone``), so that latencies are of a cell and not of its neighbours.
 
     ``base``: means and variances of the pooled calibration observations (see ``pooled_base``); without it, each cell
     takes those of its own first snapshot. ``model``: alpha and heading_kappa, if they aren't the usual ones.
@@ -194,7 +214,8 @@ def execute(obs: DataFrame, cells: DataFrame, k: int = 8, particles: int = 64, w
         out |= {"category_observations": int(usable(pdf["category"]).sum()), "category_nmi_evaluation_only": agreement(labels, pdf["category"])}
         return pd.DataFrame([{"block_id": block, "method": method, "dropout_rate": dropout, **out}])[RESULT.names]
 
-    return each_cell(dealt(cell_rows(obs, cells, base_seed, exact), CELL, cell_cost(k, particles, window), tasks), CELL, run, RESULT)
+    profile, own = alone(obs.sparkSession) if timed else (None, None)
+    return each_cell(dealt(cell_rows(obs, cells, base_seed, exact), CELL, cell_cost(k, particles, window), tasks or own), CELL, run, RESULT, profile)
 
 
 def partitions(obs: DataFrame, cells: DataFrame, k: int = 8, particles: int = 64, window: int = 24, base_seed: int = 2026, base=None, exact: bool = False) -> DataFrame:

@@ -23,7 +23,8 @@ from vireo.operators.vi import Prior, StreamingMixture
 from vireo.plans import factorial
 from vireo.plans.provenance import canonical_json, sha256, without_nan, write_once
 
-DEVICE, PROTOCOL = "cpu", factorial.PROTOCOL
+#: Each row says how its latency was measured.
+DEVICE, PROTOCOL = "cpu, a cell alone on its executor", factorial.PROTOCOL
 _STRINGS = ("block_id", "block_sha256", "method", "device", "endpoint_protocol", "implementation_sha256", "execution_environment_sha256", "lock_sha256")
 #: The 21 columns of a result.
 ROW = T.StructType(
@@ -174,8 +175,8 @@ def calibrate(
 def run(spark: SparkSession, rows: DataFrame, lock: dict, folder: str, expected_blocks: int = factorial.FORMAL_BLOCKS, wave: int = 16, validation_only: bool = False, exact: bool = True) -> DataFrame:
     """All cells of all blocks of ``rows``; what ``folder`` holds already is verified and not done again.
 
-    Blocks are taken in waves of ``wave``, in order; a wave's missing cells run side by side and are appended together.
-    Outside of validation there are exactly ``factorial.FORMAL_BLOCKS`` blocks; all start after calibration has ended, and
+    Blocks are taken in waves of ``wave``, in order; a wave's missing cells are appended together. Cells are timed, so none
+    runs beside another on an executor (see ``factorial.alone``). Outside of validation there are exactly ``factorial.FORMAL_BLOCKS`` blocks; all start after calibration has ended, and
     every cell's model has the lock's base.
     """
     factorial.checked_lock(spark, lock, same_runtime=True)
@@ -198,7 +199,7 @@ def run(spark: SparkSession, rows: DataFrame, lock: dict, folder: str, expected_
         now = due.where(F.col("wave") == r.wave).select(*factorial.CELL)
         own = obs.join(now.select("block_id").distinct(), "block_id", "left_semi")
         made = factorial.execute(
-            own, now, lock["selected_k"], lock["particles"], lock["rejuvenation_window"], lock["base_seed"], base, exact, alpha=lock["alpha"], heading_kappa=lock["heading_kappa"]
+            own, now, lock["selected_k"], lock["particles"], lock["rejuvenation_window"], lock["base_seed"], base, exact, timed=True, alpha=lock["alpha"], heading_kappa=lock["heading_kappa"]
         )
         made = made.join(digests, "block_id").withColumns({c: F.lit(v) for c, v in _fixed(lock).items()}).withColumn("result_sha256", F.lit(""))
         _sealed(made.select(ROW.names)).write.mode("append").parquet(folder)

@@ -206,9 +206,10 @@ def occupied_clusters(spark, d):
 
 
 def category_coverage(spark, d):
+    """By method and rate, as in the study; methods share their masks."""
     usable = usable_category(F.col("category"))
-    rows = _kept(spark, d).groupBy("dropout_rate").agg(F.count(F.lit(1)).alias("retained_observations"), F.count_if(usable).alias("category_observations"))
-    return rows
+    per = _kept(spark, d).groupBy("block_id", "dropout_rate").agg(F.count(F.lit(1)).alias("retained_observations"), F.count_if(usable).alias("category_observations"))
+    return factorial.coverage(per.withColumn("method", F.explode(F.array(*map(F.lit, factorial.METHODS)))))
 
 
 def nmi(spark, d):
@@ -397,6 +398,11 @@ def rhat_demo(spark, d):
     return _r(metrics.rhat(_draws(spark, d).withColumn("side", F.lit(0))))
 
 
+def ess_demo(spark, d):
+    """Draws that a first-order autoregression leaves of the chains."""
+    return _r(metrics.first_order_ess(_draws(spark, d)), 4)
+
+
 def uniforms(spark, d):
     """The uniform numbers themselves."""
     o = _obs(spark, d)
@@ -463,7 +469,7 @@ CHECKED = (
     sanitize_counts, dedup_first, features, pseudonym_hmac, stable_seeds, nested_mask_counts, mask_is_nested, moments, eligible_blocks, chronology_violations, init_seeds, suff_stats_hard, posterior_params,
     stick_params, expected_weights, forgetting_merge, forgetting_closed_form, vi_responsibilities, argmax_labels, vi_one_step, vi_log_predictive, vi_prequential, occupied_clusters, category_coverage, nmi,
     tail_q95, saturation_rate, contrast_cube, paired_contrasts, holm, avg_ranks, split_rhat_raw, particle_ess, resample_ancestors, log_mean_weight, design_cross, pending_cells, leakage, key_equality, unique_ids,
-    result_violations, mean_score, chain_autocovariance, snapshot_union, arc_distance, gem_residual, mask_demo, rhat_demo, uniforms,
+    result_violations, mean_score, chain_autocovariance, snapshot_union, arc_distance, gem_residual, mask_demo, rhat_demo, ess_demo, uniforms,
 )
 KERNELS = (factorial_results, factorial_contrasts, calibration_diagnostics, vi_kernel_labels, exact_mask_counts, rank_rhat, bulk_ess)
 QUERIES = {f.__name__: f for f in (*CHECKED, *KERNELS)}
