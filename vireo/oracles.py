@@ -126,13 +126,13 @@ def _big_i0(x: str) -> str:
     return f"(CASE WHEN {x} < 300 THEN {_log_i0(f'least({x}, 300)')} ELSE {x} - 0.5 * ln(2 * pi() * {x}) + ln({_series(x, 0)}) END)"
 
 
-def _fitted(snapshots: int = 6) -> str:
+def _fitted(snapshots: int = 6, head: str = _SEEDED, scores: bool = True) -> str:
     """The model through its snapshots, each scored before it is learned: ``log_density`` in ``score1`` and on, statistics in ``s6``."""
     sums = "sum(r) AS n, sum(r * x0) AS s0, sum(r * x1) AS s1, sum(r * x0 * x0) AS q0, sum(r * x1 * x1) AS q1, sum(r * cos(theta)) AS dc, sum(r * sin(theta)) AS ds"
-    sql = _SEEDED
+    sql = head
     for t in range(snapshots):
         sql += "," + _params(f"s{t}", "enough", f"p{t}") + "," + _weights(f"p{t}", f"w{t}") + f",\nnow{t} AS (SELECT * FROM own WHERE snapshot_index = {t})"
-        if t:
+        if t and scores:
             sql += f""",
 ld{t} AS (SELECT o.block_id, o.ordinal, ln(greatest(weight, 2.2250738585072014e-308)) + {_T} + {_big_i0(_FAR)} - {_big_i0("sqrt(e0 * e0 + e1 * e1)")} - ln(2 * pi()) - {_log_i0("6.0::DOUBLE")} AS z
   FROM now{t} o JOIN w{t} USING (block_id)),
@@ -150,6 +150,52 @@ def _finished() -> str:
     return _fitted() + "," + _params("s6", "enough", "p6") + "," + _weights("p6", "w6") + "," + _respond("w6", "own", "r6") + f",\nscores AS ({scores})"
 
 
+def _of_size(sql: str, k: int) -> str:
+    """A chain of four components per block made one of ``k``, with the base that table ``pool`` has instead of each block's own."""
+    sql = sql.replace("CASE WHEN k = 3 THEN", f"CASE WHEN k = {k - 1} THEN").replace("(n_first - 1) / 3.0", f"(n_first - 1) / {k - 1}.0").replace("range(4) t(k)", f"range({k}) t(k)")
+    return re.sub(r"SELECT block_id, avg\(x0\) AS m0.*? FROM enough GROUP BY block_id\)", "SELECT b.block_id, pool.* FROM (SELECT DISTINCT block_id FROM enough) b, pool)", sql)
+
+
+_POOL = (
+    "pool AS (SELECT avg(x0) AS m0, avg(x1) AS m1, greatest(var_samp(x0), 2.220446049250313e-16) AS v0, greatest(var_samp(x1), 2.220446049250313e-16) AS v1 FROM {source})"
+)
+_AFTER_FIRST = _SEEDED.removeprefix(_FIRST)
+
+
+def _final_labels(k: int = 8) -> str:
+    """The label of each observation under the final posterior of blocks that can start at every rate."""
+    head = _KEPT + f""",
+okb AS (SELECT block_id FROM kept WHERE dropout_rate = 0.3::DOUBLE GROUP BY block_id HAVING count(*) FILTER (snapshot_index = 0) >= {k} AND count(DISTINCT snapshot_index) = 6),
+mine AS (SELECT * FROM obs WHERE block_id IN (SELECT block_id FROM okb)),
+{_POOL.format(source="mine")},
+enough AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY x0, obs_index) - 1 AS place, count(*) OVER (PARTITION BY block_id) AS n_first FROM mine WHERE snapshot_index = 0)"""
+    sql = _fitted(6, head + _AFTER_FIRST, False) + "," + _params("s6", "enough", "p6") + "," + _weights("p6", "w6") + "," + _respond("w6", "own", "r6")
+    return _kept_once(_of_size(sql, k)) + """
+SELECT o.block_id, 'streaming_vi' AS method, 0.0::DOUBLE AS dropout_rate, o.snapshot_index, o.obs_index, l.label FROM own o
+JOIN (SELECT ordinal, k AS label FROM r6 QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY r DESC, k) = 1) l USING (ordinal)"""
+
+
+def _calibration(grid: tuple[int, ...] = (8, 12, 16, 24, 32)) -> str:
+    """For each K the rule's numbers: a cell is a block at a rate, its key both."""
+    parts = []
+    for k in grid:
+        head = _KEPT + f""",
+{_POOL.format(source="obs")},
+thin AS (SELECT o.block_id, coalesce(f, 0) AS f, coalesce(s, 0) AS s, due FROM (SELECT DISTINCT block_id FROM obs) o CROSS JOIN (SELECT max(snapshot_index) + 1 AS due FROM obs) m
+  LEFT JOIN (SELECT block_id, count(*) FILTER (snapshot_index = 0) AS f, count(DISTINCT snapshot_index) AS s FROM kept WHERE dropout_rate = 0.3::DOUBLE GROUP BY block_id) t ON t.block_id = o.block_id),
+use AS (SELECT coalesce(bool_and(f >= {k} AND s >= due), false) AS usable FROM thin),
+cells AS (SELECT block_id || '|' || dropout_rate::VARCHAR AS block_id, ordinal * 3 + CASE WHEN dropout_rate = 0 THEN 0 WHEN dropout_rate < 0.2 THEN 1 ELSE 2 END AS ordinal, snapshot_index, obs_index, x0, x1, theta
+  FROM kept, use WHERE usable),
+enough AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY x0, obs_index) - 1 AS place, count(*) OVER (PARTITION BY block_id) AS n_first FROM cells WHERE snapshot_index = 0)"""
+        sql = _fitted(6, head + _AFTER_FIRST.replace("FROM obs", "FROM cells"), False) + "," + _params("s6", "enough", "p6") + "," + _weights("p6", "w6")
+        parts.append("(" + _kept_once(_of_size(sql, k)) + f""",
+each AS (SELECT split_part(block_id, '|', 1) AS block, max(CASE WHEN k = {k - 1} THEN weight END) AS tail, CASE WHEN count(*) FILTER (weight >= 0.01) >= {k} THEN 1.0::DOUBLE ELSE 0 END AS saturated FROM w6 GROUP BY block_id),
+worst AS (SELECT block, max(tail) AS tail, max(saturated) AS saturated FROM each GROUP BY block),
+rule AS (SELECT quantile_cont(tail, 0.95) AS q, avg(saturated) AS s FROM worst)
+SELECT {k} AS k, usable, round(q, 6) + 0 AS tail_weight_q95, round(s, 6) + 0 AS saturation_rate, coalesce(usable AND q <= 0.01 AND s <= 0.05, false) AS passed FROM use, rule)""")
+    return " UNION ALL ".join(parts)
+
+
 def _kept_once(sql: str) -> str:
     """Every table of the chain is computed once."""
     return re.sub(r"(?m)^(\w+) AS \(", r"\1 AS MATERIALIZED (", sql)
@@ -266,5 +312,7 @@ SELECT a.chain, lag::INTEGER AS lag, round(sum(a.c * b.c) / any_value(a.n), 4) +
     "gem_residual": _COUNTS + """, b AS (SELECT block_id, count(*) AS k, ln(1 + sum(eligible_observations)) AS alpha FROM cn GROUP BY block_id)
 SELECT block_id, round((alpha / (1 + alpha))^(k - 1), 6) + 0 AS residual, round(1 - (alpha / (1 + alpha))^(k - 1), 6) + 0 AS represented FROM b""",
     "mask_demo": "SELECT event_id % 10 AS digit, " + ", ".join(f"count(*) FILTER (event_id * 73 % 101 / 101.0::DOUBLE >= {r}::DOUBLE) AS kept_{i}" for i, r in enumerate((0.0, 0.15, 0.3))) + " FROM events GROUP BY digit",
+    "vi_kernel_labels": _final_labels(),
+    "calibration_diagnostics": _calibration(),
     "uniforms": _KEPT.rsplit(",\nkept", 1)[0] + " SELECT ordinal, round(u, 12) + 0 AS u FROM uni",
 }
