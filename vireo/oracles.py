@@ -225,6 +225,64 @@ t AS (SELECT avg(var) AS w, any_value(n) * var_samp(mean) AS b, any_value(n) AS
 SELECT round(w, 6) + 0 AS "within", round(b, 6) + 0 AS "between", round(sqrt(((n - 1) / n * w + b / n) / w), 6) + 0 AS rhat FROM t"""
 
 
+#: Fixed values of algorithm AS 241 for the normal quantile: numerator and denominator near the middle, and further out (to about 1e-11).
+_MIDDLE = (
+    (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457, 13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.3871328727963666080),
+    (5226.4952788528545610, 28729.085735721942674, 39307.895800092710610, 21213.794301586595867, 5394.1960214247511077, 687.18700749205790830, 42.313330701600911252, 1.0),
+)
+_OUTER = (
+    (7.74545014278341407640e-4, 2.27238449892691845833e-2, 0.241780725177450611770, 1.27045825245236838258, 3.64784832476320460504, 5.76949722146069140550, 4.63033784615654529590, 1.42343711074968357734),
+    (1.05075007164441684324e-9, 5.47593808499534494600e-4, 1.51986665636164571966e-2, 0.148103976427480074590, 0.689767334985100004550, 1.67638483018380384940, 2.05319162663775882187, 1.0),
+)
+
+
+def _polynomial(c: tuple[float, ...], x: str) -> str:
+    out = f"{c[0]!r}::DOUBLE"
+    for v in c[1:]:
+        out = f"({out} * {x} + {v!r}::DOUBLE)"
+    return out
+
+
+def _normal_quantile(p: str) -> str:
+    near, far = f"(0.180625 - ({p} - 0.5)^2)", f"(sqrt(-ln(least({p}, 1 - {p}))) - 1.6)"
+    return (
+        f"CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {_polynomial(_MIDDLE[0], near)} / {_polynomial(_MIDDLE[1], near)}"
+        f" ELSE sign({p} - 0.5) * {_polynomial(_OUTER[0], far)} / {_polynomial(_OUTER[1], far)} END"
+    )
+
+
+def _scores(values: str, name: str) -> str:
+    """Normal scores of the average ranks of half chains."""
+    return f"""
+{name}r AS (SELECT chain, side, place, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS r, count(*) OVER () AS n FROM ({values})),
+{name} AS MATERIALIZED (SELECT chain, side, place, {_normal_quantile("p")} AS value FROM (SELECT *, (r - 0.375) / (n + 0.25) AS p FROM {name}r))"""
+
+
+def _spread(scores: str, name: str) -> str:
+    return f"""
+{name}m AS (SELECT avg(value) AS mean, var_samp(value) AS var, count(*) AS n FROM {scores} GROUP BY chain, side),
+{name} AS (SELECT w, b, n, (n - 1) / n * w + b / n AS pooled FROM (SELECT avg(var) AS w, any_value(n) * var_samp(mean) AS b, any_value(n)::DOUBLE AS n FROM {name}m))"""
+
+
+_HALVES = _DRAWS + """,
+l AS (SELECT *, count(*) OVER (PARTITION BY chain) AS n FROM d),
+h AS (SELECT chain, CASE WHEN draw <= n // 2 THEN 0 ELSE 1 END AS side, CASE WHEN draw <= n // 2 THEN draw ELSE draw - (n - n // 2) END - 1 AS place, value AS v FROM l WHERE draw <= n // 2 OR draw > n - n // 2)"""
+_RANK_RHAT = _HALVES + ",\nmid AS (SELECT median(v) AS m FROM h)," + ",".join([
+    _scores("SELECT * FROM h", "zb"), _spread("zb", "sb"), _scores("SELECT chain, side, place, abs(v - m) AS v FROM h, mid", "zf"), _spread("zf", "sf"),
+]) + """,
+pair AS (SELECT sqrt(sb.pooled / sb.w) AS bulk, sqrt(sf.pooled / sf.w) AS folded FROM sb, sf)
+SELECT round(bulk, 6) + 0 AS bulk, round(folded, 6) + 0 AS folded, round(greatest(bulk, folded), 6) + 0 AS max FROM pair"""
+#: Lags up to 63 are enough where Geyer's sequence ends before; a table for which it doesn't has no row.
+_BULK_ESS = _HALVES + "," + _scores("SELECT * FROM h", "z") + "," + _spread("z", "s") + """,
+c AS MATERIALIZED (SELECT chain, side, place, value - avg(value) OVER (PARTITION BY chain, side) AS c, count(*) OVER () AS total FROM z),
+lags AS (SELECT lag, CASE WHEN lag = 0 THEN 1 ELSE (pooled - w + any_value(t)) / pooled END AS rho FROM (
+  SELECT lag, sum(a.c * b.c) / any_value(a.total) AS t FROM c a CROSS JOIN range(64) g(lag) JOIN c b ON b.chain = a.chain AND b.side = a.side AND b.place = a.place + lag GROUP BY lag), s GROUP BY lag, pooled, w),
+pairs AS (SELECT lag // 2 AS k, sum(rho) AS p FROM lags GROUP BY k HAVING count(*) = 2),
+ended AS (SELECT min(k) AS k FROM pairs WHERE p < 0),
+steps AS (SELECT min(p) OVER (ORDER BY pairs.k) AS p FROM pairs, ended WHERE pairs.k < ended.k)
+SELECT round((SELECT any_value(total) FROM c) / greatest(1, 2 * sum(p) - 1), 3) + 0 AS ess FROM steps"""
+
+
 def _rounded(columns: str, digits: int = 6) -> str:
     return ", ".join(f"round({c}, {digits}) + 0 AS {c}" for c in columns.split())
 
@@ -314,5 +372,7 @@ SELECT block_id, round((alpha / (1 + alpha))^(k - 1), 6) + 0 AS residual, round(
     "mask_demo": "SELECT event_id % 10 AS digit, " + ", ".join(f"count(*) FILTER (event_id * 73 % 101 / 101.0::DOUBLE >= {r}::DOUBLE) AS kept_{i}" for i, r in enumerate((0.0, 0.15, 0.3))) + " FROM events GROUP BY digit",
     "vi_kernel_labels": _final_labels(),
     "calibration_diagnostics": _calibration(),
+    "rank_rhat": _RANK_RHAT,
+    "bulk_ess": _BULK_ESS,
     "uniforms": _KEPT.rsplit(",\nkept", 1)[0] + " SELECT ordinal, round(u, 12) + 0 AS u FROM uni",
 }
