@@ -351,6 +351,30 @@ def test_scores(which, spark, sf, odd, none, docs, monkeypatch):
         assert any(r.score == pytest.approx(x, rel=1e-9) for x in by_id[r.doc_id, r.n_tokens])
 
 
+def test_pieces_help_on_held_out_words(spark, docs):
+    """Against the same discounted counts with words never seen spelled in uniform bytes: a proper distribution too."""
+    import public_tokenizers as P
+
+    from vireo.llm import lm
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    out = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    c = Counter(w for i, t in rows if i not in out for w in words(t))
+    ends = len(rows) - len(out)
+    n, v = sum(c.values()) + ends, len(c) + 1
+    once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
+    d = once / (once + 2 * twice)
+
+    def plain(w):
+        inside = lm.END_SHARE if w is None else (1 - lm.END_SHARE) * 257.0 ** -(len(w) + 1)
+        return math.log10((max((ends if w is None else c[w]) - d, 0) + (d * v + 1) * inside) / (n + 1))
+
+    got = sum(r.score for r in lm.score_texts(docs, P.path("piece_bpe_32k.model")).collect() if r.held_out)
+    unseen = [w for i, t in rows if i in out for w in words(t) if not c[w]]
+    want = sum(plain(w) for i, t in rows if i in out for w in [*words(t), None])
+    assert len(unseen) > 100 and got - want > 0.3 * len(unseen)  # more than twice as likely for each such word
+
+
 def test_probabilities_sum_to_one():
     """Over the end, the words seen, and what the lattice leaves for all others."""
     n, kinds, d = 100, 7, 0.6
