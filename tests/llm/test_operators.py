@@ -759,6 +759,99 @@ def test_a_round_of_the_label_model(spark):
     assert model.toxic == pytest.approx((np.diag(both[0]) + 0.5) / (count[0] + 1)) and model.prior == pytest.approx(min(0.5, (count[0] + 1) / (count.sum() + 10)))
 
 
+def plain_toxicity(docs, labels, rounds=4):
+    """The whole method row by row: {(doc_id, text): (label model's posterior, classifier's score)}."""
+    from vireo.llm import toxicity as x
+
+    def said(text):
+        t = "".join(c.lower() if c.isascii() and c.isalnum() else " " if c.isascii() else c for c in text or "")
+        words = {w.encode() for w in t.split(" ") if w}
+        return words | {w[:n] + b"*" for n in (4, 5, 6) for w in words if len(w) >= n}
+
+    training = lambda i: i is None or zlib.crc32(str(i).encode()) % 3 != 1
+    own = [(i, t) for i, t in labels if i is not None and t is not None and training(i)]
+    by_id = {}
+    for i, t in docs:
+        by_id.setdefault(i, []).append(t)
+    known = [(text, t) for i, t in own for text in by_id.get(i, [])]
+    count = [Counter(w for text, t in known if t == side for w in said(text)) for side in (1, 0)]
+    n1, n0 = sum(t for _, t in own), sum(1 - t for _, t in own)
+    z = {}
+    for w in {**count[0], **count[1]}:
+        a, b = count[0][w], count[1][w]
+        if len(w) <= 40 and a + b >= 5:
+            share = (a + b) / (n1 + n0)
+            z[w] = (a / n1 - b / n0) / math.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-12)
+    best = []
+    for w in sorted((w for w in z if z[w] > 3 and count[0][w] / (count[0][w] + count[1][w] + 2) >= 0.8), key=lambda w: (-z[w], w))[: 4 * x.LEARNED]:
+        near = [o for o in best if o.strip(b"*").startswith(w.strip(b"*")) or w.startswith(o.strip(b"*"))]
+        if not any(abs(count[0][o] - count[0][w]) <= 0.05 * count[0][w] for o in near):
+            best.append(w)
+    general = [w.encode() for w in x.INSULTS]
+    voters = list(dict.fromkeys(best[: x.LEARNED] + general))[: 62 - len(x.PATTERNS)]
+    telling = list(dict.fromkeys(sorted(z, key=lambda w: (-abs(z[w]), w))[: x.FEATURES] + general))
+    fires = lambda text: [bool(text and p.search(text)) for p in x.PATTERNS.values()]
+
+    def votes(text):
+        out = [w in said(text) for w in voters] + fires(text)
+        return tuple([*out, not any(out)])
+
+    prior, k = (n1 + 1) / (n1 + n0 + 10), len(voters) + len(x.PATTERNS) + 1
+    rate, together = [np.full(k, 0.2), np.full(k, 0.01)], np.eye(k)
+    rate[0][-1], rate[1][-1] = 0.1, 0.9
+    train = [votes(t) for i, t in docs if training(i)]
+    taught = [(votes(text), t) for text, t in known]
+
+    def posterior(v):
+        v = np.array(v, float)
+        odds = math.log(prior / (1 - prior)) + float((v / np.maximum(1, together @ v)) @ np.log(rate[0] / rate[1]))
+        return 1 / (1 + math.exp(-min(30, max(-30, odds))))
+
+    for step in range(rounds + 1):
+        weighed = [(v, float(t)) for v, t in taught] + ([(v, posterior(v)) for v in train] if step else [])
+        sums, totals = np.zeros((2, k, k)), [0.0, 0.0]
+        for v, p in weighed:
+            pair = np.outer(v, v).astype(float)
+            sums[0] += p * pair
+            sums[1] += (1 - p) * pair
+            totals = [totals[0] + p, totals[1] + 1 - p]
+        prior = min(0.5, max(0.001, (totals[0] + 1) / (sum(totals) + 10)))
+        rate = [(np.diag(sums[c]) + 0.5) / (totals[c] + 1) for c in (0, 1)]
+        together = np.zeros((k, k))
+        for c in (0, 1):
+            r = np.clip(rate[c], 1e-9, 1 - 1e-9)
+            cor = (sums[c] / (totals[c] + 1) - np.outer(r, r)) / np.sqrt(np.outer(r * (1 - r), r * (1 - r)))
+            together = np.maximum(together, np.clip(cor, 0, 1) * (totals[c] > 20))
+        np.fill_diagonal(together, 1)
+    seen = {v: [0, 0] for v in train}
+    for v, t in taught:
+        seen.setdefault(v, [0, 0])[1 - t] += 1
+
+    def voice(v):
+        a, b = seen.get(v, (0, 0))
+        return (a + x.OWN * posterior(v)) / (a + b + x.OWN)
+
+    def features(text):
+        words = said(text)
+        return [j for j, w in enumerate(telling) if w in words] + [len(telling) + j for j, f in enumerate(fires(text)) if f]
+
+    sample = [t for i, t in docs if training(i)] + [text for text, _ in known]
+    w, b = x.fitted_line([features(t) for t in sample], np.array([voice(votes(t)) for t in sample]), len(telling) + len(x.PATTERNS))
+    return {(i, t): (voice(votes(t)), 1 / (1 + math.exp(-min(30, max(-30, b + sum(w[j] for j in features(t))))))) for i, t in docs}
+
+
+def test_toxicity_against_plain_rows(spark):
+    from vireo.llm import toxicity
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    want = plain_toxicity([(r.doc_id, r.text) for r in docs.collect()], [(r.doc_id, r.toxic) for r in labels.collect()])
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for by_votes in (True, False):
+        for r in toxicity.score_toxicity(docs, labels, by_votes=by_votes).collect():
+            assert r.score == pytest.approx(want[r.doc_id, text[r.doc_id]][1 - by_votes], rel=1e-6, abs=1e-6)
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     from vireo.llm import toxicity
 
