@@ -230,6 +230,9 @@ def passages(texts: Texts, index: Index, max_edit_rate: float) -> list[list[tupl
         most = int(max_edit_rate * m)
         a, b = max(first, start - most), min(end, start + m + most)
         pattern, text = item.tolist(), flat[a:b].tolist()
+        here = set(text)
+        if sum(w not in here for w in pattern) > most:  # each such word needs an edit of its own
+            continue
         distance, stop = best_place(pattern, text)
         if distance <= most and (not known or distance < known[0]):
             _, back = best_place(pattern[::-1], text[:stop][::-1])
