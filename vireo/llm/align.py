@@ -30,7 +30,7 @@ from .pieces import Memory
 #: Bytes of a range; a word of more than ``LONG`` bytes isn't cut.
 RANGE, LONG, FAN = 16_384, 2048, 8
 #: Documents and bytes of text at a time, words that are tokenized as one text, and words that are remembered, in each of two generations.
-BATCH, BATCH_BYTES, ROW, WORDS = 512, 1 << 20, 1024, 150_000
+BATCH, BATCH_BYTES, ROW, WORDS = 512, 1 << 20, 1024, 120_000
 #: Pairs of ids whose counts every task knows; rarer ones are joined.
 KNOWN = 2_000_000
 #: Bits of an id in a pair; with fewer than 2^11 documents at a time, document and pair are one number.
@@ -192,16 +192,15 @@ class Aligner:
         # What stands for a token in the groups' text: the id and what follows it.
         self.written = pa.array([i + c for c in ",|,;" for i in ids])
         self.many = len(ids)
-        self.remember = remember
-        self.forget()
+        self.memory = Memory(self._each, remember, fill_after=self._after, cut=cut_words)
 
-    def forget(self) -> None:
-        """Words go; what is idle in an executor shouldn't hold room."""
-        self.memory = Memory(self._each, self.remember, fill_after=self._after, cut=cut_words)
+    def _first(self, text: str) -> list[int]:
+        """Ids of the first tokenizer; its fast way leaves offsets out, which follow from the tokens' bytes."""
+        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def tokens(self, w: str) -> tuple[list[int], list[int], list[int], list[int]] | None:
         """Ids and ends of both tokenizers for a space and a word; none if the bytes aren't those of the word."""
-        a, b = self.tok.encode(" " + w, add_special_tokens=False).ids, self.sp.encode(w)
+        a, b = self._first(" " + w), self.sp.encode(w)
         data = (" " + w).encode()
         if b"".join(map(self.a_bytes.__getitem__, a)) != data or b"".join(map(self.b_bytes.__getitem__, b)) != data:
             return None
@@ -224,7 +223,7 @@ class Aligner:
             data = (" " + text).encode()
             until = np.cumsum(1 + np.fromiter(map(len, row if text.isascii() else map(str.encode, row)), np.int64, len(row)))
             sides = []
-            for ids, names, size in ((self.tok.encode(" " + text, add_special_tokens=False).ids, self.a_bytes, self.a_size), (self.sp.encode(text), self.b_bytes, self.b_size)):
+            for ids, names, size in ((self._first(" " + text), self.a_bytes, self.a_size), (self.sp.encode(text), self.b_bytes, self.b_size)):
                 ids = np.array(ids, np.uint32)
                 ends = np.cumsum(size[ids])
                 cut = np.searchsorted(ends, until, side="right")
@@ -340,7 +339,6 @@ def short_documents(docs: DataFrame, tokenizer: str, pieces: str) -> DataFrame:
         for batch in batches:
             for part in _portions(batch, pc.binary_length(batch.column("text").fill_null("")).to_numpy()):
                 yield _finished(part.column("row"), part.column("doc_id"), own.documents(part.column("text").fill_null("")))
-        own.forget()
         give_back()
 
     return docs.mapInArrow(run, _DOCUMENT)
@@ -437,7 +435,6 @@ def fragments(chunks: DataFrame, tokenizer: str, pieces: str) -> DataFrame:
                 rows = batch.slice(k, 32).to_pylist()
                 for r, f in zip(rows, range_fragments(own, [(r["words"], r["start"], r["end"]) for r in rows]), strict=True):
                     yield _row_of(r["row"], r["number"], r["doc_id"], f)
-        own.forget()
         give_back()
 
     return chunks.mapInArrow(run, _FRAGMENT)
