@@ -263,3 +263,33 @@ def test_timed_cells_run_alone(spark, monkeypatch):
     monkeypatch.setattr(factorial, "executor_cores", lambda master, cores: 4)
     profile, tasks = factorial.alone(spark)
     assert profile.taskResources["cpus"].amount == 4 and tasks == 3
+
+
+def test_particle_filters_side_by_side_are_those_of_each_cell_alone(monkeypatch):
+    """The same labels and scores, in about as many steps as the longest cell has, not as all have together."""
+    from vireo.operators import smc
+
+    rng, cells, steps = np.random.default_rng(12), [], [0]
+    for n in (30, 24, 41, 36, 30):
+        x = rng.normal(size=(2 * n, 2)) * [1.0, 3.0]
+        cells.append([(x[:n], rng.uniform(0, 6, n)), (x[n:], rng.uniform(0, 6, n))])
+    real = smc.ParticleFilters.step
+
+    def counted(self, row):
+        steps[0] += 1
+        return real(self, row)
+
+    monkeypatch.setattr(smc.ParticleFilters, "step", counted)
+    filters = smc.ParticleFilters([smc.own_base(c[0][0]) for c in cells], [3, 4, 5, 6, 7], particles=8, window=4)
+    found, together = {c: rest for c, *rest in smc.side_by_side(filters, cells)}, steps[0]
+    each = []
+    for c, ((x, t), (y, u)) in enumerate(cells):
+        steps[0] = 0
+        alone = ParticleFilter(x, particles=8, window=4, seed=3 + c)
+        alone.learn(x, t)
+        scores = alone.log_predictive(y, u)
+        alone.learn(y, u)
+        each.append(steps[0])
+        assert found[c][0] == pytest.approx(scores, abs=1e-12) and found[c][1].tolist() == alone.map_partition().tolist()
+        assert found[c][2] == pytest.approx(np.mean(alone.ess_history))
+    assert together == max(each) and any(n > 2 * len(c[0][0]) for n, c in zip(each, cells, strict=True))

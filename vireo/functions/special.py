@@ -54,25 +54,6 @@ def _summed_log_i0(x: np.ndarray) -> np.ndarray:
     return np.where(x < LARGE, near, far)
 
 
-#: Cells of the table to the unit, and where it ends.
-CELLS, TABLE_END = 64, 256
-_table: list[np.ndarray] = []
-
-
-def _cells() -> np.ndarray:
-    """[6, cells]: the polynomial of each cell that has log I0(x) - x with two derivatives right at both of its ends."""
-    if not _table:
-        x, h = np.arange(CELLS * TABLE_END + 1) / CELLS, 1 / CELLS
-        ratio = a1(x)
-        bend = 1 - ratio * ratio - np.divide(ratio, x, out=np.full_like(x, 0.5), where=x > 0)
-        value, slope, bend = _summed_log_i0(x) - x, h * (ratio - 1), h * h * bend
-        rise, left, right, b, c = value[1:] - value[:-1], slope[:-1], slope[1:], bend[:-1], bend[1:]
-        _table.append(np.stack([
-            value[:-1], left, b / 2, 10 * rise - 6 * left - 4 * right - 1.5 * b + 0.5 * c, -15 * rise + 8 * left + 7 * right + 1.5 * b - c, 6 * rise - 3 * (left + right) - 0.5 * (b - c),
-        ]))
-    return _table[0]
-
-
 def _log_series(terms: int) -> list[float]:
     """Coefficients, in powers of 1 / x from the first on, of the logarithm of I0's asymptotic series."""
     s, out = [1.0], [0.0]
@@ -82,23 +63,57 @@ def _log_series(terms: int) -> list[float]:
     return out[1:]
 
 
-_FAR = _log_series(6)
+_FAR = _log_series(12)
+
+
+def _scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log I0(x) - x and its two derivatives: sums near, the asymptotic series far out."""
+    near, far = np.minimum(x, LARGE), np.maximum(x, LARGE)
+    ratio = a1(near)
+    bend = 1 - ratio * ratio - np.divide(ratio, near, out=np.full_like(near, 0.5), where=near > 0)
+    value, slope, curve = -0.5 * np.log(2 * math.pi * far), -0.5 / far, 0.5 / far**2
+    for k, c in enumerate(_FAR, 1):
+        value, slope, curve = value + c / far**k, slope - k * c / far ** (k + 1), curve + k * (k + 1) * c / far ** (k + 2)
+    small = x < LARGE
+    return np.where(small, _summed_log_i0(near) - near, value), np.where(small, ratio - 1, slope), np.where(small, bend, curve)
+
+
+#: Cells of the table between a power of two of x + 1 and the next, as a power of two, and how many such stretches it has.
+CELL_BITS, OCTAVES = 7, 30
+_table: list[np.ndarray] = []
+
+
+def _cells() -> list[np.ndarray]:
+    """Coefficients, lowest first, of each cell's polynomial: log I0(x) - x with two derivatives right at both of its ends."""
+    if not _table:
+        h = np.repeat(2.0 ** (np.arange(OCTAVES) - CELL_BITS), 1 << CELL_BITS)
+        start = np.concatenate([[0.0], np.cumsum(h)])
+        value, slope, bend = _scaled(start)
+        left, right, b, c = h * slope[:-1], h * slope[1:], h * h * bend[:-1], h * h * bend[1:]
+        rise = value[1:] - value[:-1]
+        in_steps = [value[:-1], left, b / 2, 10 * rise - 6 * left - 4 * right - 1.5 * b + 0.5 * c, -15 * rise + 8 * left + 7 * right + 1.5 * b - c, 6 * rise - 3 * (left + right) - 0.5 * (b - c)]
+        _table.extend(v / h**k for k, v in enumerate(in_steps))
+    return _table
 
 
 def log_i0(x):
-    """log I0(x) of any real x, from a table of polynomials of degree 5; the asymptotic series beyond the table."""
+    """log I0(x) of any real x, from a table of polynomials of degree 5 whose cell the leading bits of |x| + 1 name; the asymptotic series beyond the table."""
     x = np.abs(np.asarray(x, float))
-    at = np.minimum(x, TABLE_END - 0.5 / CELLS) * CELLS
-    cell = at.astype(np.int64)
-    c, t = _cells()[:, cell], at - cell
-    out = x + (((((c[5] * t + c[4]) * t + c[3]) * t + c[2]) * t + c[1]) * t + c[0])
-    far = x >= TABLE_END - 0.5 / CELLS
+    y = np.atleast_1d(x + 1)
+    bits = y.view(np.int64)
+    cell = bits >> (52 - CELL_BITS)
+    t = y - (cell << (52 - CELL_BITS)).view(float)
+    cell -= 1023 << CELL_BITS
+    c = _cells()
+    out = c[5].take(cell, mode="clip")
+    for k in (4, 3, 2, 1, 0):
+        out *= t
+        out += c[k].take(cell, mode="clip")
+    out = out.reshape(x.shape) + x
+    far = x >= 2.0**OCTAVES - 1
     if far.any():
-        y = np.maximum(x, TABLE_END / 2)
-        v, series = 1 / y, 0.0
-        for c in reversed(_FAR):
-            series = (series + c) * v
-        out = np.where(far, y - 0.5 * np.log(2 * math.pi * y) + series, out)
+        v = np.maximum(x, LARGE)
+        out = np.where(far, v - 0.5 * np.log(2 * math.pi * v) + _FAR[0] / v, out)
     return out
 
 

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from vireo.operators import metrics
 from vireo.operators.features import DROPOUTS, base_of, batches, moment_states, pooled, seed_of, thinned, with_exact_uniform, with_uniform
-from vireo.operators.smc import ParticleFilter
+from vireo.operators.smc import ParticleFilter, ParticleFilters, own_base, side_by_side
 from vireo.operators.vi import Prior, StreamingMixture
 from vireo.plans.provenance import environment, implementation_sha256, sha256
 
@@ -59,29 +59,41 @@ def retained(obs: DataFrame, base_seed: int = 2026, dropouts: tuple[float, ...]
 
 def run_cell(rows: pd.DataFrame, method: str, seed: int, k: int, particles: int, window: int, base=None, alpha: float = 1.5, heading_kappa: float = 6.0) -> tuple[dict, np.ndarray]:
     """One cell in order of snapshots: score with what was learned before, then learn. Timed as a whole."""
+    if method != METHODS[0]:
+        return next(run_filters([rows], [seed], particles, window, base, alpha, heading_kappa))[1:]
     began, scores = time.perf_counter(), []
     parts = list(batches(rows))
-    if method == METHODS[0]:
-        model = StreamingMixture(Prior(k=k, alpha=alpha, heading_kappa=heading_kappa), base)
-    else:
-        model = ParticleFilter(parts[0][1], particles=particles, alpha=alpha, heading_kappa=heading_kappa, window=window, seed=seed, base=base)
+    model = StreamingMixture(Prior(k=k, alpha=alpha, heading_kappa=heading_kappa), base)
     for t, (_, x, theta) in enumerate(parts):
         if t:
             scores.append(model.log_predictive(x, theta))
         model.learn(x, theta)
-    if method == METHODS[0]:
-        labels = np.concatenate([model.responsibilities(x, theta).argmax(1) for _, x, theta in parts])
-        health = {"tail_weight": float(model.weights()[-1]), "particle_ess": None}
-    else:
-        labels, health = model.map_partition(), {"tail_weight": None, "particle_ess": float(np.mean(model.ess_history))}
-    elapsed = 1000 * (time.perf_counter() - began)
+    labels = np.concatenate([model.responsibilities(x, theta).argmax(1) for _, x, theta in parts])
     scores = np.concatenate(scores) if scores else np.empty(0)
+    return _found(labels, scores, 1000 * (time.perf_counter() - began), tail_weight=float(model.weights()[-1]), particle_ess=None), labels
+
+
+def run_filters(cells: list[pd.DataFrame], seeds: list[int], particles: int, window: int, base=None, alpha: float = 1.5, heading_kappa: float = 6.0) -> Iterator[tuple[int, dict, np.ndarray]]:
+    """The particle filters of several cells side by side (see ``side_by_side``): a cell's place, results and labels, as cells end.
+
+    What a cell draws and gives is what it would alone; of the time it has its share by observations.
+    """
+    began = time.perf_counter()
+    parts = [[(x, theta) for _, x, theta in batches(rows)] for rows in cells]
+    filters = ParticleFilters([own_base(own[0][0]) if base is None else base for own in parts], seeds, particles, alpha, heading_kappa, window=window)
+    found = list(side_by_side(filters, parts))
+    each = 1000 * (time.perf_counter() - began) / sum(map(len, cells))
+    for c, scores, labels, ess in found:
+        yield c, _found(labels, scores, each * len(labels), tail_weight=None, particle_ess=ess), labels
+
+
+def _found(labels: np.ndarray, scores: np.ndarray, elapsed: float, **health) -> dict:
     if not len(scores) or not np.isfinite(scores).all():
         raise ValueError("every observation after the first snapshot needs a finite density")
     return {
-        "retained_observations": len(rows), "scored_observations": len(scores), "occupied_clusters": len(np.unique(labels)), "mean_prequential_log_score": float(scores.mean()),
-        "compute_latency_ms": elapsed, "compute_latency_ms_per_observation": elapsed / len(rows), "success": True, **health,
-    }, labels
+        "retained_observations": len(labels), "scored_observations": len(scores), "occupied_clusters": len(np.unique(labels)), "mean_prequential_log_score": float(scores.mean()),
+        "compute_latency_ms": elapsed, "compute_latency_ms_per_observation": elapsed / len(labels), "success": True, **health,
+    }
 
 
 def usable(c: pd.Series) -> pd.Series:
@@ -121,6 +133,8 @@ def cell_rows(obs: DataFrame, cells: DataFrame, base_seed: int = 2026, exact: bo
 
 #: Cells whose costs the driver packs; tasks to a core, so that an unlucky estimate is made up for.
 PACKED_CELLS, TASKS_PER_CORE = 20_000, 3
+#: Particle filters that a task runs side by side, at most, and observations in them, unless one cell has more.
+SIDE_BY_SIDE, HELD = 12, 8_000_000
 
 
 def longest_first(costs: list[float], tasks: int) -> list[int]:
@@ -133,7 +147,7 @@ def longest_first(costs: list[float], tasks: int) -> list[int]:
     return out
 
 
-def dealt(rows: DataFrame, keys: list[str], cost, tasks: int | None = None) -> DataFrame:
+def dealt(rows: DataFrame, keys: list[str], cost, tasks: int | None = None, per_core: int = TASKS_PER_CORE) -> DataFrame:
     """``rows`` with all of a cell (``keys``) in one task and the tasks' costs alike, each in order of cells, snapshots and observations.
 
     ``cost(key values, number of rows)`` is an estimate. Partitions are given by number, so adaptive execution, which sees
@@ -147,7 +161,7 @@ def dealt(rows: DataFrame, keys: list[str], cost, tasks: int | None = None) -> D
         n = tasks or max(cores * TASKS_PER_CORE, rows.select(*keys).distinct().count() // 64)
         placed = rows.repartition(n, *keys)
     else:
-        n = max(1, min(len(sizes), tasks or cores * TASKS_PER_CORE))
+        n = max(1, min(len(sizes), tasks or cores * per_core))
         at = longest_first([cost(tuple(r[k] for k in keys), r.n) for r in sizes], n)
         kinds = T.StructType([*(rows.schema[k] for k in keys), T.StructField("__task", T.IntegerType())])
         tasks_of = spark.createDataFrame([(*(r[k] for k in keys), t) for r, t in zip(sizes, at, strict=True)], kinds)
@@ -177,45 +191,67 @@ def each_cell(rows: DataFrame, keys: list[str], make, schema: T.StructType | str
     """``make(key, frame)`` for each cell of rows that are ``dealt``; a task holds one cell at a time."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, held = None, []
-        for frame in frames:
-            changes = np.flatnonzero((frame[keys] != frame[keys].shift()).any(axis=1).to_numpy())
-            for a, b in zip(changes.tolist(), [*changes.tolist()[1:], len(frame)], strict=True):
-                key = tuple(frame[keys].iloc[a])
-                if key != name and held:
-                    yield make(name, pd.concat(held, ignore_index=True))
-                    held = []
-                name = key
-                held.append(frame.iloc[a:b])
-        if held:
-            yield make(name, pd.concat(held, ignore_index=True))
+        for key, cell in whole(frames, keys):
+            yield make(key, cell)
 
     return rows.mapInPandas(run, schema, profile=profile)
 
 
+def whole(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Each cell of a task's rows, which are in order of cells, with its key."""
+    name, held = None, []
+    for frame in frames:
+        changes = np.flatnonzero((frame[keys] != frame[keys].shift()).any(axis=1).to_numpy())
+        for a, b in zip(changes.tolist(), [*changes.tolist()[1:], len(frame)], strict=True):
+            key = tuple(frame[keys].iloc[a])
+            if key != name and held:
+                yield name, pd.concat(held, ignore_index=True)
+                held = []
+            name = key
+            held.append(frame.iloc[a:b].drop(columns=keys))
+    if held:
+        yield name, pd.concat(held, ignore_index=True)
+
+
 def cell_cost(k: int, particles: int, window: int):
-    """Relative work of a cell: a variational one passes over its rows for K components, a particle filter draws for all particles, and again for its window after a tenth of the rows."""
+    """Relative work of a cell: a variational one passes over its rows for K components, a particle filter draws for all particles, and again for its window where it is resampled, which becomes rare as it grows."""
     draws = particles * (1 + window / 10)
-    return lambda key, n: n * (0.02 * k if key[1] == METHODS[0] else draws)
+    return lambda key, n: n * 2 * k if key[1] == METHODS[0] else draws * (n + 50 * window)
 
 
 def execute(obs: DataFrame, cells: DataFrame, k: int = 8, particles: int = 64, window: int = 24, base_seed: int = 2026, base=None, exact: bool = False, tasks: int | None = None, timed: bool = False, **model) -> DataFrame:
-    """A result row for each cell. Cells are dealt to tasks by their estimated work (see ``dealt``) and run side by side;
+    """A result row for each cell. Cells are dealt by their estimated work (see ``dealt``), a task to each core, so that a
+    task has several particle filters to step side by side (see ``run_filters``);
     if ``timed``, each has an executor to itself (see ``alone``), so that latencies are of a cell and not of its neighbours.
 
     ``base``: means and variances of the pooled calibration observations (see ``pooled_base``); without it, each cell
     takes those of its own first snapshot. ``model``: alpha and heading_kappa, if they aren't the usual ones.
     """
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        block, method, dropout = key
+    def row(key: tuple, out: dict, labels: np.ndarray, category: pd.Series) -> pd.DataFrame:
+        out |= {"category_observations": int(usable(category).sum()), "category_nmi_evaluation_only": agreement(labels, category)}
+        return pd.DataFrame([{**dict(zip(CELL, key, strict=True)), **out}])[RESULT.names]
+
+    def together(held: list[tuple[tuple, pd.DataFrame]]) -> Iterator[pd.DataFrame]:
+        for c, out, labels in run_filters([own for _, own in held], [seed_of(base_seed, *key) for key, _ in held], particles, window, base, **model):
+            yield row(held[c][0], out, labels, held[c][1]["category"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         warm_up()
-        out, labels = run_cell(pdf, method, seed_of(base_seed, block, method, dropout), k, particles, window, base, **model)
-        out |= {"category_observations": int(usable(pdf["category"]).sum()), "category_nmi_evaluation_only": agreement(labels, pdf["category"])}
-        return pd.DataFrame([{"block_id": block, "method": method, "dropout_rate": dropout, **out}])[RESULT.names]
+        held, many = [], 1 if timed else SIDE_BY_SIDE
+        for key, cell in whole(frames, CELL):
+            if key[1] == METHODS[0]:
+                yield row(key, *run_cell(cell, key[1], seed_of(base_seed, *key), k, particles, window, base, **model), cell["category"])
+                continue
+            held.append((key, cell[["snapshot_index", "obs_index", "x0", "x1", "theta", "category"]]))
+            if len(held) == many or sum(len(own) for _, own in held) > HELD:
+                yield from together(held)
+                held = []
+        if held:
+            yield from together(held)
 
     profile, own = alone(obs.sparkSession) if timed else (None, None)
-    return each_cell(dealt(cell_rows(obs, cells, base_seed, exact), CELL, cell_cost(k, particles, window), tasks or own), CELL, run, RESULT, profile)
+    return dealt(cell_rows(obs, cells, base_seed, exact), CELL, cell_cost(k, particles, window), tasks or own, TASKS_PER_CORE if timed else 1).mapInPandas(run, RESULT, profile=profile)
 
 
 def partitions(obs: DataFrame, cells: DataFrame, k: int = 8, particles: int = 64, window: int = 24, base_seed: int = 2026, base=None, exact: bool = False) -> DataFrame:
