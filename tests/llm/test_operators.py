@@ -970,3 +970,17 @@ def test_columns_of_any_name_go_through_every_stage(spark, sf):
         assert Counter(r[: len(base.columns)] for r in rows) == plain and all(set(r[len(base.columns) :]) == {str(r[0])} for r in rows), name
         assert plain
     assert p.STAGES[-1][1](spark, df, sf).count() == 60
+
+
+def test_words_of_a_worker_take_little_memory():
+    import tracemalloc
+
+    from vireo.llm.shingles import Words
+
+    words = Words()
+    tracemalloc.start()
+    for k in range(45):
+        words.of([b"%d" % n for n in range(10_000 * k, 10_000 * (k + 1))])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 << 20

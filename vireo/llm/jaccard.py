@@ -42,7 +42,9 @@ from .shingles import U, Words, common, mixed, shingle_sets
 log = logging.getLogger(__name__)
 RATIO = 1.5
 #: Keys that a task holds before it packs them, and keys that a bucket should have.
-HELD_KEYS, BUCKET_KEYS = 1 << 19, 1 << 19
+HELD_KEYS, BUCKET_KEYS = 1 << 18, 1 << 19
+#: Texts that become words at a time, and sets that a task knows again.
+STEP, KNOWN_SETS = 64, 50_000
 #: Sets, and shingles in them, whose sketches one task compares.
 SLIM_SETS, SLIM_SHINGLES = 1024, 1 << 24
 #: Sets are dealt by so many bits of their digest.
@@ -236,9 +238,9 @@ def _keyed(docs: DataFrame, width: int, num: int, den: int, bits: int) -> DataFr
                 yield rows(keys=[_packed(a)], nodes=[_packed(b)])
 
         for batch in batches:
-            texts, sizes, sids, drawn = batch.column("text").to_pylist(), [], [], []
-            for k in range(0, len(texts), 256):
-                for s in shingle_sets(texts[k : k + 256], width, _words):
+            text, sizes, sids, drawn = batch.column("text"), [], [], []
+            for k in range(0, len(text), STEP):
+                for s in shingle_sets(text.slice(k, STEP).to_pylist(), width, _words):
                     sid = set_id(s)
                     sizes.append(len(s))
                     sids.append(sid)
@@ -254,7 +256,7 @@ def _keyed(docs: DataFrame, width: int, num: int, den: int, bits: int) -> DataFr
                     yield from packs()
                     held, owners, count = [], [], 0
             yield rows(doc_id=batch.column("doc_id"), th=batch.column("th"), n=sizes, sid=sids, sketch=drawn)
-            if len(seen) > 200_000:
+            if len(seen) > KNOWN_SETS:
                 seen.clear()
         if held:
             yield from packs()

@@ -9,9 +9,9 @@ U = np.uint64
 
 
 class Words(dict):
-    """Numbers for words, given as they come, with a 64-bit hash of each; emptied when it holds ``most``."""
+    """Numbers for words, given as they come, with a 64-bit hash of each; emptied when it holds ``most``: some 20 MB, of which each worker of an executor has its own."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 100_000) -> None:
         super().__init__()
         self.most, self.hashes, self.table = most, [], np.empty(0, U)
 
