@@ -293,3 +293,11 @@ def test_particle_filters_side_by_side_are_those_of_each_cell_alone(monkeypatch)
         assert found[c][0] == pytest.approx(scores, abs=1e-12) and found[c][1].tolist() == alone.map_partition().tolist()
         assert found[c][2] == pytest.approx(np.mean(alone.ess_history))
     assert together == max(each) and any(n > 2 * len(c[0][0]) for n, c in zip(each, cells, strict=True))
+
+
+def test_calibration_deals_each_row_once_for_all_k(spark, monkeypatch):
+    real, dealt = factorial.dealt, []
+    monkeypatch.setattr(factorial, "dealt", lambda rows, *args, **more: dealt.append(rows) or real(rows, *args, **more))
+    obs = frame(spark, {(f"b{k}", s): 40 for k in range(2) for s in range(2)})
+    factorial.calibrate(obs, (4, 6, 8))
+    assert "k" not in dealt[0].columns and dealt[0].count() == factorial.retained(obs).count()

@@ -297,15 +297,16 @@ def calibrate(
     fit = [k for k in grid if least.due is not None and least.kept >= (snapshots or least.due) and least.first >= k]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        k, block, dropout = key
-        model = StreamingMixture(Prior(k=int(k), alpha=alpha, heading_kappa=heading_kappa), base)
+        block, dropout = key
+        models = [StreamingMixture(Prior(k=k, alpha=alpha, heading_kappa=heading_kappa), base) for k in fit]
         for _, x, theta in batches(pdf):
-            model.learn(x, theta)
-        return pd.DataFrame([{"k": k, "block_id": block, "dropout_rate": dropout, "tail": float(model.weights()[-1]), "saturated": float(model.active() >= k)}])
+            for model in models:
+                model.learn(x, theta)
+        return pd.DataFrame([{"k": m.p.k, "block_id": block, "dropout_rate": dropout, "tail": float(m.weights()[-1]), "saturated": float(m.active() >= m.p.k)} for m in models])
 
-    keys = ["k", "block_id", "dropout_rate"]
+    keys = ["block_id", "dropout_rate"]  # a cell's rows travel once and are fitted with every K
     if fit:
-        each = each_cell(dealt(kept.withColumn("k", F.explode(F.array(*map(F.lit, fit)))), keys, lambda key, n: n * key[0]), keys, run, "k int, block_id string, dropout_rate double, tail double, saturated double")
+        each = each_cell(dealt(kept.select(*keys, "snapshot_index", "obs_index", "x0", "x1", "theta"), keys, lambda key, n: n), keys, run, "k int, block_id string, dropout_rate double, tail double, saturated double")
     else:
         each = spark.createDataFrame([], "k int, block_id string, dropout_rate double, tail double, saturated double")
     known = spark.createDataFrame([(k, k in fit) for k in grid], "k int, usable boolean")
