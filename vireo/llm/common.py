@@ -10,14 +10,18 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vireo.sources.tables import shuffles_removed
+
 #: White space of the word definition: space, tab, newline, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 #: The same as a Java regular expression.
@@ -46,12 +50,39 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends here, and readers need no recomputation."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
+    for made in getattr(_made, "paths", [])[-1:]:
+        made.append(path)
     return out
 
 
+_made = threading.local()
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that ``settled`` writes within go at the end, but for those given to the function that this gives."""
+    open_ones = _made.__dict__.setdefault("paths", [])
+    open_ones.append([])
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df.settled_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for path in open_ones.pop():
+            if path not in kept:
+                discard(spark, path)
+            elif open_ones:
+                open_ones[-1].append(path)
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Remove tables of ``settled`` that nothing will read again."""
     for df in tables:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, give_back, renamed, scratch, settled, table
+from .common import discard, give_back, passing, renamed, scratch, settled, table
 from .graph import components
 from .shingles import U, Words, common, mixed, shingle_sets
 
@@ -49,6 +49,10 @@ STEP, KNOWN_SETS = 64, 50_000
 SLIM_SETS, SLIM_SHINGLES = 1024, 1 << 24
 #: Sets are dealt by so many bits of their digest.
 NODE = (1 << 48) - 1
+#: Where keys have buckets enough, they meet a part after another, so that a part alone stands on disk twice.
+PARTS, PARTED_BITS = 4, 7
+#: Bits of a map of rows: at most 262,144 words, which are spread out.
+SLOTS = 1 << 24
 
 
 def level(n: int, num: int, den: int) -> int:
@@ -428,6 +432,19 @@ def links(
 # --- the join --------------------------------------------------------------------------------------------------------
 
 
+def _mapped(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``docs`` (doc_id and th among others) with ``__hit``, which is false only for rows that aren't among ``rows`` (doc_id, th).
+
+    So texts needn't be shuffled to be told from a few others. Beyond some ten million ``rows`` most are hits.
+    """
+    at = F.pmod(F.xxhash64("doc_id", "th"), F.lit(SLOTS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    word = F.floor(at / 64).alias("__word")
+    words = settled(rows.select(word, bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits")), "words")
+    found = docs.withColumn("__word", F.floor(at / 64)).join(F.broadcast(words), "__word", "left")
+    return found.withColumn("__hit", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__word", "__bits")
+
+
 def _members(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """region, sid, n and the set of one text for each wanted (doc_id, th, sid, region)."""
 
@@ -446,7 +463,8 @@ def _members(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         give_back()
 
     w = wanted.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "sid", "region")
-    near = docs.join(w, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("text", "sid", "region")
+    likely = _mapped(docs, wanted).where("__hit")
+    near = likely.join(w, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).select("text", "sid", "region")
     return near.mapInArrow(make, "region long, sid long, n long, shingles binary").dropDuplicates(["region", "sid"])  # a row may occur twice
 
 
@@ -464,14 +482,20 @@ def joined_sets(docs: DataFrame, width: int, num: int, den: int, id_col: str = "
     spark, d = docs.sparkSession, _documents(docs, id_col, text_col)
     bits = min(24, max(6, math.ceil(math.log2(1 + d.count() * 256 / BUCKET_KEYS))))
     path = scratch(spark, "keyed")
-    _keyed(d, width, num, den, bits).write.parquet(path)
-    keyed = spark.read.schema(KEYED).parquet(path)
-    packed = keyed.where("keys IS NOT NULL").select("bucket", "keys", "nodes")
-    edges = settled(packed.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(_meetings, "a long, b long"), "met")
-    edges = edges.union(packed.where("bucket IS NULL").mapInArrow(_found, "a long, b long"))
+    parts = PARTS if bits >= PARTED_BITS else 1
+    part = F.when(F.col("bucket").isNotNull(), F.col("bucket") % parts).otherwise(-1).cast("int")
+    _keyed(d, width, num, den, bits).withColumn("part", part).write.partitionBy("part").parquet(path)
+    keyed = spark.read.schema(f"{KEYED}, part int").parquet(path)
+    found = keyed.where("part = -1 AND keys IS NOT NULL").select("keys", "nodes").mapInArrow(_found, "a long, b long")
+    met = []
+    for k in range(parts):
+        packed = keyed.where(F.col("part") == k).select("bucket", "keys", "nodes")
+        met.append(settled(packed.groupBy("bucket").applyInArrow(_meetings, "a long, b long"), "met"))
+        discard(spark, f"{path}/part={k}")
+    edges = reduce(DataFrame.union, [*met, found])
     family = components(edges).select(F.col("node"), F.col("component").alias("region"))
     node = F.col("sid").bitwiseAND(F.lit(NODE)).alias("node")
-    own = keyed.where("sid IS NOT NULL")
+    own = keyed.where("part = -1 AND sid IS NOT NULL")
     sized = settled(own.select("doc_id", "th", "n", "sid"), "sized")
     slim = own.where("sketch IS NOT NULL").select("sid", "n", "sketch", node).join(family, "node").select("region", "sid", "n", "sketch")
     slim = settled(slim.dropDuplicates(["region", "sid"]), "slim")
@@ -500,8 +524,10 @@ def jaccard_components(docs: DataFrame, width: int = 3, num: int = 90, den: int
     own. Each row is a document: rows that repeat an id each have the component of their own text, and rows with a null
     id link like others. A null id names a component only where all its ids are null. Other columns are ignored.
     """
-    sized, sets = joined_sets(docs, width, num, den, id_col, text_col, **limits)
-    rows = settled(sized.where("n > 0").join(sets, "sid").select("doc_id", "n", "component"), "rows")
+    with passing(docs.sparkSession) as keep:
+        sized, sets = joined_sets(docs, width, num, den, id_col, text_col, **limits)
+        rows = keep(settled(sized.where("n > 0").join(sets, "sid").select("doc_id", "n", "component"), "rows"))
+        keep(sized)
     name = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(name, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.union(sized.where("n = 0").select("doc_id", F.col("n"), F.col("doc_id")))
@@ -514,20 +540,24 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den:
     stays. Rows without words all stay.
     """
     docs, own_names = renamed(docs, id_col, text_col)
-    sized, sets = joined_sets(docs, width, num, den, **limits)
-    full = settled(sized.where("n > 0").join(sets, "sid").select("doc_id", "th", "component"), "rows")
-    first = full.groupBy("component").agg(_first("th")).select("component", F.col("first.doc_id").alias("id"), F.col("first.th").alias("h"))
-    rows = full.join(first, "component").select("doc_id", "th", (F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).alias("stays"))
-    verdict = rows.groupBy("doc_id", "th").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
-    verdict = settled(verdict.where("NOT stays OR rows > 1").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "stays"), "verdict")
-    th = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    row = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (th == F.col("__th"))
-    once = docs.join(verdict, row, "left_anti")
+    with passing(docs.sparkSession) as keep:
+        sized, sets = joined_sets(docs, width, num, den, **limits)
+        full = settled(sized.where("n > 0").join(sets, "sid").select("doc_id", "th", "component"), "rows")
+        first = full.groupBy("component").agg(_first("th")).select("component", F.col("first.doc_id").alias("id"), F.col("first.th").alias("h"))
+        rows = full.join(first, "component").select("doc_id", "th", (F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h"))).alias("stays"))
+        verdict = rows.groupBy("doc_id", "th").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("rows"))
+        verdict = keep(settled(verdict.where("NOT stays OR rows > 1").select("doc_id", "th", "stays"), "verdict"))
+    own = F.struct(*(F.col(c) for c in docs.columns)).alias("own")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("th"), own)
+    named = _mapped(named, verdict)
+    verdict = verdict.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "stays")
+    row = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))
+    once = named.where("NOT __hit").select("own.*").union(named.where("__hit").join(verdict, row, "left_anti").select("own.*"))
     again = verdict.where("stays")
     if again.isEmpty():
         return own_names(once)
-    twice = docs.join(again.drop("stays"), row).dropDuplicates(["__id", "__th"])
-    return own_names(once.union(twice.select(docs.columns)))
+    twice = named.where("__hit").join(again.drop("stays"), row).dropDuplicates(["__id", "__th"])
+    return own_names(once.union(twice.select("own.*")))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, let, lowered, renamed, settled, table
+from .common import BLANKS, forget, let, lowered, renamed, settled, table
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
@@ -35,7 +35,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     often = lines.groupBy("a", "b").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs).select("a", "b", "last")
     gone = lines.join(often, ["a", "b"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
     gone = gone.groupBy("doc_id", "body").agg(F.collect_set("pos").alias("drop"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), "drop")
+    gone = settled(gone.select(F.col("doc_id").alias("__id"), F.col("body").alias("__body"), "drop"), "gone")
+    forget(lines)
+
     def rebuilt(lines):
         stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop"))
         return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
