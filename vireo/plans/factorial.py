@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -169,6 +170,96 @@ def dealt(rows: DataFrame, keys: list[str], cost, tasks: int | None = None, per_
     return placed.sortWithinPartitions(*keys, "snapshot_index", "obs_index")
 
 
+#: Arrays of a packed row, one after another.
+PACKED = (("snapshot_index", "<i4"), ("obs_index", "<i4"), ("x0", "<f8"), ("x1", "<f8"), ("theta", "<f8"), ("kept", "|u1"), ("category", "<i4"))
+
+
+def packed(obs: DataFrame, base_seed: int = 2026, exact: bool = False) -> DataFrame:
+    """block_id and rows: observations of a block and an Arrow batch as bytes (see ``PACKED``), each once for all cells of its block.
+
+    kept: at how many of ``DROPOUTS`` the observation stays; masks are nested, so these are the first. category: -1 if null.
+    """
+    columns = [name for name, _ in PACKED]
+    slim = obs.select("block_id", *(F.col(c) for c in columns if c != "kept"))
+    u = F.col("u")
+    slim = (with_exact_uniform if exact else with_uniform)(slim, base_seed).withColumn("kept", sum((u >= d).cast("int") for d in DROPOUTS))
+    slim = slim.select("block_id", *(F.coalesce("category", F.lit(-1)).alias(c) if c == "category" else F.col(c) for c in columns))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = batch.column("block_id").dictionary_encode()
+            code = block.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            cuts = [0, *(np.flatnonzero(np.diff(code[order])) + 1).tolist(), len(code)]
+            own = [batch.column(name).to_numpy(zero_copy_only=False).astype(kind)[order] for name, kind in PACKED]
+            rows = [b"".join(x[a:b].tobytes() for x in own) for a, b in zip(cuts, cuts[1:], strict=False)]
+            names = block.dictionary.take(pa.array(code[order][cuts[:-1]]))
+            yield pa.RecordBatch.from_arrays([names, pa.array(rows, pa.binary())], names=["block_id", "rows"])
+
+    return slim.mapInArrow(pack, T.StructType([obs.schema["block_id"], T.StructField("rows", T.BinaryType())]))
+
+
+def unpacked(rows: list[bytes]) -> pd.DataFrame:
+    """The observations of packed rows, in order of snapshots and places."""
+    width, parts = sum(np.dtype(kind).itemsize for _, kind in PACKED), {name: [] for name, _ in PACKED}
+    for data in rows:
+        n, at = len(data) // width, 0
+        for name, kind in PACKED:
+            parts[name].append(np.frombuffer(data, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    out = {name: np.concatenate(own) for name, own in parts.items()}
+    order = np.lexsort((out["obs_index"], out["snapshot_index"]))
+    return pd.DataFrame({name: own[order] for name, own in out.items()})
+
+
+def dealt_blocks(obs: DataFrame, cells: DataFrame, cost, base_seed: int = 2026, exact: bool = False, tasks: int | None = None, per_core: int = TASKS_PER_CORE) -> DataFrame:
+    """Packed rows (see ``packed``) of a block once for each task that has cells of it, with these cells' methods and rates; in order of blocks.
+
+    Cells are dealt as by ``dealt``. Rows don't travel for each cell, so what is shuffled hangs on the tasks that a block's
+    cells are in, and not on the number of methods and rates.
+    """
+    spark, rows = obs.sparkSession, packed(obs, base_seed, exact)
+    cores, kinds = spark.sparkContext.defaultParallelism, [cells.schema[k] for k in CELL]
+    kept = retained(obs.select("block_id", "snapshot_index", "obs_index"), base_seed, exact=exact).groupBy("block_id", "dropout_rate").agg(F.count(F.lit(1)).alias("n"))
+    sizes = kept.join(cells.select(*CELL), ["block_id", "dropout_rate"]).limit(PACKED_CELLS + 1).collect()
+    if len(sizes) > PACKED_CELLS:
+        n = tasks or max(cores * TASKS_PER_CORE, cells.count() // 64)
+        placed = cells.select(*CELL, F.pmod(F.xxhash64(*CELL), F.lit(n)).cast("int").alias("__task"))
+    else:
+        n = max(1, min(len(sizes), tasks or cores * per_core))
+        at = longest_first([cost(tuple(r[k] for k in CELL), r.n) for r in sizes], n)
+        placed = spark.createDataFrame([(*(r[k] for k in CELL), t) for r, t in zip(sizes, at, strict=True)], T.StructType([*kinds, T.StructField("__task", T.IntegerType())]))
+    own = F.sort_array(F.collect_list(F.struct("method", "dropout_rate")))
+    placed = placed.groupBy("block_id", "__task").agg(own.alias("own")).select("block_id", "__task", F.col("own.method").alias("methods"), F.col("own.dropout_rate").alias("rates"))
+    if len(sizes) <= PACKED_CELLS:
+        placed = F.broadcast(placed)
+    return rows.join(placed, "block_id").repartitionById(n, F.col("__task")).drop("__task").sortWithinPartitions("block_id")
+
+
+def whole_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Each cell of a task's packed rows, with its key; a block is unpacked once."""
+    name, cells, held = None, [], []
+
+    def cut() -> Iterator[tuple[tuple, pd.DataFrame]]:
+        rows = unpacked(held)
+        for method, rate in cells:
+            own = rows[rows["kept"] > DROPOUTS.index(rate)]
+            if len(own):
+                yield (name, method, rate), own.drop(columns="kept").reset_index(drop=True)
+
+    for frame in frames:
+        for block, methods, rates, data in frame[["block_id", "methods", "rates", "rows"]].itertuples(index=False):
+            if block != name:
+                if held:
+                    yield from cut()
+                name, cells, held = block, list(zip(methods, rates, strict=True)), []
+            held.append(data)
+    if held:
+        yield from cut()
+
+
 def executor_cores(master: str, cores: str | None) -> int | None:
     """Cores that a task must ask for to have an executor to itself; none where a session can't say so: a local one, or one whose executors don't say how many they have."""
     return int(cores) if cores and not master.startswith("local") else None
@@ -220,7 +311,7 @@ def cell_cost(k: int, particles: int, window: int):
 
 
 def execute(obs: DataFrame, cells: DataFrame, k: int = 8, particles: int = 64, window: int = 24, base_seed: int = 2026, base=None, exact: bool = False, tasks: int | None = None, timed: bool = False, **model) -> DataFrame:
-    """A result row for each cell. Cells are dealt by their estimated work (see ``dealt``), a task to each core, so that a
+    """A result row for each cell. Cells are dealt by their estimated work (see ``dealt_blocks``), a task to each core, so that a
     task has several particle filters to step side by side (see ``run_filters``);
     if ``timed``, each has an executor to itself (see ``alone``), so that latencies are of a cell and not of its neighbours.
 
@@ -239,11 +330,11 @@ def execute(obs: DataFrame, cells: DataFrame, k: int = 8, particles: int = 64, w
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         warm_up()
         held, many = [], 1 if timed else SIDE_BY_SIDE
-        for key, cell in whole(frames, CELL):
+        for key, cell in whole_blocks(frames):
             if key[1] == METHODS[0]:
                 yield row(key, *run_cell(cell, key[1], seed_of(base_seed, *key), k, particles, window, base, **model), cell["category"])
                 continue
-            held.append((key, cell[["snapshot_index", "obs_index", "x0", "x1", "theta", "category"]]))
+            held.append((key, cell))
             if len(held) == many or sum(len(own) for _, own in held) > HELD:
                 yield from together(held)
                 held = []
@@ -251,7 +342,7 @@ def execute(obs: DataFrame, cells: DataFrame, k: int = 8, particles: int = 64, w
             yield from together(held)
 
     profile, own = alone(obs.sparkSession) if timed else (None, None)
-    return dealt(cell_rows(obs, cells, base_seed, exact), CELL, cell_cost(k, particles, window), tasks or own, TASKS_PER_CORE if timed else 1).mapInPandas(run, RESULT, profile=profile)
+    return dealt_blocks(obs, cells, cell_cost(k, particles, window), base_seed, exact, tasks or own, TASKS_PER_CORE if timed else 1).mapInPandas(run, RESULT, profile=profile)
 
 
 def partitions(obs: DataFrame, cells: DataFrame, k: int = 8, particles: int = 64, window: int = 24, base_seed: int = 2026, base=None, exact: bool = False) -> DataFrame:

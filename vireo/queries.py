@@ -11,6 +11,7 @@ from vireo.operators.features import DROPOUTS, base_moments, base_of, hash_unifo
 from vireo.operators.sanitize import counts, pseudonym, sanitised, usable_category
 from vireo.plans import factorial
 from vireo.sources.events import events, spoiled, states
+from vireo.sources.tables import written
 
 SEED, K = 2026, 4
 SALT = bytes(range(32))
@@ -416,10 +417,13 @@ FIT_K = 8  # of factorial.execute and factorial.partitions, whose defaults hold
 
 
 def _fit_cells(spark, d):
-    """Blocks whose most thinned first snapshot can start the model, six snapshots each."""
-    obs = _obs(spark, d)
+    """Blocks whose most thinned first snapshot can start the model, six snapshots each.
+
+    Observations are written once, as all that follows reads them several times, and the blocks' names, so that Spark sees how few they are.
+    """
+    obs = written(_obs(spark, d).select("block_id", "snapshot_index", "obs_index", "x0", "x1", "theta", "category"), "observations")
     first = thinned(with_uniform(obs, SEED), (max(DROPOUTS),)).groupBy("block_id").agg(F.count_if(F.col("snapshot_index") == 0).alias("n"), F.countDistinct("snapshot_index").alias("s"))
-    ok = first.where((F.col("n") >= FIT_K) & (F.col("s") == 6)).select("block_id")
+    ok = written(first.where((F.col("n") >= FIT_K) & (F.col("s") == 6)).select("block_id"), "blocks")
     return obs.join(ok, "block_id", "left_semi")
 
 
