@@ -96,21 +96,32 @@ def _cells() -> list[np.ndarray]:
     return _table
 
 
-def log_i0(x):
-    """log I0(x) of any real x, from a table of polynomials of degree 5 whose cell the leading bits of |x| + 1 name; the asymptotic series beyond the table."""
-    x = np.abs(np.asarray(x, float))
-    y = np.atleast_1d(x + 1)
-    bits = y.view(np.int64)
-    cell = bits >> (52 - CELL_BITS)
-    t = y - (cell << (52 - CELL_BITS)).view(float)
+#: Where the table ends.
+BEYOND = 2.0**OCTAVES - 1
+
+
+def tabled_log_i0(x: np.ndarray) -> np.ndarray:
+    """log I0(x) of an array of 0 <= x < ``BEYOND``, from a table of polynomials of degree 5 whose cell the leading bits of x + 1 name."""
+    t = x + 1
+    cell = t.view(np.int64) >> (52 - CELL_BITS)
+    t -= (cell << (52 - CELL_BITS)).view(float)
     cell -= 1023 << CELL_BITS
     c = _cells()
     out = c[5].take(cell, mode="clip")
+    own = np.empty_like(out)
     for k in (4, 3, 2, 1, 0):
         out *= t
-        out += c[k].take(cell, mode="clip")
-    out = out.reshape(x.shape) + x
-    far = x >= 2.0**OCTAVES - 1
+        c[k].take(cell, mode="clip", out=own)
+        out += own
+    out += x
+    return out
+
+
+def log_i0(x):
+    """log I0(x) of any real x: ``tabled_log_i0`` of |x|, the asymptotic series beyond the table."""
+    x = np.abs(np.asarray(x, float))
+    out = tabled_log_i0(np.atleast_1d(x)).reshape(x.shape)
+    far = x >= BEYOND
     if far.any():
         v = np.maximum(x, LARGE)
         out = np.where(far, v - 0.5 * np.log(2 * math.pi * v) + _FAR[0] / v, out)
