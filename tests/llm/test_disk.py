@@ -3,10 +3,11 @@
 import time
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vireo.llm import jaccard
+from vireo.llm import bpe, jaccard
 from vireo.llm.common import passing, settled, shared_dir
 from vireo.llm.lines import line_stage
 
@@ -76,3 +77,15 @@ def test_few_slots_lose_no_row(spark, docs, odd, monkeypatch):
         with monkeypatch.context() as m:
             m.setattr(jaccard, "SLOTS", 64)
             assert sorted(map(repr, jaccard.without_near_duplicates(table).collect())) == whole
+
+
+def test_fewer_rows_in_a_query_give_the_same_tokens(docs):
+    files = bpe._files()
+    docs = docs.union(docs).union(docs).coalesce(1)  # more than go to a query at a time
+    whole = sorted(map(tuple, bpe.round_trip(docs, *files).collect()))
+    assert sorted(map(tuple, bpe.round_trip(docs, *files, forget=True).collect())) == whole
+    few = bpe.Codec(*files, 100, 7, 5)
+    texts = ["some words of a text, 12345 of them", "", "日本語 🙂 odd", "x" * 300]
+    found = few.encode(texts)
+    assert found == bpe.Codec(*files).encode(texts)
+    assert few.decode([np.frombuffer(x, "<u4") for x, _ in found]) == [t.encode() for t in texts]
